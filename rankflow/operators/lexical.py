@@ -1,25 +1,38 @@
-"""BM25 retrieval over an inverted index kept as three tables."""
+"""BM25 retrieval over an inverted index kept as three tables.
+
+Queries are scored in blocks: a block of items (with its postings) meets a block
+of queries by an equi-join on the block numbers, and the pair hands on only each
+query's best k items. Frequent terms, which would make nearly every item match
+nearly every query, are thus never turned into rows. Blocks are cut by hash of the
+item and of the query, so neither a frequent term nor a group of copies can fill
+a task on its own.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankflow.functions import text as X
 from rankflow.operators.joins import lookup
-from rankflow.operators.ranking import SCORE_DECIMALS, rank_score, top_k
-from rankflow.session import scratch_path
+from rankflow.operators.ranking import block_best, block_count, rank_score, top_k
+from rankflow.session import materialize, scratch_path
 
 K1 = 1.5
 B = 0.75
 
-#: posting rows of one term that a single task may hold
-ROWS_PER_SPLIT = 1_000_000
-#: a term is only split if it holds more than 1/MAX_HOT_TERMS of all postings,
-#: so there are never more split terms than this and their list can be broadcast
-MAX_HOT_TERMS = 10_000
+ITEM_BLOCK = 8192
+QUERY_BLOCK = 8192
+#: queries scored at a time within a block
+QUERY_SLICE = 256
+#: a term in more than one of this many items of a block is scored by matrix product
+FREQUENT = 8
 
 
 @dataclass(frozen=True)
@@ -29,14 +42,8 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     n_items: int
-    n_postings: int
-    max_df: int
     mean_len: float
 
-    @property
-    def split_rows(self) -> int:
-        return max(ROWS_PER_SPLIT, self.n_postings // MAX_HOT_TERMS)
-
 
 def postings(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
     """(item_id, term, tf, len) of items (item_id, text).
@@ -59,12 +66,9 @@ def build_index(items: DataFrame, path: str | None = None,
     postings(items, stop_words).write.parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings")
     written.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
     n_items = items.select(F.count("*")).scalar()
-    (written.agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_words"))
-     .select("n_postings", n_items.alias("n_items"),
-             F.coalesce(F.col("n_words") / n_items, F.lit(0.0)).alias("mean_len"),
-             F.coalesce(terms.agg(F.max("df")).scalar(), F.lit(0)).alias("max_df"))
+    (written.agg(F.sum("tf").alias("n_words"))
+     .select(n_items.alias("n_items"), F.coalesce(F.col("n_words") / n_items, F.lit(0.0)).alias("mean_len"))
      .write.parquet(f"{path}/totals"))
     return load_index(spark, path)
 
@@ -73,7 +77,7 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex:
     totals = spark.read.parquet(f"{path}/totals").first()
     return LexicalIndex(
         spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-        totals["n_items"], totals["n_postings"], totals["max_df"], totals["mean_len"])
+        totals["n_items"], totals["mean_len"])
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
@@ -96,38 +100,95 @@ def term_saturation(tf: Column, length: Column, mean_len: float,
     return tf / (k1 * (1 - b + b * length / F.lit(mean_len)) + tf)
 
 
-def _matches(index: LexicalIndex, query: DataFrame) -> DataFrame:
-    """Posting rows of the query terms. Postings of very frequent terms are spread
-    over several tasks by item, with the query rows repeated for each of them."""
-    rows = index.postings
-    if index.max_df <= index.split_rows:
-        return rows.join(query.drop("df"), "term")
-    splits = F.ceil(F.col("df") / index.split_rows).cast("int")
-    hot = index.terms.filter(F.col("df") > index.split_rows).select("term", splits.alias("n_splits"))
-    rows = rows.join(F.broadcast(hot), "term", "left").withColumn(
-        "split", F.pmod(F.xxhash64("item_id"), F.coalesce("n_splits", F.lit(1))).cast("int"))
-    spread = query.withColumn("split", F.explode(F.sequence(F.lit(0), splits - 1)))
-    return rows.drop("n_splits").join(spread.drop("df"), ["term", "split"])
+def _best_in_block(k: int):
+    """Best ``k`` items of a block for each query of a block, ties by item id."""
+
+    def best(items: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", queries.schema.field("query_id").type),
+                            ("item_id", items.schema.field("item_id").type), ("score", pa.float64())])
+        vocabulary = pc.unique(queries["term"])
+        items = items.append_column("code", pc.index_in(items["term"], value_set=vocabulary))
+        items = items.filter(pc.is_valid(items["code"]))
+        if items.num_rows == 0:
+            return schema.empty_table()
+        ids = pc.unique(items["item_id"])
+        ids = ids.take(pc.sort_indices(ids))
+        query_ids = pc.unique(queries["query_id"])
+        item = pc.index_in(items["item_id"], value_set=ids).to_numpy()
+        query = pc.index_in(queries["query_id"], value_set=query_ids).to_numpy()
+        term = items["code"].to_numpy()
+        wanted = pc.index_in(queries["term"], value_set=vocabulary).to_numpy()
+        impact, weight = items["impact"].to_numpy(), queries["weight"].to_numpy()
+        n = len(ids)
+
+        df = np.bincount(term, minlength=len(vocabulary))
+        frequent = df * FREQUENT > n
+        column = np.cumsum(frequent) - 1
+        matrix = np.zeros((int(frequent.sum()), n))
+        dense = frequent[term]
+        matrix[column[term[dense]], item[dense]] = impact[dense]
+        # the other postings, grouped by term
+        order = np.argsort(term[~dense], kind="stable")
+        item, impact = item[~dense][order], impact[~dense][order]
+        df[frequent] = 0
+        start = np.cumsum(df) - df
+
+        by_query = np.argsort(query, kind="stable")
+        query, wanted, weight = query[by_query], wanted[by_query], weight[by_query]
+        rows, cols, values = [], [], []
+        for first in range(0, len(query_ids), QUERY_SLICE):
+            size = min(QUERY_SLICE, len(query_ids) - first)
+            part = slice(*np.searchsorted(query, [first, first + size]))
+            q, t, w = query[part] - first, wanted[part], weight[part]
+            hot = frequent[t]
+            weights = np.zeros((size, len(matrix)))
+            weights[q[hot], column[t[hot]]] = w[hot]
+            scores = weights @ matrix
+            q, t, w = q[~hot], t[~hot], w[~hot]
+            length = df[t]
+            posting = np.repeat(start[t] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            scores += np.bincount(np.repeat(q, length) * n + item[posting],
+                                  np.repeat(w, length) * impact[posting], size * n).reshape(size, n)
+            r, c, v = block_best(scores, k, scores > 0)
+            rows.append(r + first)
+            cols.append(c)
+            values.append(v)
+        return pa.table([query_ids.take(pa.array(np.concatenate(rows))), ids.take(pa.array(np.concatenate(cols))),
+                         pa.array(np.concatenate(values))], schema=schema)
+
+    return best
 
 
-def bm25_scores(index: LexicalIndex, query_terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, item_id, score) of every item that shares a term with a query.
+def bm25_topk(index: LexicalIndex, query_terms: DataFrame, k: int = 20,
+              k1: float = K1, b: float = B) -> DataFrame:
+    """Ranked list (query_id, item_id, rank, score) of the ``k`` best items per query.
 
     ``query_terms`` is (query_id, term, qtf); a term counts as often as it occurs.
+    Only items that share a term with the query are listed.
     """
     known = lookup(query_terms, index.terms, ["term"], salt_by=["query_id"])
-    weighted = known.select("query_id", "term", "df",
-                            (F.col("qtf") * idf(F.col("df"), index.n_items)).alias("weight"))
-    gain = F.col("weight") * term_saturation(F.col("tf"), F.col("len"), index.mean_len, k1, b)
-    return (_matches(index, weighted).groupBy("query_id", "item_id")
-            .agg(F.round(F.sum(gain), SCORE_DECIMALS).alias("score")))
-
-
-def bm25_topk(index: LexicalIndex, query_terms: DataFrame, k: int = 20,
-              k1: float = K1, b: float = B) -> DataFrame:
-    """Ranked list (query_id, item_id, rank, score) of the ``k`` best items per query."""
-    return top_k(bm25_scores(index, query_terms, k1, b), k).select(
-        "query_id", "item_id", "rank", "score")
+    weights = materialize(known.select("query_id", "term", (
+        F.col("qtf") * idf(F.col("df"), index.n_items)).alias("weight")), "query-weights")
+    n_queries = weights.select(F.count_distinct("query_id")).first()[0]
+    item_blocks = block_count(weights.sparkSession, index.n_items, ITEM_BLOCK)
+    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    items = index.postings.select(
+        "item_id", "term", term_saturation(F.col("tf"), F.col("len"), index.mean_len, k1, b).alias("impact"),
+        F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("item_block"), every(query_blocks).alias("query_block"))
+    queries = weights.select(
+        "query_id", "term", "weight", every(item_blocks).alias("item_block"),
+        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
+    items = items.withColumn("item_block", F.col("item_block").cast("int"))
+    key = ["item_block", "query_block"]
+    schema = T.StructType([weights.schema["query_id"], index.postings.schema["item_id"],
+                           T.StructField("score", T.DoubleType())])
+    scored = (items.groupBy(*key).cogroup(queries.groupBy(*key))
+              .applyInArrow(_best_in_block(k), schema))
+    return top_k(scored, k).select("query_id", "item_id", "rank", "score")
 
 
 def bm25_rank_scored(index: LexicalIndex, query_terms: DataFrame, k: int = 20) -> DataFrame:

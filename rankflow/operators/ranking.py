@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: decimals at which scores of different engines and summation orders agree
@@ -39,3 +40,32 @@ def dedupe(ranked: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:
     first = ranked.groupBy(*by, "item_id").agg(F.min("rank").alias("rank"))
     return first.withColumn("rank", F.row_number().over(
         Window.partitionBy(*by).orderBy("rank")))
+
+
+def block_count(spark: SparkSession, n: int, block: int) -> int:
+    """Number of blocks for ``n`` rows: small enough blocks to fit a task, and enough
+    of them to occupy the cluster as long as each is worth a task."""
+    busy = min(spark.sparkContext.defaultParallelism, -(-n * 16 // block))
+    return max(1, -(-n // block), busy)
+
+
+def block_best(scores: np.ndarray, k: int, valid: np.ndarray | None = None):
+    """(row, column, rounded score) of the best ``k`` valid columns of each row.
+
+    Scores are rounded first; equal ones are taken in column order.
+    """
+    n = scores.shape[1]
+    steps = np.floor(scores * 10 ** SCORE_DECIMALS + 0.5)
+    # one number per cell that sorts like score descending, column ascending
+    order = steps * n - np.arange(n)
+    if valid is not None:
+        order[~valid] = -np.inf
+    if k < n:
+        cols = np.argpartition(order, n - k, axis=1)[:, n - k:]
+    else:
+        cols = np.broadcast_to(np.arange(n), scores.shape)
+    rows = np.repeat(np.arange(len(scores)), cols.shape[1])
+    cols = cols.reshape(-1)
+    kept = order[rows, cols] > -np.inf
+    rows, cols = rows[kept], cols[kept]
+    return rows, cols, steps[rows, cols] / 10 ** SCORE_DECIMALS

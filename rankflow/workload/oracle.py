@@ -451,7 +451,7 @@ def _with_views(final: str) -> str:
 
     visit(final)
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in VIEWS.items() if name in needed)
-    return f"WITH {ctes}\nSELECT * FROM ({final})"
+    return f"WITH {ctes}\nSELECT * FROM ({final})" if ctes else final
 
 
 _LIST = "SELECT query_id, item_id, rank, score FROM "
