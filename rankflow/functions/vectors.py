@@ -16,9 +16,12 @@ def norm(vector: Column) -> Column:
 
 def normalize(vector: Column) -> Column:
     """Unit vector; a zero vector is left as it is."""
-    length = norm(vector)
-    return F.when(length == 0, as_double(vector)).otherwise(
-        F.transform(as_double(vector), lambda x: x / length))
+    # the one-element array binds the norm, or it would be computed again for every element
+    def scaled(length: Column) -> Column:
+        return F.when(length == 0, as_double(vector)).otherwise(
+            F.transform(as_double(vector), lambda x: x / length))
+
+    return F.get(F.transform(F.array(norm(vector)), scaled), F.lit(0))
 
 
 def dot(left: Column, right: Column) -> Column:

@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 16
 
-def planned_bytes(df: DataFrame) -> int:
-    """Size of a table as the optimizer plans it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
-
-def _byte_conf(spark, key: str) -> int:
-    jutils = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
-    return int(jutils.byteStringAsBytes(spark.conf.get(key).lower()))
+def splits_skew(df: DataFrame) -> bool:
+    """Whether the running session divides crowded join partitions by itself."""
+    conf = df.sparkSession.conf
+    return all(conf.get(key) == "true" for key in (
+        "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
 
 
 def lookup(facts: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner",
-           salt_by: list[str] | None = None, salts: int = 16) -> DataFrame:
+           salt_by: list[str] | None = None, salts: int = SALTS) -> DataFrame:
     """Join ``facts`` to a table that is unique on ``on``.
 
-    If the planned size of the keyed side is within the broadcast limit, the
-    plain join broadcasts it. Beyond that the fact rows of one key are spread over
-    ``salts`` tasks by a hash of ``salt_by``, and each keyed row is repeated once
-    per salt, so that no key can fill a task on its own.
+    The keyed side is broadcast only where the optimizer finds it within the
+    broadcast limit. Otherwise the fact rows of a crowded key are divided among
+    tasks: at run time by adaptive execution, or, in a session without it, by a
+    hash of ``salt_by``, with each keyed row repeated once per salt.
     """
-    limit = _byte_conf(facts.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
-    if 0 <= planned_bytes(keyed) <= limit:
-        return facts.join(keyed, on, how)
     salt_cols = salt_by or [c for c in facts.columns if c not in on]
-    if not salt_cols:
+    if splits_skew(facts) or not salt_cols:
         return facts.join(keyed, on, how)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)).cast("int"))
     right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -28,7 +28,7 @@ K1 = 1.5
 B = 0.75
 
 ITEM_BLOCK = 8192
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 4096
 #: queries scored at a time within a block
 QUERY_SLICE = 256
 #: a term in more than one of this many items of a block is scored by matrix product

@@ -13,6 +13,7 @@ from rankflow.operators import render, rerank, sessions
 from rankflow.operators.joins import lookup
 from rankflow.operators.ranking import truncate
 from rankflow.plans.retrieval import Indexes, Queries, retrieve
+from rankflow.session import materialize
 from rankflow.sources.sinks import pack_ranked, prediction_rows
 
 
@@ -139,7 +140,8 @@ def recommend(turns: DataFrame, users: DataFrame, catalog: DataFrame, indexes: I
     if user_vectors is not None:
         taste = keyed.select("query_id", "user_id").join(user_vectors, "user_id").select(
             "query_id", "vector")
-    ranked = retrieve(kind, indexes, Queries(texts, query_vectors, taste), topk=topk, **options)
+    ranked = materialize(retrieve(kind, indexes, Queries(texts, query_vectors, taste), topk=topk, **options),
+                         "ranked")
     text = render.template_response(ranked, catalog)
     ids = keyed.select("query_id", "session_id", "turn_number")
     return prediction_rows(keyed, ranked.join(ids, "query_id"), text.join(ids, "query_id"), topk)

@@ -13,6 +13,7 @@ from rankflow.operators import repair as K
 from rankflow.operators.judge import mean_score
 from rankflow.operators.render import fill_prompt
 from rankflow.plans.evaluate import score_predictions
+from rankflow.session import materialize
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,14 @@ def repair(predictions: DataFrame, work: DataFrame, completer: C.Completer, temp
     ``work`` comes from :func:`rankflow.operators.repair.work_rows`; its ``avg`` is the
     stored score. Without a judge every new response goes in.
     """
-    made = regenerate(work, completer, template, rules, max_tries, **options)
+    made = materialize(regenerate(work, completer, template, rules, max_tries, **options), "regenerated")
     ready = made.filter(F.col("response").isNotNull())
     if judge is None:
         guarded = ready.withColumn("decision", F.lit("patch"))
     else:
         scored = live_scores(ready, judge, judge_template, **options).withColumn("stored_score", F.col("avg"))
         guarded = K.guard_strict(scored) if strict else K.guard_live(scored)
+    guarded = materialize(guarded, "guarded")
     patched = K.patch(predictions, K.cleared(guarded).select("session_id", "response"))
-    return RepairResult(patched, guarded, K.without_result(work, ready))
+    failed = made.filter(F.col("response").isNull()).drop("response")
+    return RepairResult(patched, guarded, failed)
