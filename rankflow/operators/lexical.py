@@ -21,18 +21,17 @@ from pyspark.sql import types as T
 
 from rankflow.functions import text as X
 from rankflow.operators.joins import lookup
-from rankflow.operators.ranking import block_best, block_count, rank_score, top_k
+from rankflow.operators.ranking import block_best, block_count, rank_score, slice_rows, top_k
 from rankflow.session import materialize, scratch_path
 
 K1 = 1.5
 B = 0.75
 
-ITEM_BLOCK = 8192
-QUERY_BLOCK = 4096
-#: queries scored at a time within a block
-QUERY_SLICE = 256
+#: upper bounds of a block; large blocks mean few copies of either side
+ITEM_BLOCK = 32768
+QUERY_BLOCK = 32768
 #: a term in more than one of this many items of a block is scored by matrix product
-FREQUENT = 8
+FREQUENT = 4
 
 
 @dataclass(frozen=True)
@@ -136,8 +135,9 @@ def _best_in_block(k: int):
         by_query = np.argsort(query, kind="stable")
         query, wanted, weight = query[by_query], wanted[by_query], weight[by_query]
         rows, cols, values = [], [], []
-        for first in range(0, len(query_ids), QUERY_SLICE):
-            size = min(QUERY_SLICE, len(query_ids) - first)
+        step = slice_rows(n)
+        for first in range(0, len(query_ids), step):
+            size = min(step, len(query_ids) - first)
             part = slice(*np.searchsorted(query, [first, first + size]))
             q, t, w = query[part] - first, wanted[part], weight[part]
             hot = frequent[t]
@@ -171,7 +171,7 @@ def bm25_topk(index: LexicalIndex, query_terms: DataFrame, k: int = 20,
         F.col("qtf") * idf(F.col("df"), index.n_items)).alias("weight")), "query-weights")
     n_queries = weights.select(F.count_distinct("query_id")).first()[0]
     item_blocks = block_count(weights.sparkSession, index.n_items, ITEM_BLOCK)
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    query_blocks = block_count(weights.sparkSession, n_queries, QUERY_BLOCK, item_blocks)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

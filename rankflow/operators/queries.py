@@ -27,30 +27,30 @@ def query_parts(turns: DataFrame, targets: DataFrame, catalog: DataFrame | None)
     Section 0 holds artists and tags of known played tracks, section 1 the earlier
     user turns, section 2 the last of these once more, section 3 the current query.
     """
-    past = history(turns, targets)
-    user = past.filter(F.col("role") == "user")
+    past = history(turns, targets).filter(F.col("role").isin("user", "music"))
     cols = [*_KEY, "section", "turn_number", "pos", "text", "weight"]
 
-    def part(df: DataFrame, section: int, text: Column, weight: int) -> DataFrame:
-        return (df.withColumn("section", F.lit(section)).withColumn("text", text)
+    def part(df: DataFrame, section: Column, text: Column, weight: int) -> DataFrame:
+        return (df.withColumn("section", section).withColumn("text", text)
                 .withColumn("weight", F.lit(weight)).select(*cols))
 
-    prior = part(user, 1, F.col("content"), PRIOR_WEIGHT)
-    last = user.groupBy(*_KEY).agg(
-        F.max_by(F.struct("turn_number", "pos", "content"), F.struct("turn_number", "pos")).alias("r"))
-    again = part(last.select(*_KEY, "r.*"), 2, F.col("content"), LAST_PRIOR_EXTRA)
-    current = part(
-        targets.select("session_id", F.col("turn_number").alias("target_turn"), "turn_number",
-                       F.lit(0).cast(turns.schema["pos"].dataType).alias("pos"), "query"),
-        3, F.col("query"), CURRENT_WEIGHT)
-    parts = prior.unionByName(again).unionByName(current)
+    music = F.col("role") == "music"
     if catalog is not None:
-        played = with_catalog(past.filter(F.col("role") == "music"), catalog)
         known = X.nonblank(F.concat_ws(
             " ", F.array_join("artist_name", " "),
             F.array_join(F.slice("tag_list", 1, TAGS_PER_TRACK), " ")))
-        parts = parts.unionByName(part(played, 0, known, 1).filter(F.col("text").isNotNull()))
-    return parts
+        said = part(with_catalog(past, catalog), F.when(music, 0).otherwise(1),
+                    F.when(music, known).otherwise(F.col("content")), PRIOR_WEIGHT)
+    else:
+        said = part(past.filter(~music), F.lit(1), F.col("content"), PRIOR_WEIGHT)
+    last = past.filter(~music).groupBy(*_KEY).agg(
+        F.max_by(F.struct("turn_number", "pos", "content"), F.struct("turn_number", "pos")).alias("r"))
+    again = part(last.select(*_KEY, "r.*"), F.lit(2), F.col("content"), LAST_PRIOR_EXTRA)
+    current = part(
+        targets.select("session_id", F.col("turn_number").alias("target_turn"), "turn_number",
+                       F.lit(0).cast(turns.schema["pos"].dataType).alias("pos"), "query"),
+        F.lit(3), F.col("query"), CURRENT_WEIGHT)
+    return said.filter(F.col("text").isNotNull()).unionByName(again).unionByName(current)
 
 
 def query_text(parts: DataFrame) -> DataFrame:

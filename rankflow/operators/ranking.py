@@ -42,13 +42,26 @@ def dedupe(ranked: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:
         Window.partitionBy(*by).orderBy("rank")))
 
 
-def block_count(spark: SparkSession, n: int, block: int) -> int:
-    """Number of blocks for ``n`` rows: small enough blocks to fit a task, and enough
-    of them to occupy the cluster as long as each is worth a task."""
-    busy = min(spark.sparkContext.defaultParallelism, -(-n * 16 // block))
+#: cells of a score matrix that are worked on at a time
+SLICE_CELLS = 1 << 20
+
+
+def block_count(spark: SparkSession, n: int, block: int, others: int = 1) -> int:
+    """Number of blocks for ``n`` rows that meet ``others`` blocks of the other side.
+
+    Blocks are small enough for a task, and there are enough pairs to occupy the
+    cluster a few times over as long as each is worth a task.
+    """
+    pairs = (1 if others == 1 else 4) * spark.sparkContext.defaultParallelism
+    busy = min(-(-pairs // others), -(-n * 16 // block))
     return max(1, -(-n // block), busy)
 
 
+def slice_rows(columns: int) -> int:
+    """Rows of a score matrix with so many columns to compute at a time."""
+    return max(1, SLICE_CELLS // max(1, columns))
+
+
 def block_best(scores: np.ndarray, k: int, valid: np.ndarray | None = None):
     """(row, column, rounded score) of the best ``k`` valid columns of each row.
 

@@ -75,9 +75,14 @@ def history_window(turns: DataFrame) -> DataFrame:
 
 
 def with_catalog(turns: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Turn rows with the catalogue fields of the music rows (left outer)."""
+    """Turn rows with the catalogue fields of the music rows (left outer).
+
+    The other rows get keys of their own that match nothing: as nulls they would
+    all meet in one task.
+    """
+    apart = F.concat(F.lit("\0"), F.xxhash64("session_id", "turn_number", "pos").cast("string"))
     keyed = turns.withColumn(
-        "track_id", F.when(F.col("role") == "music", X.strip(F.col("content"))))
+        "track_id", F.when(F.col("role") == "music", X.strip(F.col("content"))).otherwise(apart))
     return lookup(keyed, catalog, ["track_id"], "left", salt_by=["session_id", "turn_number"])
 
 
