@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from rankflow.functions import text as X
 from rankflow.operators.joins import lookup
 from rankflow.operators.ranking import block_best, block_count, rank_score, slice_rows, top_k
-from rankflow.session import materialize, scratch_path
+from rankflow.session import materialize, scratch_path, table_exists
 
 K1 = 1.5
 B = 0.75
@@ -79,15 +79,11 @@ def load_index(spark: SparkSession, path: str) -> LexicalIndex:
         totals["n_items"], totals["mean_len"])
 
 
-def index_exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def open_index(items: DataFrame, path: str) -> LexicalIndex:
     """The saved index if there is one at ``path``, else a new one built there."""
     spark = items.sparkSession
-    return load_index(spark, path) if index_exists(spark, path) else build_index(items, path)
+    # the totals are written last: a build that was cut short is not taken for an index
+    return load_index(spark, path) if table_exists(spark, f"{path}/totals") else build_index(items, path)
 
 
 def idf(df: Column, n_items: int) -> Column:

@@ -266,11 +266,11 @@ def dense_topk(v: Views) -> DataFrame:
 
 @query
 def precomputed_topk(v: Views) -> DataFrame:
-    """A named vector column, divided into cells, read back from a saved index."""
+    """A named vector column, divided into cells, opened again from its saved index."""
     items = v.item_vectors.withColumnRenamed("vector", "taste")
-    index = dense.build_cells(dense.vectors_table(items, "item_id", "taste"), n_cells=16,
-                              path=scratch_path(v.spark, "vectors"))
-    return dense.dense_topk(index, _self_queries(v), TOPK)
+    path = scratch_path(v.spark, "vectors")
+    dense.build_cells(dense.vectors_table(items, "item_id", "taste"), n_cells=16, path=path)
+    return dense.dense_topk(dense.load_cells(v.spark, path), _self_queries(v), TOPK)
 
 
 def _taste(v: Views) -> DataFrame:
