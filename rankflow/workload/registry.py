@@ -671,7 +671,7 @@ def score_predictions(v: Views) -> DataFrame:
     return E.score_predictions(prompts, length_completer)
 
 
-def echo_completer(prompt: str) -> str:
+def quoting_completer(prompt: str) -> str:
     """Stand-in for a writer: quotes the last line of the prompt back to the user."""
     last = prompt.rsplit("\n", 1)[-1]
     return f"You will know this one — {last} is close to what was played before."
@@ -682,7 +682,7 @@ WORK_TEMPLATE = "Conversation:\n{conversation}\nTracks:\n{tracks}"
 
 @query
 def repair_run(v: Views) -> DataFrame:
-    result = RP.repair(v.predictions, _work(v), echo_completer, WORK_TEMPLATE, gates.EXPLAINED,
+    result = RP.repair(v.predictions, _work(v), quoting_completer, WORK_TEMPLATE, gates.EXPLAINED,
                        length_completer, JUDGE_TEMPLATE)
     return result.predictions.select("session_id", "predicted_response")
 
@@ -693,7 +693,7 @@ def response_stage(v: Views) -> DataFrame:
     talk = render.render_turns(v.shop_turns, "quoted").withColumnRenamed("session_id", "query_id")
     system = v.query_users.join(sessions.profiles(v.users), "user_id").select("query_id", render.system_prompt(
         "You recommend.", "Be brief.", "The listener:", F.col("profile")).alias("system"))
-    return P.responses(v.ranked, v.catalog, talk, system, echo_completer, "{system}\n{conversation}\n{item}")
+    return P.responses(v.ranked, v.catalog, talk, system, quoting_completer, "{system}\n{conversation}\n{item}")
 
 
 @query

@@ -85,6 +85,15 @@ def test_dense_matches_brute_force(spark, monkeypatch, n_cells, block):
         assert got[n] == [f"i{i:03}" for i in want]
 
 
+@pytest.mark.parametrize("n_cells", [1, 4])
+def test_no_cross_join_is_planned(spark, n_cells):
+    vectors = [(n, [float(n), 1.0]) for n in range(20)]
+    index = dense.build_cells(spark.createDataFrame(vectors, "item_id int, vector array<double>"), n_cells)
+    q = spark.createDataFrame(vectors, "query_id int, vector array<double>")
+    plan = dense.dense_topk(index, q, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_pruning_visits_fewer_cells(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(8, 16)) * 10
