@@ -4,8 +4,10 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, connect
+from rankflow.workload.oracle import ORACLE
+from rankflow.workload.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -17,13 +19,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = queries()[name](spark, SF).toArrow()
-    assert compare(got, con.sql(oracle_sql()[name]).to_arrow_table()) == ""
+    got = QUERIES[name](spark, SF).toArrow()
+    assert compare(got, con.sql(ORACLE[name]).to_arrow_table()) == ""
 
 
 def test_entry(spark):
