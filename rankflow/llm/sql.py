@@ -9,8 +9,8 @@ _SPACE = r"[ \t\n\x0B\f\r]+"
 ORACLE["op1_quality_rules"] = rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 split AS (
-  SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACE}'), x -> x <> '') AS w,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM texts),
+  SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM texts),
 windows AS (
   SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS v
   FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
