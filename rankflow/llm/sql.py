@@ -30,3 +30,29 @@ bits AS (
     + 64 * (3 * n_upper > word_chars)::BIGINT AS fail_bits FROM counts)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM bits
 """
+
+_LETTERS = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op4_decontaminate"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item_id, w, least(13, len(w)) AS n
+  FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS v
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+sizes AS (SELECT DISTINCT n FROM windows),
+spans AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS v
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes)),
+found AS (SELECT r, i, n, item_id FROM spans JOIN windows USING (n, v)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
