@@ -56,3 +56,30 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+ORACLE["op5_line_dedup"] = r"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, text FROM documents),
+raw AS (SELECT r, unnest(range(len(l))) AS j, unnest(l) AS x FROM (SELECT r, string_split(text, chr(10)) AS l FROM docs)),
+lines AS (
+  SELECT r, j, x, row_number() OVER (PARTITION BY r ORDER BY j) AS i,
+    len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) AS w
+  FROM raw WHERE regexp_matches(x, '[^ \t\n\x0B\f\r]')),
+packed AS (SELECT r, list(x ORDER BY i) AS x, list(w ORDER BY i) AS w FROM lines GROUP BY r),
+starts AS (SELECT r, x, w, unnest(range(1, len(x) + 1)) AS s FROM packed),
+runs AS (SELECT r, x, w, s, unnest(range(s, least(len(x), s + 49) + 1)) AS e FROM starts),
+sized AS (SELECT r, s, e, x, w, list_sum(w[s:e]) AS n FROM runs),
+shortest AS (
+  SELECT r, s, e, array_to_string(x[s:e], chr(10)) AS v FROM sized
+  WHERE n >= 50 AND (n - w[e] < 50 OR n - w[s] < 50)),
+later AS (
+  SELECT r, s, e FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY r, s) AS k FROM shortest) WHERE k > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, e + 1)) AS i FROM later),
+kept AS (
+  SELECT r, string_agg(raw.x, chr(10) ORDER BY raw.j) AS text, count(*) AS n
+  FROM raw LEFT JOIN lines USING (r, j) LEFT JOIN gone USING (r, i) WHERE gone.i IS NULL GROUP BY r),
+counts AS (
+  SELECT r, count(*) AS n_lines, count(gone.i) AS n_removed FROM lines LEFT JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN coalesce(n_removed, 0) = 0 THEN docs.text ELSE coalesce(kept.text, '') END AS text
+FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""
