@@ -31,7 +31,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Fixed: how it normalises a text; white space, which it also unifies, only divides words. ASCII needs lower case only.
 NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 #: Words whose codes a worker remembers; it starts afresh beyond.
-MEMORY = 100_000
+MEMORY = 300_000
 
 
 class Codec:
@@ -113,17 +113,32 @@ class Codec:
             self.known[word] = tuple(bpe.merge(raw, self.v)) if fails else tuple(guess)
         self.merged += int(wrong.sum())
 
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of them known from then on."""
+        words = [self.words(t) for t in texts]
+        self.learn({w for ws in words for w in ws})
+        return words
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Token ids of each text."""
-        split = [self.words(t) for t in texts]
-        self.learn({w for words in split for w in words})
-        for words in split:
+        for words in self.split(texts):
             yield [i for w in words for i in self.known[w]]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Names of the tokens, a space between, as the library gives them for a file that names no decoder."""
         return " ".join(map(self.v.names.__getitem__, ids))
 
+    def written(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text its number of tokens, and ids and names as text; each distinct word is written out once."""
+        split = self.split(texts)
+        distinct = {w for words in split for w in words}
+        numbers = {w: len(self.known[w]) for w in distinct}
+        ids = {w: " ".join(map(str, self.known[w])) for w in distinct}
+        names = {w: self.decode(self.known[w]) for w in distinct}
+        for words in split:
+            yield (sum(map(numbers.__getitem__, words)), " ".join(map(ids.__getitem__, words)),
+                   " ".join(map(names.__getitem__, words)))
+
 
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
@@ -143,27 +158,19 @@ def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
 def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bpe.load(path))
+    kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in cut(batches, "text"):
-            out: list[list] = [[], [], []]
-            for ids in codec.encode(batch.column("text").to_pylist()):
-                if digest:
-                    row = len(ids), _sha256(" ".join(map(str, ids))), _sha256(codec.decode(ids))
-                else:
-                    row = None, ids, codec.decode(ids)
-                for column, value in zip(out, row):
-                    column.append(value)
-            ids_of = batch.column("doc_id")
+            texts = batch.column("text").to_pylist()
             if digest:
-                yield pa.RecordBatch.from_arrays(
-                    [ids_of, pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows = [(n, _sha256(ids), _sha256(tokens)) for n, ids, tokens in codec.written(texts)]
             else:
-                yield pa.RecordBatch.from_arrays(
-                    [ids_of, pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.string())],
-                    ["doc_id", "ids", "decoded"])
+                rows = [(ids, codec.decode(ids)) for ids in codec.encode(texts)]
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .mapInArrow(code, schema))

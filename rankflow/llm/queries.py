@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import bpe_codec, decontaminate, line_dedup, quality_rules, secret_scan, simhash, token_counts
+from rankflow.llm import (bpe_codec, decontaminate, html_extract, line_dedup, quality_cnn, quality_rules, quote_threads,
+                          secret_scan, simhash, token_counts)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +64,22 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that repeat earlier ones."""
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a network trained on labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_cnn.classify(docs, quality_cnn.train(*quality_cnn.sample(docs, labels)))
+
+
+@query
+def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, in reply order, with what it replies to."""
+    return quote_threads.threads(table(spark, sf_dir, "conversations"))

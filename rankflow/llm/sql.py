@@ -83,3 +83,40 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
   CASE WHEN coalesce(n_removed, 0) = 0 THEN docs.text ELSE coalesce(kept.text, '') END AS text
 FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
 """
+
+ORACLE["op10_quote_threads"] = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS raw
+  FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw, r) - 1 AS position FROM rows),
+cut AS (
+  SELECT r, k, x, regexp_extract(x, '^(?:[ \t]*>)+') AS q
+  FROM (SELECT r, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT r, string_split(raw, chr(10)) AS l FROM rows))),
+lines AS (
+  SELECT r, k, len(q) - len(replace(q, '>', '')) AS level,
+    CASE WHEN q = '' THEN x ELSE regexp_replace(substr(x, len(q) + 1), '^[ \t]', '') END AS body FROM cut),
+next AS (SELECT *, lead(level) OVER (PARTITION BY r ORDER BY k) AS after FROM lines),
+own AS (
+  SELECT * FROM next WHERE level = 0 AND NOT (coalesce(after, 0) > 0 AND regexp_matches(body,
+    '^\s*(?:On\b.{1,200}\bwrote|Le\b.{1,200}\ba écrit|Am\b.{1,200}\bschrieb\b.{0,100}|El\b.{1,200}\bescribió)\s*:\s*$'))),
+texts AS (
+  SELECT r, regexp_replace(string_agg(body, chr(10) ORDER BY k), '^\s+|\s+$', '', 'g') AS text FROM own GROUP BY r),
+quoted AS (SELECT r, count(*) AS n_quoted FROM lines WHERE level > 0 GROUP BY r),
+said AS (
+  SELECT r, conv_id, turn, level, v FROM (
+    SELECT r, level, lower(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS v FROM (
+      SELECT r, level, body FROM own UNION ALL SELECT r, level, body FROM lines WHERE level > 0)) JOIN rows USING (r)
+  WHERE v <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+originals AS (SELECT conv_id, v, min(turn) AS original FROM said WHERE level = 0 GROUP BY ALL),
+votes AS (
+  SELECT said.r, level, original, sum(len(v)) AS size FROM said JOIN originals USING (conv_id, v)
+  WHERE level > 0 AND original < turn GROUP BY ALL),
+best AS (
+  SELECT r, original AS reply_to FROM votes
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, size DESC, original DESC) = 1)
+SELECT conv_id, position, turn, role, coalesce(text, '') AS text, reply_to, coalesce(n_quoted, 0) AS n_quoted,
+  '<|' || regexp_replace(role, '[<|>\s]', '', 'g') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |')
+    || chr(10) || '<|end|>' AS formatted
+FROM placed LEFT JOIN texts USING (r) LEFT JOIN quoted USING (r) LEFT JOIN best USING (r)
+"""
