@@ -135,14 +135,17 @@ FEATURES = ("words", "link_density", "aside", "article", "elsewhere", "heading",
 
 
 def features(found: Sequence[Block]) -> np.ndarray:
-    """A row per block. ``elsewhere``: the page marks an article, and the block is outside."""
+    """A row per block. ``elsewhere``: the page marks an article, and the block is outside. Neighbours are the nearest
+    blocks that stand in no aside."""
     if not found:
         return np.zeros((0, len(FEATURES)))
     marked = any(b.article for b in found)
     own = np.array([[b.words, b.linked / max(b.words, 1), b.aside, b.article, marked and not b.article, b.heading]
                     for b in found], float)
-    edge = np.zeros((1, 2))
-    return np.hstack([own, np.vstack([edge, own[:-1, :2]]), np.vstack([own[1:, :2], edge])])
+    around = np.zeros((len(found), 4))
+    free = np.flatnonzero(own[:, FEATURES.index("aside")] == 0)
+    around[free[1:], :2], around[free[:-1], 2:] = own[free[:-1], :2], own[free[1:], :2]
+    return np.hstack([own, around])
 
 
 _ANY_TEXT, _ANY_SHARE, _EITHER = (0, 1, 4, 12, 40, 200), (0.0, 1.0), (0, 1)
