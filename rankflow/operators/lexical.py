@@ -47,14 +47,18 @@ class LexicalIndex:
 def postings(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
     """(item_id, term, tf, len) of items (item_id, text).
 
-    Texts are spread by item first, so counting the terms of a text needs no
-    further exchange and a text's postings stay together.
+    The terms of a text are counted within its row, as the runs of its sorted words:
+    neither texts nor postings are shuffled.
     """
-    words = items.repartition("item_id").select(
-        "item_id", X.tokens(F.col("text"), stop_words).alias("words"))
-    return (words.select("item_id", F.size("words").alias("len"), F.explode("words").alias("term"))
-            .groupBy("item_id", "len", "term").agg(F.count("*").alias("tf"))
-            .select("item_id", "term", "tf", "len"))
+    words = items.select("item_id", F.sort_array(X.tokens(F.col("text"), stop_words)).alias("words"))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = words.withColumn("starts", F.filter(places, lambda i: (i == 0) | (
+        F.get("words", i) != F.get("words", i - 1))))
+    runs = F.transform("starts", lambda i, k: F.struct(
+        F.get("words", i).alias("term"),
+        (F.coalesce(F.get("starts", k + 1), F.size("words")) - i).cast("long").alias("tf")))
+    return (starts.select("item_id", F.size("words").alias("len"), F.explode(runs).alias("run"))
+            .select("item_id", "run.term", "run.tf", "len"))
 
 
 def build_index(items: DataFrame, path: str | None = None,
@@ -169,16 +173,18 @@ def bm25_topk(index: LexicalIndex, query_terms: DataFrame, k: int = 20,
     item_blocks = block_count(weights.sparkSession, index.n_items, ITEM_BLOCK)
     query_blocks = block_count(weights.sparkSession, n_queries, QUERY_BLOCK, item_blocks)
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    items = index.postings.select(
+    # Only postings of terms that are asked for go on, and only to query blocks that ask; a query's term only goes to
+    # item blocks that hold it.
+    asked = weights.select("term", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
+    wanted = asked.distinct()
+    held = index.postings.select(
         "item_id", "term", term_saturation(F.col("tf"), F.col("len"), index.mean_len, k1, b).alias("impact"),
-        F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).alias("item_block"), every(query_blocks).alias("query_block"))
-    queries = weights.select(
-        "query_id", "term", "weight", every(item_blocks).alias("item_block"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
-    items = items.withColumn("item_block", F.col("item_block").cast("int"))
+        F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int").alias("item_block"))
+    held = held.join(wanted.select("term").distinct(), "term", "left_semi")
+    items = held.join(wanted, "term")
+    queries = (weights.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+               .join(held.select("term", "item_block").distinct(), "term")
+               .select("query_id", "term", "weight", *[F.col(c).alias(c) for c in ("query_block", "item_block")]))
     key = ["item_block", "query_block"]
     schema = T.StructType([weights.schema["query_id"], index.postings.schema["item_id"],
                            T.StructField("score", T.DoubleType())])

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions import text as X
 
-#: texts and text pairs that the lexical-diversity sample may hold
-SAMPLE_TEXTS = 64
-SAMPLE_PAIRS = 200
+#: texts that are compared with one another, on average
+BUCKET_TEXTS = 64
 
 
 def gain(rank: Column) -> Column:
@@ -17,17 +16,19 @@ def gain(rank: Column) -> Column:
 
 
 def ndcg_set(ranked: DataFrame, relevant: DataFrame, k: int = 20, by: tuple[str, ...] = ("query_id",),
-             ideal_hits: bool = False) -> DataFrame:
+             ideal_hits: bool = False, evaluated: DataFrame | None = None) -> DataFrame:
     """(by…, ndcg) for sets of relevant items (by…, item_id).
 
     The ideal gain is that of a single relevant item; ``ideal_hits`` takes the
-    true ideal of all relevant items instead. Keys without relevant items get 0.
+    true ideal of all relevant items instead. Keys without relevant items get 0,
+    and so do keys of ``evaluated`` (by…) that no item was ranked for.
     """
     key = list(by)
     hits = (ranked.filter(F.col("rank") <= k)
             .join(relevant.select(*key, "item_id").distinct(), [*key, "item_id"])
             .groupBy(*key).agg(F.sum(gain(F.col("rank"))).alias("dcg")))
-    out = ranked.select(*key).distinct().join(hits, key, "left")
+    keys = ranked.select(*key) if evaluated is None else evaluated.select(*key)
+    out = keys.distinct().join(hits, key, "left")
     ideal = F.lit(1.0)
     if ideal_hits:
         sizes = relevant.select(*key, "item_id").distinct().groupBy(*key).agg(
@@ -53,8 +54,8 @@ def ndcg_single(predictions: DataFrame, truth: DataFrame, k: int = 20) -> DataFr
 
 def last_turn_only(predictions: DataFrame) -> DataFrame:
     """Prediction rows of each session's last predicted turn."""
-    last = predictions.groupBy("session_id").agg(F.max("turn_number").alias("turn_number"))
-    return predictions.join(last, ["session_id", "turn_number"], "left_semi")
+    last = F.max("turn_number").over(Window.partitionBy("session_id"))
+    return predictions.withColumn("last", last).filter(F.col("turn_number") == F.col("last")).drop("last")
 
 
 def ndcg_mean(scored: DataFrame) -> DataFrame:
@@ -65,28 +66,21 @@ def ndcg_mean(scored: DataFrame) -> DataFrame:
         F.count_if(F.col("ndcg").isNull()).alias("skipped"))
 
 
-def lexical_diversity(texts: DataFrame, key: str, text: str, max_texts: int = SAMPLE_TEXTS,
-                      max_pairs: int = SAMPLE_PAIRS) -> DataFrame:
-    """(lexdiv): mean Jaccard distance of word sets over a sample of text pairs.
+def lexical_diversity(texts: DataFrame, key: str, text: str, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
+    """(lexdiv): mean Jaccard distance of the word sets of texts that share a bucket.
 
-    The sample is fixed by hash: the ``max_texts`` texts with the lowest hash of
-    their key, and of their pairs the ``max_pairs`` with the lowest pair hash.
-    Empty texts are left out, pairs without any word do not count.
+    All texts count: the hash of their key deals them to one bucket per ``bucket_texts``
+    texts, and all pairs within a bucket are compared, so the work grows with the
+    texts. Empty texts are left out, pairs without any word do not count.
     """
-    key_hash = F.md5(F.col(key).cast("string"))
-    sample = (texts.filter(X.nonblank(F.col(text)).isNotNull())
-              .select(key_hash.alias("h"), F.col(key).cast("string").alias("id"), text)
-              .orderBy("h", "id").limit(max_texts))
-    # the sample is small by construction: one row holds it, pairs are unfolded from there
-    words = sample.select("id", X.blank_tokens(F.col(text)).alias("words"))
-    one = words.agg(F.array_sort(F.collect_list(F.struct("id", "words"))).alias("t"))
-    left = one.select("t", F.posexplode("t").alias("i", "a"))
-    pairs = left.select(F.col("a"), F.explode(
-        F.slice("t", F.col("i") + 2, F.lit(max_texts))).alias("b"))
-    pair_hash = F.md5(F.concat_ws(":", F.col("a.id"), F.col("b.id")))
-    drawn = pairs.withColumn("h", pair_hash).orderBy("h").limit(max_pairs)
+    used = texts.filter(X.nonblank(F.col(text)).isNotNull())
+    buckets = F.greatest(F.ceil(used.select(F.count("*")).scalar() / F.lit(bucket_texts)).cast("long"), F.lit(1))
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    dealt = used.select(F.pmod(number, buckets).alias("bucket"), F.col(key).cast("string").alias("id"),
+                        X.blank_tokens(F.col(text)).alias("words"))
+    pairs = dealt.alias("a").join(dealt.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")))
     distance = X.jaccard_distance(F.col("a.words"), F.col("b.words"))
-    return drawn.agg(F.coalesce(F.avg(distance), F.lit(0.0)).alias("lexdiv"))
+    return pairs.agg(F.coalesce(F.avg(distance), F.lit(0.0)).alias("lexdiv"))
 
 
 def metric_record(ndcg: DataFrame, lexdiv: DataFrame, all_turns: bool = False) -> DataFrame:

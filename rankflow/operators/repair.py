@@ -88,17 +88,23 @@ def cleared(guarded: DataFrame) -> DataFrame:
     return guarded.filter(F.col("decision").startswith("patch"))
 
 
+def _shared_key(left: DataFrame, right: DataFrame) -> list[str]:
+    return [c for c in ("session_id", "turn_number") if c in left.columns and c in right.columns]
+
+
 def patch(predictions: DataFrame, responses: DataFrame) -> DataFrame:
-    """Predictions with new responses (session_id, response) where there is one."""
-    new = responses.select("session_id", F.col("response").alias("_new"))
-    return (predictions.join(new, "session_id", "left")
+    """Predictions with new responses where there is one, by session and, if ``responses`` has it, turn."""
+    key = _shared_key(predictions, responses)
+    new = responses.select(*key, F.col("response").alias("_new"))
+    return (predictions.join(new, key, "left")
             .withColumn("predicted_response", F.coalesce("_new", "predicted_response")).drop("_new"))
 
 
 def merge_responses(predictions: DataFrame, source: DataFrame) -> DataFrame:
-    """Ranked items of one run with the responses of another; empty if it has none."""
-    texts = source.select("session_id", F.col("predicted_response").alias("_text"))
-    return (predictions.drop("predicted_response").join(texts, "session_id", "left")
+    """Ranked items of one run with the responses of another for the same turn; empty if it has none."""
+    key = _shared_key(predictions, source)
+    texts = source.select(*key, F.col("predicted_response").alias("_text"))
+    return (predictions.drop("predicted_response").join(texts, key, "left")
             .withColumn("predicted_response", F.coalesce("_text", F.lit(""))).drop("_text"))
 
 

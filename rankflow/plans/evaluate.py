@@ -9,6 +9,7 @@ from rankflow.functions import replies as R
 from rankflow.operators import complete as C
 from rankflow.operators import metrics, render
 from rankflow.operators.ranking import truncate
+from rankflow.plans.recommend import turn_key
 from rankflow.sources.tables import unpack_predictions
 
 
@@ -26,27 +27,27 @@ def evaluate(predictions: DataFrame, truth: DataFrame, all_turns: bool = False,
 def judge_prompts(predictions: DataFrame, turns: DataFrame, catalog: DataFrame, template: str,
                   conversation_style: str = "judge", candidate_style: str = "bullet",
                   shown: int = 5) -> DataFrame:
-    """(session_id, prompt) for every prediction whose session is known.
+    """(session_id, turn_number, prompt) for every prediction whose session is known, with its own tracks.
 
     ``template`` has places ``{conversation}``, ``{response}`` and ``{tracks}``.
     """
     conversations = render.render_turns(turns, conversation_style)
     ranked = truncate(unpack_predictions(predictions), shown).select(
-        F.col("session_id").alias("query_id"), F.col("track_id").alias("item_id"), "rank")
-    tracks = render.render_candidates(ranked, catalog, candidate_style).withColumnRenamed(
-        "query_id", "session_id")
-    rows = (predictions.select("session_id", "predicted_response")
-            .join(conversations, "session_id").join(tracks, "session_id", "left"))
-    return rows.select("session_id", render.fill_prompt(
+        turn_key().alias("query_id"), F.col("track_id").alias("item_id"), "rank")
+    tracks = render.render_candidates(ranked, catalog, candidate_style)
+    rows = (predictions.select("session_id", "turn_number", turn_key().alias("query_id"), "predicted_response")
+            .join(conversations, "session_id").join(tracks, "query_id", "left"))
+    return rows.select("session_id", "turn_number", render.fill_prompt(
         template, conversation=F.col("conversation"), response=F.col("predicted_response"),
         tracks=F.col("candidates")).alias("prompt"))
 
 
 def score_predictions(prompts: DataFrame, completer: C.Completer, **options) -> DataFrame:
-    """(session_id, personalization, explanation, reasoning); nulls where judging failed."""
+    """The keys of ``prompts`` and (personalization, explanation, reasoning); nulls where judging failed."""
+    keys = [c for c in ("session_id", "turn_number") if c in prompts.columns]
     answered = C.complete(prompts, completer, **options)
     parsed = answered.withColumn("s", R.parse_scores(F.col("reply")))
     return parsed.select(
-        "session_id", "s.personalization", "s.explanation",
+        *keys, "s.personalization", "s.explanation",
         F.coalesce("s.reasoning", F.when(F.col("reply").isNull(), "no reply")
                    .otherwise("parse error")).alias("reasoning"))

@@ -144,4 +144,5 @@ def recommend(turns: DataFrame, users: DataFrame, catalog: DataFrame, indexes: I
                          "ranked")
     text = render.template_response(ranked, catalog)
     ids = keyed.select("query_id", "session_id", "turn_number")
-    return prediction_rows(keyed, ranked.join(ids, "query_id"), text.join(ids, "query_id"), topk)
+    return prediction_rows(keyed, ranked.join(ids, "query_id"), text.join(ids, "query_id"), topk,
+                           missing=render.NO_TRACKS)

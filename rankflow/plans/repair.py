@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions.gates import GateRules, gate_reason
+from rankflow.functions.text import strip
 from rankflow.operators import complete as C
 from rankflow.operators import repair as K
 from rankflow.operators.judge import mean_score
@@ -28,8 +29,9 @@ def regenerate(work: DataFrame, completer: C.Completer, template: str, rules: Ga
     """Work rows with a new ``response`` that passed the gates, or null."""
     prompts = work.withColumn("prompt", fill_prompt(
         template, conversation=F.col("conversation"), tracks=F.col("candidates")))
-    return C.complete(prompts, completer, into="response", max_tries=max_tries,
-                      accept=gate_reason(F.col("reply"), rules).isNull(), **options).drop("prompt")
+    made = C.complete(prompts, completer, into="response", max_tries=max_tries,
+                      accept=gate_reason(strip(F.col("reply")), rules).isNull(), **options).drop("prompt")
+    return made.withColumn("response", strip(F.col("response")))
 
 
 def live_scores(work: DataFrame, judge: C.Completer, template: str, **options) -> DataFrame:

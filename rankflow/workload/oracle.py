@@ -167,10 +167,11 @@ def _judge_reply(prompt: str) -> str:
 
 def _lexdiv(source: str, key: str) -> str:
     return f"""
-    (WITH s AS (SELECT {key}::VARCHAR AS id, list_distinct(regexp_extract_all(lower(predicted_response), '\\S+')) AS w
-                FROM {source} WHERE predicted_response <> '' ORDER BY md5({key}::VARCHAR), id LIMIT 64),
-          p AS (SELECT a.w AS x, b.w AS y FROM s a JOIN s b ON a.id < b.id
-                ORDER BY md5(a.id || ':' || b.id) LIMIT 200)
+    (WITH t AS (SELECT {key}::VARCHAR AS id, predicted_response AS v FROM {source} WHERE predicted_response <> ''),
+          s AS (SELECT id, list_distinct(regexp_extract_all(lower(v), '\\S+')) AS w,
+                  ('0x' || substr(md5(id), 1, 8))::BIGINT % greatest((SELECT ceil(count(*) / 64.0)::BIGINT FROM t), 1) AS bucket
+                FROM t),
+          p AS (SELECT a.w AS x, b.w AS y FROM s a JOIN s b ON a.bucket = b.bucket AND a.id < b.id)
      SELECT coalesce(avg(CASE WHEN len(list_distinct(x || y)) > 0
                          THEN 1 - len(list_intersect(x, y)) / len(list_distinct(x || y)) END), 0) FROM p)"""
 
@@ -203,6 +204,15 @@ VIEWS: dict[str, str] = {
     "last_terms": f"""
     SELECT query_id, term, count(*) AS qtf FROM (
       SELECT query_id, unnest({_tokens('text')}) AS term FROM last_texts) GROUP BY query_id, term""",
+    "stream_texts": """
+    SELECT session_id || '/' || turn_number AS query_id, content AS text FROM turns WHERE role = 'user' UNION ALL
+    SELECT u.session_id || '/' || u.turn_number, h.content FROM turns u JOIN turns h USING (session_id)
+    WHERE u.role = 'user' AND h.turn_number < u.turn_number""",
+    "stream_terms": f"""
+    SELECT query_id, term, count(*) AS qtf FROM (
+      SELECT query_id, unnest({_tokens('text')}) AS term FROM stream_texts) GROUP BY query_id, term""",
+    "stream_scores": _bm25("doc_items", "doc_postings", "stream_terms"),
+    "stream_bm25": _top("stream_scores", 20),
     "last_scores": _bm25("doc_items", "doc_postings", "last_terms"),
     "last_bm25": _top("last_scores", 20),
     "last_bm25_wide": _top("last_scores", 100),
@@ -278,13 +288,13 @@ VIEWS: dict[str, str] = {
     "profiles": """
     SELECT user_id, concat_ws(', ', 'age_group: ' || age_group, 'gender: ' || gender, 'country: ' || country) AS profile
     FROM shop_users""",
-    "item_vectors": _assigned("(SELECT p_partkey, p_partkey::VARCHAR AS item_id FROM part WHERE p_partkey % 17 <> 0)",
+    "item_vectors": _assigned("(SELECT p_partkey, p_partkey::VARCHAR AS item_id FROM part)",
                               "item_id", "p_partkey"),
     "user_means": """
     SELECT user_id, list(m ORDER BY i) AS v FROM (
       SELECT session_id AS user_id, i, avg(vector[i]) AS m
       FROM shop_turns JOIN item_vectors ON item_id = content, range(1, 65) r(i)
-      WHERE role = 'music' AND session_id % 11 <> 0 GROUP BY session_id, i) GROUP BY user_id""",
+      WHERE role = 'music' GROUP BY session_id, i) GROUP BY user_id""",
     "user_vectors": f"SELECT user_id, {_unit('v')} AS vector FROM user_means",
     "taste": "SELECT user_id AS query_id, vector FROM user_vectors",
     "taste_scores": _dense("item_vectors", "taste"),
@@ -712,7 +722,7 @@ _FINAL: dict[str, str] = {
            response AS predicted_response
     FROM shop_targets JOIN recommended ON query_id = session_id JOIN recommend_text USING (query_id)
     GROUP BY session_id, turn_number, response""",
-    "stream_retrieve": _LIST + "last_bm25",
+    "stream_retrieve": _LIST + "stream_bm25",
     "prediction_roundtrip": """
     SELECT session_id::VARCHAR AS session_id, user_id::VARCHAR AS user_id, turn_number,
            array_to_string(ids, ',') AS ids, predicted_response FROM predictions""",

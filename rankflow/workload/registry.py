@@ -668,7 +668,7 @@ JUDGE_TEMPLATE = "Conversation:\n{conversation}\nResponse:\n{response}\nTracks:\
 @query
 def score_predictions(v: Views) -> DataFrame:
     prompts = E.judge_prompts(v.predictions, v.shop_turns, v.catalog, JUDGE_TEMPLATE)
-    return E.score_predictions(prompts, length_completer)
+    return E.score_predictions(prompts, length_completer).drop("turn_number")
 
 
 def quoting_completer(prompt: str) -> str:
@@ -708,17 +708,13 @@ def recommend(v: Views) -> DataFrame:
 
 @query
 def stream_retrieve(v: Views) -> DataFrame:
-    """The last user turns as a stream of files, ranked turn by turn."""
+    """All user turns with their histories as a stream of files, ranked turn by turn."""
     out, feed = scratch_path(v.spark, "stream"), scratch_path(v.spark, "feed")
-    events = v.last_texts.select(
-        F.col("query_id").alias("session_id"), F.lit(0).cast("long").alias("turn_number"),
-        F.col("text").alias("query"), F.array().cast(S.HISTORY_ROW_ARRAY).alias("history"))
-    events.repartition(4, "session_id").write.parquet(feed)
+    S.turn_events(v.turns).repartition(4, "session_id").write.parquet(feed)
     stream = S.start_ranking(S.read_turn_events(v.spark, feed), document_index(v), f"{out}/lists",
                              f"{out}/checkpoint", TOPK, available_now=True)
     stream.awaitTermination()
-    return S.read_ranked(v.spark, f"{out}/lists").select(
-        F.col("session_id").alias("query_id"), "item_id", "rank", "score")
+    return S.read_ranked(v.spark, f"{out}/lists").select(P.turn_key().alias("query_id"), "item_id", "rank", "score")
 
 
 # -- sources and sinks ----------------------------------------------------------------

@@ -80,3 +80,21 @@ def test_lexical_diversity_uses_every_pair_of_few_texts(spark):
     pairs = [1 - len(a & b) / len(a | b) for i, a in enumerate(bags) for b in bags[i + 1:]]
     assert metrics.lexical_diversity(texts, "k", "t").first()[0] == pytest.approx(sum(pairs) / len(pairs))
     assert metrics.lexical_diversity(texts.limit(1), "k", "t").first()[0] == 0.0
+
+
+def test_lexical_diversity_uses_every_text(spark):
+    rows = [(i, f"common w{i % 50} x{i % 7}") for i in range(1000)]
+
+    def value(changed=None):
+        texts = [(i, "quite another text" if i == changed else t) for i, t in rows]
+        return metrics.lexical_diversity(spark.createDataFrame(texts, "k long, t string"), "k", "t").first()[0]
+
+    whole = value()
+    assert all(value(i) != whole for i in (0, 1, 499, 500, 998, 999))
+
+
+def test_ndcg_counts_queries_without_a_list(spark):
+    ranked = spark.createDataFrame([("q1", "a", 1)], "query_id string, item_id string, rank int")
+    relevant = spark.createDataFrame([("q1", "a"), ("q2", "b")], "query_id string, item_id string")
+    got = metrics.ndcg_set(ranked, relevant, evaluated=relevant).collect()
+    assert {r.query_id: r.ndcg for r in got} == {"q1": 1.0, "q2": 0.0}
