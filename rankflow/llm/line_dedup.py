@@ -97,8 +97,10 @@ def later_copies(runs: DataFrame, levels: list[DataFrame]) -> DataFrame:
         named = part if named is None else named.union(part)
     named = materialize(named, "line-runs")
     place = F.struct("id", ROW, "s")
-    first = named.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return (named.join(first.drop("n"), ["m", "a", "b"]).where(~place.eqNullSafe(F.col("first")))
+    # Written on its own, so that the join may split a run that thousands of documents hold.
+    first = materialize(named.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+                        .where("n > 1").drop("n"), "first-runs")
+    return (named.join(first, ["m", "a", "b"]).where(~place.eqNullSafe(F.col("first")))
             .select(ROW, "s", (F.col("s") + F.col("m")).alias("end")))
 
 
