@@ -170,8 +170,8 @@ def bm25_topk(index: LexicalIndex, query_terms: DataFrame, k: int = 20,
     weights = materialize(known.select("query_id", "term", (
         F.col("qtf") * idf(F.col("df"), index.n_items)).alias("weight")), "query-weights")
     n_queries = weights.select(F.count_distinct("query_id")).first()[0]
-    item_blocks = block_count(weights.sparkSession, index.n_items, ITEM_BLOCK)
-    query_blocks = block_count(weights.sparkSession, n_queries, QUERY_BLOCK, item_blocks)
+    item_blocks = block_count(index.n_items, ITEM_BLOCK)
+    query_blocks = block_count(n_queries, QUERY_BLOCK, item_blocks)
 
     # Only postings of terms that are asked for go on, and only to query blocks that ask; a query's term only goes to
     # item blocks that hold it.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: decimals at which scores of different engines and summation orders agree
@@ -46,13 +46,17 @@ def dedupe(ranked: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:
 SLICE_CELLS = 1 << 20
 
 
-def block_count(spark: SparkSession, n: int, block: int, others: int = 1) -> int:
+#: tasks that a few rows are spread over, on any cluster: blocks, and with them sums, follow from the data alone
+SPREAD = 16
+
+
+def block_count(n: int, block: int, others: int = 1) -> int:
     """Number of blocks for ``n`` rows that meet ``others`` blocks of the other side.
 
-    Blocks are small enough for a task, and there are enough pairs to occupy the
-    cluster a few times over as long as each is worth a task.
+    Blocks are small enough for a task, and few rows still make some tasks as long as
+    each is worth one.
     """
-    pairs = (1 if others == 1 else 4) * spark.sparkContext.defaultParallelism
+    pairs = (1 if others == 1 else 4) * SPREAD
     busy = min(-(-pairs // others), -(-n * 16 // block))
     return max(1, -(-n // block), busy)
 

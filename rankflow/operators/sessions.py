@@ -77,13 +77,12 @@ def history_window(turns: DataFrame) -> DataFrame:
 def with_catalog(turns: DataFrame, catalog: DataFrame) -> DataFrame:
     """Turn rows with the catalogue fields of the music rows (left outer).
 
-    The other rows get keys of their own that match nothing: as nulls they would
-    all meet in one task.
+    Only music rows meet the catalogue; the texts of the others stay where they are.
     """
-    apart = F.concat(F.lit("\0"), F.xxhash64("session_id", "turn_number", "pos").cast("string"))
-    keyed = turns.withColumn(
-        "track_id", F.when(F.col("role") == "music", X.strip(F.col("content"))).otherwise(apart))
-    return lookup(keyed, catalog, ["track_id"], "left", salt_by=["session_id", "turn_number"])
+    music = F.coalesce(F.col("role") == "music", F.lit(False))
+    played = turns.filter(music).withColumn("track_id", X.strip(F.col("content")))
+    named = lookup(played, catalog, ["track_id"], "left", salt_by=["session_id", "turn_number"])
+    return named.unionByName(turns.filter(~music), allowMissingColumns=True)
 
 
 def remap_roles(turns: DataFrame, catalog: DataFrame, system_too: bool = False) -> DataFrame:

@@ -261,7 +261,7 @@ def _self_queries(v: Views) -> DataFrame:
 @query
 def dense_topk(v: Views) -> DataFrame:
     items = dense.vectors_table(v.embeddings, "vec_id", "embedding")
-    return dense.dense_topk(dense.build_cells(items), _self_queries(v), TOPK)
+    return dense.dense_topk(dense.vector_index(items), _self_queries(v), TOPK)
 
 
 @query
@@ -269,8 +269,8 @@ def precomputed_topk(v: Views) -> DataFrame:
     """A named vector column, divided into cells, opened again from its saved index."""
     items = v.item_vectors.withColumnRenamed("vector", "taste")
     path = scratch_path(v.spark, "vectors")
-    dense.build_cells(dense.vectors_table(items, "item_id", "taste"), n_cells=16, path=path)
-    return dense.dense_topk(dense.load_cells(v.spark, path), _self_queries(v), TOPK)
+    dense.vector_index(dense.vectors_table(items, "item_id", "taste"), path)
+    return dense.dense_topk(dense.load_vectors(v.spark, path), _self_queries(v), TOPK)
 
 
 def _taste(v: Views) -> DataFrame:
@@ -279,13 +279,13 @@ def _taste(v: Views) -> DataFrame:
 
 @query
 def cf_user_topk(v: Views) -> DataFrame:
-    return T.retrieve("cf", T.Indexes(collaborative=dense.build_cells(v.item_vectors)),
+    return T.retrieve("cf", T.Indexes(collaborative=dense.vector_index(v.item_vectors)),
                       T.Queries(user_vectors=_taste(v)), topk=TOPK)
 
 
 @query
 def hybrid_topk(v: Views) -> DataFrame:
-    indexes = T.Indexes(document_index(v), dense.build_cells(v.document_vectors))
+    indexes = T.Indexes(document_index(v), dense.vector_index(v.document_vectors))
     return T.retrieve("hybrid", indexes, T.Queries(v.last_texts, v.last_vectors), topk=TOPK,
                       candidate_k=100).select(*LISTS[:3], rounded("score"))
 
@@ -307,7 +307,7 @@ def multi_query_topk(v: Views) -> DataFrame:
     facets = T.facet_table(_facets(v))
     vectors = v.assigned_vectors(facets.select("query_id", "parent_id", "list_no"), "query_id",
                                  F.col("parent_id") + F.col("list_no"))
-    indexes = T.Indexes(document_index(v), dense.build_cells(v.document_vectors))
+    indexes = T.Indexes(document_index(v), dense.vector_index(v.document_vectors))
     ranked = T.retrieve("multi_query", indexes, T.Queries(
         facets.select("query_id", "text"), vectors, facets=facets), topk=50)
     return ranked.select(*LISTS[:3], rounded("score"))
@@ -319,13 +319,13 @@ def multi_query_topk(v: Views) -> DataFrame:
 @query
 def rrf(v: Views) -> DataFrame:
     lists = [lexical.bm25_topk(document_index(v), queries.query_terms(v.last_texts), TOPK),
-             dense.dense_topk(dense.build_cells(v.document_vectors), v.last_vectors, TOPK)]
+             dense.dense_topk(dense.vector_index(v.document_vectors), v.last_vectors, TOPK)]
     return fusion.rrf(lists).select(*LISTS[:3], rounded("score"))
 
 
 @query
 def rrf_weighted(v: Views) -> DataFrame:
-    indexes = T.Indexes(catalog_index(v), collaborative=dense.build_cells(v.item_vectors))
+    indexes = T.Indexes(catalog_index(v), collaborative=dense.vector_index(v.item_vectors))
     return T.retrieve("bm25_cf", indexes, T.Queries(_shop_texts(v), user_vectors=_taste(v)), topk=TOPK,
                       lexical_weight=0.7, collaborative_weight=0.3).select(*LISTS[:3], rounded("score"))
 
@@ -699,7 +699,7 @@ def response_stage(v: Views) -> DataFrame:
 @query
 def recommend(v: Views) -> DataFrame:
     """Sessions to prediction rows: weighted query, text and taste, template response."""
-    indexes = T.Indexes(catalog_index(v), collaborative=dense.build_cells(v.item_vectors))
+    indexes = T.Indexes(catalog_index(v), collaborative=dense.vector_index(v.item_vectors))
     rows = P.recommend(v.shop_turns, v.session_users, v.catalog, indexes, "bm25_cf",
                        user_vectors=v.user_vectors)
     return rows.select("session_id", "user_id", "turn_number",

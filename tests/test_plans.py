@@ -36,8 +36,8 @@ def test_recommend(spark, turns, users, catalog, index, mode, n):
     # "c" shares its artist with the played "a"
     assert set(made["s1", 3]["predicted_track_ids"]) == {"a", "b", "c", "d"}
     assert made["s1", 3]["predicted_response"].startswith("Here are my top picks")
-    # nothing matches: an empty list and an empty text
-    assert made["s2", 1]["predicted_track_ids"] == [] and made["s2", 1]["predicted_response"] == ""
+    # nothing matches: an empty list and the fixed sentence
+    assert made["s2", 1]["predicted_track_ids"] == [] and made["s2", 1]["predicted_response"] == render.NO_TRACKS
 
 
 def test_side_of_weight_zero_is_not_planned(spark, turns, users, catalog, index):
@@ -49,7 +49,7 @@ def test_side_of_weight_zero_is_not_planned(spark, turns, users, catalog, index)
 def test_taste_of_unknown_user_gives_no_rows(spark):
     items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "item_id string, vector array<double>")
     path = scratch_path(spark, "taste-test")
-    opened = [dense.open_cells(items, path, 2), dense.open_cells(items.limit(0), path)]
+    opened = [dense.open_vectors(items, path), dense.open_vectors(items.limit(0), path)]
     q = spark.createDataFrame([("u", [0.0, 2.0])], "query_id string, vector array<double>")
     for ix in opened:
         got = retrieval.retrieve("cf", retrieval.Indexes(collaborative=ix), retrieval.Queries(user_vectors=q), topk=2)
@@ -103,11 +103,12 @@ def test_responses_without_any_item(spark, catalog):
 
 
 def test_judging(spark, turns, catalog):
-    preds = spark.createDataFrame([("s1", 3, ["a", "zz"], "try these"), ("gone", 1, ["a"], "x")],
+    preds = spark.createDataFrame([("s1", 3, ["a", "zz"], "try these"), ("s1", 2, ["b"], "or this"), ("gone", 1, ["a"], "x")],
                                   "session_id string, turn_number int, predicted_track_ids array<string>, predicted_response string")
     prompts = evaluate.judge_prompts(preds, turns, catalog, "{conversation}#{response}#{tracks}")
-    text = dict(rows(prompts))
-    assert list(text) == ["s1"]
-    assert text["s1"].endswith("#try these#- Alpha by One | rock, loud\n- zz by Unknown | ")
+    text = {(s, t): p for s, t, p in rows(prompts)}
+    assert sorted(text) == [("s1", 2), ("s1", 3)]
+    assert text["s1", 3].endswith("#try these#- Alpha by One | rock, loud\n- zz by Unknown | ")
+    assert "#or this#- Beta by" in text["s1", 2] and "Alpha by One | rock" not in text["s1", 2].split("#or this#")[1]
     got = evaluate.score_predictions(prompts, lambda p: "no numbers").first()
     assert (got["personalization"], got["reasoning"]) == (None, "parse error")

@@ -64,17 +64,17 @@ def test_index_is_reused(spark, corpus):
     assert built.mean_len == other.mean_len
 
 
-@pytest.mark.parametrize("n_cells, block", [(1, 8192), (12, 8192), (12, 30)])
-def test_dense_matches_brute_force(spark, monkeypatch, n_cells, block):
-    monkeypatch.setattr(dense, "ITEM_BLOCK", block)
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 16)
+@pytest.mark.parametrize("items_at_once, values", [(8192, 1 << 22), (30, 1 << 22), (64, 50)])
+def test_dense_matches_brute_force(spark, monkeypatch, items_at_once, values):
+    monkeypatch.setattr(dense, "ITEM_BLOCK", items_at_once)
+    monkeypatch.setattr(dense, "BLOCK_VALUES", values)
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(6, 8)) * 4
     items = np.vstack([centers[rng.integers(0, 6, 200)] + rng.normal(size=(200, 8)) * 0.2,
                        np.tile(centers[0], (100, 1)), np.zeros((1, 8))])
     asked = np.vstack([centers + 0.1, rng.normal(size=(30, 8))])
-    index = dense.build_cells(spark.createDataFrame(
-        [(f"i{n:03}", v.tolist()) for n, v in enumerate(items)], "item_id string, vector array<double>"), n_cells)
+    index = dense.vector_index(spark.createDataFrame(
+        [(f"i{n:03}", v.tolist()) for n, v in enumerate(items)], "item_id string, vector array<double>"))
     q = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(asked)], "query_id int, vector array<double>")
     got = {}
     for r in dense.dense_topk(index, q, 10).orderBy("query_id", "rank").collect():
@@ -85,32 +85,32 @@ def test_dense_matches_brute_force(spark, monkeypatch, n_cells, block):
         assert got[n] == [f"i{i:03}" for i in want]
 
 
-@pytest.mark.parametrize("n_cells", [1, 4])
-def test_no_cross_join_is_planned(spark, n_cells):
+def test_items_stay_where_they_are(spark):
+    """Only the best of each block are shuffled, never vectors."""
     vectors = [(n, [float(n), 1.0]) for n in range(20)]
-    index = dense.build_cells(spark.createDataFrame(vectors, "item_id int, vector array<double>"), n_cells)
+    index = dense.vector_index(spark.createDataFrame(vectors, "item_id int, vector array<double>"))
     q = spark.createDataFrame(vectors, "query_id int, vector array<double>")
     plan = dense.dense_topk(index, q, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    below = plan[plan.index("Exchange"):].split("MapInArrow")[0]
+    assert plan.count("Exchange") == 1 and "vector" not in below
+    assert dense.dense_topk(index, q.limit(0), 3).count() == 0
 
 
-def test_pruning_visits_fewer_cells(spark):
-    rng = np.random.default_rng(1)
-    centers = rng.normal(size=(8, 16)) * 10
-    items = centers[np.arange(400) % 8] + rng.normal(size=(400, 16)) * 0.05
-    index = dense.build_cells(spark.createDataFrame(
-        [(n, v.tolist()) for n, v in enumerate(items)], "item_id int, vector array<double>"), 40)
-    q = spark.createDataFrame([(0, centers[0].tolist())], "query_id int, vector array<double>")
-
-    def reachable(bounds, _batch):
-        return bounds >= np.sort(centers[0] @ items.T)[-5]
-
-    visited = dense._visits(q, index, reachable).count()
-    assert 0 < visited < (index.sizes > 0).sum()
+def test_only_postings_that_are_asked_for_are_shuffled(spark):
+    """Blocks that hold no term of a query are not sent to, and other terms' postings stay behind."""
+    docs = spark.createDataFrame([(n, f"rare{n} filler{n % 3} stuff{n % 5}") for n in range(600)], "item_id long, text string")
+    index = lexical.build_index(docs)
+    asked = spark.createDataFrame([("q", "rare7", 1), ("r", "rare8", 1)], "query_id string, term string, qtf int")
+    out = lexical.bm25_topk(index, asked, 5)
+    assert [(r["query_id"], r["item_id"]) for r in out.orderBy("query_id").collect()] == [("q", 7), ("r", 8)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    cogroup = plan[plan.index("FlatMapCoGroups"):]
+    assert "LeftSemi" in cogroup
 
 
 def test_fewer_items_than_asked(spark):
-    index = dense.build_cells(spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "item_id string, vector array<double>"))
+    index = dense.vector_index(spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "item_id string, vector array<double>"))
     q = spark.createDataFrame([(1, [1.0])], "query_id int, vector array<double>")
     assert [(r["item_id"], r["rank"]) for r in dense.dense_topk(index, q, 5).orderBy("rank").collect()] == [
         ("b", 1), ("a", 2)]
