@@ -12,6 +12,7 @@ from rankflow.operators import queries as Q
 from rankflow.operators import render, rerank, sessions
 from rankflow.operators.joins import lookup
 from rankflow.operators.ranking import truncate
+from rankflow.operators.repair import require_unique
 from rankflow.plans.retrieval import Indexes, Queries, retrieve
 from rankflow.session import materialize
 from rankflow.sources.sinks import pack_ranked, prediction_rows
@@ -144,5 +145,6 @@ def recommend(turns: DataFrame, users: DataFrame, catalog: DataFrame, indexes: I
                          "ranked")
     text = render.template_response(ranked, catalog)
     ids = keyed.select("query_id", "session_id", "turn_number")
-    return prediction_rows(keyed, ranked.join(ids, "query_id"), text.join(ids, "query_id"), topk,
+    rows = prediction_rows(keyed, ranked.join(ids, "query_id"), text.join(ids, "query_id"), topk,
                            missing=render.NO_TRACKS)
+    return require_unique(rows)

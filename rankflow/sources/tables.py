@@ -76,10 +76,12 @@ def unpack_predictions(predictions: DataFrame) -> DataFrame:
 
 def read_judge_scores(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Score table of files that hold a map from session to judge scores, one
-    indented object per file or, without ``multiline``, one object per line."""
+    indented object per file or, without ``multiline``, one object per line. The
+    means of the files' header come with every row."""
     fields = T.StructType([
+        T.StructField("proxy_avg", T.DoubleType()), T.StructField("known_gemini", T.DoubleType()),
         T.StructField("sessions", T.MapType(T.StringType(), schemas.JUDGE_SCORE)),
     ])
     rows = spark.read.schema(fields).json(path, multiLine=multiline)
-    return (rows.select(F.explode("sessions").alias("session_id", "s"))
-            .select("session_id", "s.*"))
+    return (rows.select("proxy_avg", "known_gemini", F.explode("sessions").alias("session_id", "s"))
+            .select("session_id", "s.*", "proxy_avg", "known_gemini"))

@@ -730,7 +730,17 @@ _FINAL: dict[str, str] = {
     SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf
     FROM doc_postings GROUP BY term""",
     "judge_roundtrip": """
-    SELECT session_id::VARCHAR AS session_id, personalization, explanation, 'ok' AS reasoning FROM scores_a""",
+    SELECT session_id::VARCHAR AS session_id, personalization, explanation, 'ok' AS reasoning, 4.4::DOUBLE AS known_gemini,
+           (SELECT round(avg((personalization + explanation) / 2), 6) FROM scores_a) AS proxy_avg FROM scores_a""",
+    "users_settled": """
+    SELECT c_custkey::VARCHAR AS user_id, c_mktsegment AS age_group, CASE WHEN c_custkey % 5 <> 0 THEN 'x' ELSE 'y' END AS gender,
+           n_name AS country FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
+    "first_sessions": """
+    SELECT session_id::VARCHAR AS session_id, turn_number, query FROM shop_targets ORDER BY session_id::VARCHAR LIMIT 50""",
+    "encoder_query": "SELECT query_id, 'query: ' || text AS text FROM last_texts",
+    "short_ids": "SELECT session_id, substr(md5(session_id::VARCHAR), 1, 8) AS short FROM shop_targets",
+    "tasks_without_result": "SELECT session_id FROM scores_a WHERE personalization IS NULL",
+    "empty_replies": "SELECT session_id, turn_number, '' AS reply FROM turns",
     "metrics_roundtrip": _evaluated("scored_last", "last-turn-only"),
     "nested_sessions": "SELECT session_id::VARCHAR AS session_id, turn_number, query FROM shop_targets",
 }

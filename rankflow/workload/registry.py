@@ -741,13 +741,10 @@ def rounded_idf(index: lexical.LexicalIndex) -> F.Column:
 
 @query
 def judge_roundtrip(v: Views) -> DataFrame:
-    """Scores packed as maps of a hundred sessions, as score files are, read back as a table."""
+    """Scores written as files of a hundred sessions each with their header, read back as a table."""
     path = scratch_path(v.spark, "scores")
-    entry = F.struct("session_id", F.struct("personalization", "explanation", F.lit("ok").alias("reasoning")))
-    packed = v.scores_a.groupBy(F.floor(F.col("session_id") / 100).alias("part")).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("sessions"))
-    packed.select("sessions").write.json(path)
-    return tables.read_judge_scores(v.spark, path, multiline=False)
+    sinks.write_judge_scores(v.scores_a.withColumn("reasoning", F.lit("ok")), path, KNOWN_MEAN, sessions_per_object=100)
+    return tables.read_judge_scores(v.spark, path, multiline=False).withColumn("proxy_avg", F.round("proxy_avg", 6))
 
 
 @query
@@ -767,3 +764,44 @@ def nested_sessions(v: Views) -> DataFrame:
         "user_id", F.col("session_id")).write.parquet(path)
     flat = sessions.flatten_sessions(tables.first_sessions(tables.read_sessions(v.spark, path), None))
     return sessions.last_user_turn(flat).select("session_id", F.col("turn_number").cast("long"), "query")
+
+
+@query
+def users_settled(v: Views) -> DataFrame:
+    """Users written as two splits, all splits read, the last one winning."""
+    root = scratch_path(v.spark, "users")
+    users = v.users.withColumn("user_id", F.col("user_id").cast("string"))
+    newer = users.filter(F.col("gender").isNull()).withColumn("gender", F.lit("y"))
+    users.write.parquet(f"{root}/split=first")
+    newer.write.parquet(f"{root}/split=second")
+    return tables.normalize_users(splits.read_splits(v.spark, root))
+
+
+@query
+def first_sessions(v: Views) -> DataFrame:
+    """The first 50 sessions by id, as the limit of a trial run is."""
+    return tables.first_sessions(v.shop_targets.withColumn("session_id", F.col("session_id").cast("string")), 50)
+
+
+@query
+def encoder_query(v: Views) -> DataFrame:
+    return v.last_texts.select("query_id", X.query_text(F.col("text")).alias("text"))
+
+
+@query
+def short_ids(v: Views) -> DataFrame:
+    """Leading characters of the hashed session ids, as reports show them."""
+    return v.shop_targets.select("session_id", X.short_id(F.md5(F.col("session_id").cast("string"))).alias("short"))
+
+
+@query
+def tasks_without_result(v: Views) -> DataFrame:
+    """Sessions that the judge gave no score."""
+    return repair.without_result(v.shop_targets, v.scores_a.filter(F.col("personalization").isNotNull())).select("session_id")
+
+
+@query
+def empty_replies(v: Views) -> DataFrame:
+    """Prompts put to the completer that says nothing."""
+    rows = v.turns.select("session_id", "turn_number", F.concat_ws(": ", "role", "content").alias("prompt"))
+    return C.complete(rows, C.empty_completer).select("session_id", "turn_number", "reply")

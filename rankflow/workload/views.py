@@ -239,7 +239,3 @@ class Views:
     @cached_property
     def query_users(self) -> DataFrame:
         return self.session_users.select(F.col("session_id").alias("query_id"), "user_id")
-
-    @cached_property
-    def turn_keys(self) -> DataFrame:
-        return self.shop_targets.select(turn_key().alias("query_id"), "session_id", "turn_number")
