@@ -32,7 +32,8 @@ WIDTH, STRIDE, FILTERS, EMBEDDING = 8, 2, 24, 8
 #: Bytes of a block; a chunk is ``CHUNK`` blocks and begins ``STEP`` blocks after the one before.
 BLOCK, CHUNK, STEP = 128, 4, 3
 SAMPLE, SAMPLE_BLOCKS = 3000, 128
-EPOCHS, BATCH, RATE = 10, 64, 0.01
+#: Steps of training, whatever the size of the sample.
+STEPS, BATCH, RATE = 500, 64, 0.01
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 #: Blocks scored at a time.
@@ -112,7 +113,7 @@ def train(samples: Sequence[np.ndarray], labels: np.ndarray, seed: int = 7) -> N
     names = [f.name for f in fields(net)]
     first, second = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2))
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(samples))
         for start in range(0, len(order), BATCH):
             batch = order[start:start + BATCH]
@@ -122,7 +123,7 @@ def train(samples: Sequence[np.ndarray], labels: np.ndarray, seed: int = 7) -> N
                 first[n] = 0.9 * first[n] + 0.1 * grads[n]
                 second[n] = 0.99 * second[n] + 0.01 * grads[n] ** 2
                 change = first[n] / (1 - 0.9 ** step) / (np.sqrt(second[n] / (1 - 0.99 ** step)) + 1e-8)
-                setattr(net, n, getattr(net, n) - RATE * (1 - 0.9 * step * BATCH / (EPOCHS * len(samples) + BATCH)) * change)
+                setattr(net, n, getattr(net, n) - RATE * max(0.1, 1 - 0.9 * step / STEPS) * change)
     return net
 
 

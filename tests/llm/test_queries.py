@@ -88,10 +88,12 @@ def test_op3_is_what_all_pairs_give(spark, docs):
     assert len({c for _, c in got.values()}) < len(got)
 
 
-def test_op6_base_spans(spark, docs):
+def test_op6_base_spans(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     keys = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
     assign = re.compile(rf"""({keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-    rows = QUERIES["op6_secret_scan"](spark, SF).collect()
+    rows = QUERIES["op6_secret_scan"](spark, sf).collect()
     assert sum(r.n_assign for r in rows) > 0
     for r in rows:
         text = docs[r.doc_id]
