@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import lru_cache
@@ -27,9 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+_roots: set[str] = set()
+
+
+def _scratch_root(root: str, jvm, conf) -> str:
+    """The application's own folder; it goes when the driver's interpreter ends."""
+    if root in _roots:
+        return root
+    _roots.add(root)
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(conf)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            files.delete(folder, True)
+
+    atexit.register(remove)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/rankflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder below the shared one.
+
+    What stands there serves the running application only and is deleted at its end.
+    """
+    context = spark.sparkContext
+    root = f"{shared_dir(spark)}/rankflow/{context.applicationId}"
+    return f"{_scratch_root(root, context._jvm, context._jsc.hadoopConfiguration())}/{name}-{uuid.uuid4().hex}"
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
