@@ -120,3 +120,49 @@ SELECT conv_id, position, turn, role, coalesce(text, '') AS text, reply_to, coal
     || chr(10) || '<|end|>' AS formatted
 FROM placed LEFT JOIN texts USING (r) LEFT JOIN quoted USING (r) LEFT JOIN best USING (r)
 """
+
+#: The kinds of spans with their patterns and the group that is a value.
+_SPANS = (
+    ("assign", "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+               "|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1),
+    ("access", "AKIA[A-Z0-9]{16,}", 0), ("hex", "[0-9a-f]{24,}", 0),
+    ("identifier", "\\b(?:user|username|login|account|client_id|access_key_id)[\"'']?\\x20{0,8}[:=]\\x20{0,8}[\"'']?"
+                   "[A-Za-z0-9_.@-]{3,64}", 0),
+    ("random", "\\b[A-Za-z0-9+/]{32,64}\\b", 0),
+    ("endpoint", "\\b(?:https?|jdbc:[a-z]{2,16}|mongodb|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9_.:@/?&=%-]{4,200}", 0),
+)
+
+
+def _found(order: int, kind: str, pattern: str, group: int) -> str:
+    return f"""
+    SELECT r, {order} AS o, '{kind}' AS kind, k, length(m[k]) AS n, length(v[k]) AS value,
+      list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT r, unnest(range(1, len(m) + 1)) AS k, m, v, p FROM (
+      SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
+        string_split_regex(t, '{pattern}') AS p FROM docs))"""
+
+
+_LISTED = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e), '')"
+
+ORACLE["op6_secret_scan"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT r, o, kind, s::BIGINT AS s, (s + n)::BIGINT AS e FROM (
+  {" UNION ALL ".join(_found(i, *x) for i, x in enumerate(_SPANS))}) WHERE kind <> 'assign' OR value >= 6),
+base AS (SELECT * FROM found WHERE o < 3),
+weak AS (
+  SELECT * FROM found w WHERE o >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)),
+parts AS (SELECT * FROM weak UNION ALL SELECT * FROM base WHERE kind = 'access'),
+linked AS (
+  SELECT * FROM weak w WHERE EXISTS (
+    SELECT 1 FROM parts x WHERE x.r = w.r AND x.s <= w.e + 200 AND x.e + 200 >= w.s AND (x.s >= w.e OR x.e <= w.s)
+      AND CASE w.kind WHEN 'identifier' THEN x.kind IN ('random', 'endpoint')
+          WHEN 'random' THEN x.kind IN ('identifier', 'access', 'endpoint')
+          ELSE x.kind IN ('identifier', 'access', 'random') END)),
+counted AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, {_LISTED} AS spans FROM base GROUP BY r),
+listed AS (SELECT r, {_LISTED} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(c.spans, '')) AS base_sha256, coalesce(l.spans, '') AS spans
+FROM docs LEFT JOIN counted c USING (r) LEFT JOIN listed l USING (r)
+"""
