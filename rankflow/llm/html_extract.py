@@ -44,8 +44,8 @@ ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|"
     r"nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|"
     r"toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
-                 re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+                 r"(?:((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -117,9 +117,10 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             close()
             leave(IMPLIED.get(name, ("p",)), IMPLIED_WITHIN)
-        if name in VOID or tag[3].endswith("/"):
+        attributes = tag[4] if tag[3] is None else tag[3]  # the fourth group holds what an open quote leaves
+        if name in VOID or attributes.endswith("/"):
             continue
-        names = " ".join(filter(None, (x for m in NAMES.findall(tag[3]) for x in m)))
+        names = " ".join(filter(None, (x for m in NAMES.findall(attributes) for x in m)))
         aside = name in ASIDE or bool(names and ASIDE_NAMES.search(names))
         open_.append((name, aside))
         links += name == "a"

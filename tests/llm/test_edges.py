@@ -185,12 +185,12 @@ def test_pages(spark):
         1: None, 2: "", 3: f"<nav><a href=/>Home</a></nav><article><h1>T &amp;amp; t</h1>{body}<p>Tiny<br>bit</p></article><footer>f</footer>",
         4: f"<div class='top-menu'>Menu</div><div>{body}<p class=ad>Buy<p>Short one.{body}</div><div id=comments>{body}</div>",
         5: "<article>a<!-- c --><script>var x='</article>';</script> b<form>f</form><aside>s</aside></article",
-        6: "<article>open &nbsp; text"}
+        6: "<article>open &nbsp; text", 7: "<article><p title=\"open>some text</p><p>more</p></article>"}
     rows = spark.createDataFrame([(i, "u", h, 1) for i, h in pages.items()], "page_id long, url string, html string, text int")
     text = body[3:-4]
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(rows).collect()}
     assert {i: t for i, (t, _) in got.items()} == {1: "", 2: "", 3: f"T &amp; t {text} Tiny bit", 4: f"{text} Short one. {text}",
-                                                  5: "a b", 6: "open text"}
+                                                  5: "a b", 6: "open text", 7: "some text more"}
     assert all(n == len(t) for t, n in got.values())
 
 
