@@ -49,6 +49,7 @@ class Codec:
         self.find = bpe.Splitter(WORDS, "removed")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split
         self.known: dict[str, tuple[int, ...]] = {}
+        self.forms: dict[str, tuple[int, str, str]] = {}
         self.merged = 0
 
     def words(self, text: str) -> list[str]:
@@ -131,13 +132,15 @@ class Codec:
     def written(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text its number of tokens, and ids and names as text; each distinct word is written out once."""
         split = self.split(texts)
-        distinct = {w for words in split for w in words}
-        numbers = {w: len(self.known[w]) for w in distinct}
-        ids = {w: " ".join(map(str, self.known[w])) for w in distinct}
-        names = {w: self.decode(self.known[w]) for w in distinct}
+        forms, known = self.forms, self.known
+        if len(forms) > MEMORY:
+            forms.clear()
+        for word in {w for words in split for w in words}.difference(forms):
+            ids = known[word]
+            forms[word] = len(ids), " ".join(map(str, ids)), self.decode(ids)
         for words in split:
-            yield (sum(map(numbers.__getitem__, words)), " ".join(map(ids.__getitem__, words)),
-                   " ".join(map(names.__getitem__, words)))
+            n, ids, names = zip(*map(forms.__getitem__, words)) if words else ((), (), ())
+            yield sum(n), " ".join(ids), " ".join(names)
 
 
 def _sha256(text: str) -> str:
