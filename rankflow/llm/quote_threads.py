@@ -44,21 +44,25 @@ def normal(line: Column) -> Column:
 
 
 def ordered(rows: DataFrame, *names: str) -> DataFrame:
-    """``rows`` with ``position`` from 0 in their conversation by ``names``, and a row number.
-
-    Rows are sorted by ranges of conversation and place; what each partition holds of a conversation is counted,
-    and the counts of the partitions before are added to the place within the partition.
-    """
-    dealt = materialize(
+    """``rows`` by ranges of conversation and ``names``, with partition and a number that grows in this order; written."""
+    return materialize(
         rows.repartitionByRange("conv_id", *names).sortWithinPartitions("conv_id", *names)
         .withColumn("part", F.spark_partition_id()).withColumn(ROW, F.monotonically_increasing_id()), "messages")
-    held = dealt.groupBy("conv_id", "part").agg(F.min(ROW).alias("from"), F.count("*").alias("n"))
+
+
+def positions(dealt: DataFrame) -> DataFrame:
+    """(row number, ``position``): places from 0 in the conversation.
+
+    What each partition holds of a conversation is counted; the counts of the partitions before are added to the place
+    within the partition.
+    """
+    keys = dealt.select(ROW, "conv_id", "part")
+    held = keys.groupBy("conv_id", "part").agg(F.min(ROW).alias("from"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(
         Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = held.select(F.col("conv_id").alias("conv2"), F.col("part").alias("part2"), "from", before.alias("before"))
-    return (dealt.join(offsets, F.col("conv_id").eqNullSafe(F.col("conv2")) & (F.col("part") == F.col("part2")))
-            .withColumn("position", (F.col(ROW) - F.col("from") + F.col("before")).cast("long"))
-            .drop("conv2", "part2", "from", "before", "part"))
+    return (keys.join(offsets, F.col("conv_id").eqNullSafe(F.col("conv2")) & (F.col("part") == F.col("part2")))
+            .select(ROW, (F.col(ROW) - F.col("from") + F.col("before")).cast("long").alias("position")))
 
 
 def links(lines: DataFrame) -> DataFrame:
@@ -78,16 +82,17 @@ def threads(messages: DataFrame) -> DataFrame:
     ``formatted``, a row per message."""
     plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                             F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("raw"))
-    rows = ordered(plain, "turn", "role", "raw").withColumn("lines", parsed(F.col("raw")))
+    dealt = ordered(plain, "turn", "role", "raw")
+    rows = dealt.withColumn("lines", parsed(F.col("raw")))
     announces = F.filter("lines", lambda x, k: (x["level"] == 0) & ~(
         x["body"].rlike(ANNOUNCES) & F.coalesce(F.get("lines", k + 1)["level"] > 0, F.lit(False))))
     own = rows.withColumn("own", announces)
     text = F.regexp_replace(F.array_join(F.transform("own", lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
-    done = own.select(ROW, "conv_id", "position", "turn", "role", text.alias("text"),
+    done = own.select(ROW, "conv_id", "turn", "role", text.alias("text"),
                       F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"))
     spoken = own.select(ROW, "conv_id", "turn", F.explode(F.concat(
         "own", F.filter("lines", lambda x: x["level"] > 0))).alias("line"))
     markup = F.concat(F.lit("<|"), F.regexp_replace("role", r"[<|>\s]", ""), F.lit("|>\n"),
                       F.replace("text", F.lit("<|"), F.lit("< |")), F.lit("\n<|end|>"))
-    return done.join(links(spoken), ROW, "left").select(
+    return done.join(positions(dealt), ROW).join(links(spoken), ROW, "left").select(
         "conv_id", "position", "turn", "role", "text", "reply_to", "n_quoted", markup.alias("formatted"))
