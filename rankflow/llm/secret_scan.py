@@ -4,8 +4,8 @@ Strong finds stand alone: assignments to a secret's name, access identifiers, lo
 hexadecimal runs. Weak parts do not: an account or client name, a word that only looks
 random, an endpoint. They are reported where parts that complete one another stand
 within one scope: an identifier (weak or an access identifier) with a random-looking
-word or an endpoint of a service that asks for credentials, each at most ``SCOPE``
-characters from the other.
+word or an endpoint (of any scheme), each at most ``SCOPE`` characters from the other. Parts
+have no upper length.
 
 The parts of all documents are rows of (document, kind, start, end), few against the
 texts. The interval join deals every part to the cells of ``SCOPE`` characters that its
@@ -35,10 +35,12 @@ ASSIGN = (r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE
 MIN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-IDENTIFIER = (r"\b(?:user|username|login|account|client_id|access_key_id)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?"
-              r"[A-Za-z0-9_.@-]{3,64}")
-RANDOM = r"\b[A-Za-z0-9+/]{32,64}\b"
-ENDPOINT = r"\b(?:https?|jdbc:[a-z]{2,16}|mongodb|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9_.:@/?&=%-]{4,200}"
+IDENTIFIER = (r"\b(?:user|username|login|account|client_id|access_key_id)[\"']?\x20*[:=]\x20*[\"']?"
+              r"[A-Za-z0-9_.@-]{3,}")
+#: Of any length, with the signs + and / at its ends and its padding.
+RANDOM = (r"(?:\b|(?<![A-Za-z0-9+/_]))[A-Za-z0-9+/]{32,}(?:\b|(?![A-Za-z0-9+/_]))(?:={1,2}(?![A-Za-z0-9+/_=]))?")
+#: Any scheme, also one of several parts; possessive, so that long runs of words and hyphens are read once.
+ENDPOINT = r"\b(?<!\w[+-])(?:jdbc:)?\w++(?:[+-]\w++)*+://[A-Za-z0-9_.:@/?&=%-]{4,}"
 #: What makes a weak part worth reporting: kinds that may complete it.
 COMPLEMENTS = {"identifier": ("random", "endpoint"), "random": ("identifier", "access", "endpoint"),
                "endpoint": ("identifier", "access", "random")}

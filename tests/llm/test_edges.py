@@ -179,6 +179,21 @@ def test_weak_parts_need_each_other(spark):
                    5: [("identifier", "user=robert"), ("endpoint", "https://host.example.com/x")], 6: []}
 
 
+def test_weak_parts_are_whole_at_any_length(spark):
+    long, url = "Zk3" * 400, "https://host.example.com/" + "path/" * 100 + "end"
+    parts = {1: ("user=robert", long), 2: ("user=robert", "/" + "aB3+" * 20 + "/=="), 3: ("user=robert", url),
+             4: ("user=robert", "postgresql://db.example.com/x"), 5: ("user=robert", "mongodb+srv://db.example.com/x"),
+             6: ("login=" + "a.b-" * 50 + "c", url), 7: ("user" + " " * 20 + "= robert", "jdbc:postgresql://db.example.com/x"),
+             8: ("user=robert", "/" + "aB3" * 12 + "+")}
+    texts = {i: f"see {' and '.join(p)} there" for i, p in parts.items()}
+    rows = secret_scan.scan(table(spark, list(texts.items()))).collect()
+    for r in rows:
+        found = [texts[r.doc_id][slice(*map(int, s.split(":")[1:]))] for s in r.spans.split(",") if s]
+        assert set(parts[r.doc_id]) <= set(found), r.doc_id
+    many = "a-b+" * 20_000 + " " + "a/" * 20_000 + "_ user=robert"
+    assert [r.doc_id for r in secret_scan.scan(table(spark, [(1, many)])).collect()] == [1]
+
+
 def test_pages(spark):
     body = "<p>One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen.</p>"
     pages = {
