@@ -39,11 +39,17 @@ IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 IMPLIED_WITHIN = ("ul", "ol", "dl", "table", "div", "section", *ARTICLE)
 #: Sections that are not the article, whatever their text.
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
-#: Names of classes, ids and roles of such sections.
+#: Names of classes, ids and roles of such sections, by themselves or after words for where they stand and before words for
+#: what they are made of. A name with any other part ('has-sidebar', 'header-fixed') says how a page is laid out.
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|"
-    r"nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|"
-    r"toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+    r"ads?|advert[a-z]*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav[a-z]*|"
+    r"newsletter|notice|pagination|popup|promo[a-z]*|related|replies|share|sharing|sidebar|social|sponsor[a-z]*|subscribe|"
+    r"toolbar|widget|complementary|contentinfo|search")
+NAME_BEFORE = frozenset("site page top bottom main global mobile".split())
+NAME_AFTER = re.compile(r"box|bar|list|links?|buttons?|slot|unit|form|area|block|section|posts|articles|items?|signup|\d+")
+NAME_PARTS = re.compile(r"[_-]+")
+#: Elements that hold the page or the article; their names are no marks of an aside.
+WHOLE = ("html", "body", "main", "article")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
                  r"(?:((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -121,7 +127,7 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or attributes.endswith("/"):
             continue
         names = " ".join(filter(None, (x for m in NAMES.findall(attributes) for x in m)))
-        aside = name in ASIDE or bool(names and ASIDE_NAMES.search(names))
+        aside = name in ASIDE or (name not in WHOLE and names_aside(names))
         open_.append((name, aside))
         links += name == "a"
         articles += name in ARTICLE
@@ -131,6 +137,16 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def names_aside(names: str) -> bool:
+    """Whether one of these classes, ids and roles is as a whole the name of a section beside the article."""
+    for name in names.lower().split():
+        parts = list(itertools.dropwhile(NAME_BEFORE.__contains__, NAME_PARTS.split(name.strip("_-"))))
+        if parts and ASIDE_NAMES.fullmatch(parts[0]) and all(
+                ASIDE_NAMES.fullmatch(part) or NAME_AFTER.fullmatch(part) for part in parts[1:]):
+            return True
+    return False
+
+
 FEATURES = ("words", "link_density", "aside", "article", "elsewhere", "heading", "words_before", "link_density_before",
             "words_after", "link_density_after")
 

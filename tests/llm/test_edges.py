@@ -209,6 +209,17 @@ def test_pages(spark):
     assert all(n == len(t) for t, n in got.values())
 
 
+def test_names_of_layouts_are_no_asides():
+    body = "<p>One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen.</p>"
+    tree, text = html_extract.trained(), body[3:-4]
+    for page in (f"<body class='has-sidebar'><div>{body}</div>", f"<article class='post has-comments'>{body}</article>",
+                 f"<html class=search><body id=header class='single-post right-sidebar'><main class=widget>{body}</main>",
+                 f"<div class='layout no-sidebar header-fixed'>{body}</div>"):
+        assert html_extract.main_text(page, tree) == text, page
+    for name in ("sidebar", "x ad", "site-footer", "top-menu", "share-buttons y", "related_posts", "cookie-consent-banner", "ad-1"):
+        assert html_extract.main_text(f"<article>{body}<div class='{name}'>{body}</div></article>", tree) == text, name
+
+
 def test_network_learns_and_reads_whole_texts():
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["plain", "prose", "and", "more"], 60)).encode() for _ in range(60)]
