@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ from rankflow.llm.batches import cut
 
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea button".split())
+#: Those that are read as plain characters up to their end tag, and those that have none if their tag closes itself.
+RAW, FOREIGN = ("script", "style", "title", "textarea", "iframe"), ("svg", "math")
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strong "
                    "strike sub sup time tt u var wbr".split())
@@ -68,6 +71,50 @@ class Block:
     heading: bool
 
 
+def tags(page: str) -> tuple[list[tuple[int, int, bool, str, str]], dict[int, int]]:
+    """The tags of a page (start, end, whether an end tag, name, attributes), and where each ``SILENT`` element ends, by start.
+
+    An element whose end tag is missing, or comes only after the end of what it stands in, has no end; raw text without an
+    end tag goes on to the end of the head that it stands in, or else of the page.
+    """
+    found, ends = [], {}
+    stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()
+    missing: set[str] = set()
+    at = 0
+    while tag := TAG.search(page, at):
+        at = tag.end()
+        name = (tag[2] or "").lower()
+        if not name:
+            found.append((tag.start(), at, False, "", ""))
+            continue
+        attributes = tag[4] if tag[3] is None else tag[3]  # the fourth group holds what an open quote leaves
+        found.append((tag.start(), at, bool(tag[1]), name, attributes))
+        foreign = any(open_[f] for f in FOREIGN)
+        empty = attributes.endswith("/")
+        if tag[1]:
+            while open_[name]:
+                last, start = stack.pop()
+                open_[last] -= 1
+                if last == name:
+                    if name in SILENT:
+                        ends[start] = at
+                    break
+        elif name in VOID or empty and (name not in SILENT or name in FOREIGN or foreign):
+            if name in SILENT:
+                ends[tag.start()] = at
+        elif name in RAW and (not foreign or name in ("script", "style")):
+            end = None if name in missing else re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            if not end:
+                missing.add(name)
+                end = re.compile(r"(?=</head\s*>)", re.I).search(page, at) if open_["head"] else None
+            ends[tag.start()] = at = end.end() if end else len(page)
+        elif name not in INLINE:
+            stack.append((name, tag.start()))
+            open_[name] += 1
+    return found, ends
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
@@ -99,31 +146,27 @@ def blocks(page: str) -> list[Block]:
                 return
 
     at, size = 0, len(page)
-    while at < size:
-        tag = TAG.search(page, at)
-        start = tag.start() if tag else size
+    found, ends = tags(page)
+    for start, end, closing, name, attributes in [*found, (size, size, False, "", "")]:
+        if start < at:
+            continue
         if start > at:
             parts.append((page[at:start], links > 0))
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
+        at = end
         if not name:
             continue
-        if tag[1]:
+        if closing:
             if name not in INLINE:
                 close()
             leave((name,), ())
             continue
         if name in SILENT:
             close()
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (at if name == "head" else size)
+            at = ends.get(start, at)
             continue
         if name not in INLINE:
             close()
             leave(IMPLIED.get(name, ("p",)), IMPLIED_WITHIN)
-        attributes = tag[4] if tag[3] is None else tag[3]  # the fourth group holds what an open quote leaves
         if name in VOID or attributes.endswith("/"):
             continue
         names = " ".join(filter(None, (x for m in NAMES.findall(attributes) for x in m)))

@@ -220,6 +220,22 @@ def test_names_of_layouts_are_no_asides():
         assert html_extract.main_text(f"<article>{body}<div class='{name}'>{body}</div></article>", tree) == text, name
 
 
+def test_silent_elements_without_an_end():
+    tree = html_extract.trained()
+    cases = {"<svg width=1/>": "", "<svg><title/><path/></svg>": "", "<math/>": "", "<button>": "", "<select><option>": "",
+             "<canvas>": "", "<object data=x>": "", "<template>": "", "<video src=x>": "", "<button>Go</button>": "",
+             "<object><object>in</object></object>": "", "<noscript><p>in</p></noscript>": "", "<script>x='</div>'</script>": "",
+             "<svg><title>Icon</title><text>in</text></svg>": "", "<iframe src=x></iframe>": ""}
+    for cut in cases:
+        for tail in ("", "<footer><button>x</button><svg></svg><video></video></footer>"):
+            page = f"<article><p>before</p>{cut}<p>after</p></article>{tail}"
+            assert html_extract.main_text(page, tree) == "before after", page
+    assert html_extract.main_text("<article><p>before</p><div><button>say</div><p>after</p></article></button>", tree) == "before say after"
+    assert html_extract.main_text("<article>before<script>after</article>", tree) == "before"
+    assert html_extract.main_text("<head><title>no end</head><article>text</article>", tree) == "text"
+    assert html_extract.main_text("<article>" + "<button><p>x</p><title>" * 20_000, tree) == "x"
+
+
 def test_network_learns_and_reads_whole_texts():
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["plain", "prose", "and", "more"], 60)).encode() for _ in range(60)]
