@@ -58,6 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_root(root, context._jvm, context._jsc.hadoopConfiguration())}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, for readers other than Spark's."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a completely written table stands at ``path``."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

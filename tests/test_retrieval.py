@@ -96,6 +96,26 @@ def test_items_stay_where_they_are(spark):
     assert dense.dense_topk(index, q.limit(0), 3).count() == 0
 
 
+def test_query_vectors_pass_by_the_driver(spark, monkeypatch):
+    """Many blocks of queries are one pass over the items, and none is collected or broadcast."""
+    monkeypatch.setattr(dense, "BLOCK_VALUES", 4)
+    vectors = [(n, [float(n), 1.0]) for n in range(20)]
+    index = dense.vector_index(spark.createDataFrame(vectors, "item_id int, vector array<double>"))
+    q = spark.createDataFrame(vectors, "query_id int, vector array<double>")
+
+    def refuse(*_, **__):
+        raise AssertionError("query vectors reach the driver")
+
+    with monkeypatch.context() as held:
+        held.setattr(type(q), "toArrow", refuse)
+        held.setattr(type(q), "collect", refuse)
+        held.setattr(type(spark.sparkContext), "broadcast", refuse)
+        out = dense.dense_topk(index, q, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    assert {(r["query_id"], r["item_id"]) for r in out.filter("rank = 1").collect()} == {(0, 0)} | {(n, 19) for n in range(1, 20)}
+
+
 def test_only_postings_that_are_asked_for_are_shuffled(spark):
     """Blocks that hold no term of a query are not sent to, and other terms' postings stay behind."""
     docs = spark.createDataFrame([(n, f"rare{n} filler{n % 3} stuff{n % 5}") for n in range(600)], "item_id long, text string")
