@@ -194,17 +194,28 @@ FEATURES = ("words", "link_density", "aside", "article", "elsewhere", "heading",
             "words_after", "link_density_after")
 
 
+#: What counts as short text: as the tree divides it from other blocks of ``LABELLED``.
+SHORT_WORDS, SHORT_LINKED = 16, 0.45
+
+
 def features(found: Sequence[Block]) -> np.ndarray:
     """A row per block. ``elsewhere``: the page marks an article, and the block is outside. Neighbours are the nearest
-    blocks that stand in no aside."""
+    blocks that stand in no aside and are no short text themselves, so that all short lines of a run see what is around it."""
     if not found:
         return np.zeros((0, len(FEATURES)))
     marked = any(b.article for b in found)
     own = np.array([[b.words, b.linked / max(b.words, 1), b.aside, b.article, marked and not b.article, b.heading]
                     for b in found], float)
     around = np.zeros((len(found), 4))
-    free = np.flatnonzero(own[:, FEATURES.index("aside")] == 0)
-    around[free[1:], :2], around[free[:-1], 2:] = own[free[:-1], :2], own[free[1:], :2]
+    short = (own[:, 0] <= SHORT_WORDS) & (own[:, 1] <= SHORT_LINKED)
+    for side, order in ((0, range(len(found))), (2, reversed(range(len(found))))):
+        near = (0.0, 0.0)
+        for i in order:
+            if found[i].aside:
+                continue
+            around[i, side:side + 2] = near
+            if not short[i]:
+                near = own[i, :2]
     return np.hstack([own, around])
 
 
@@ -216,16 +227,18 @@ LABELLED = (
     ((1, 12, 200), _ANY_SHARE, (1,), (0,), _EITHER, _EITHER, (0, 40), _ANY_SHARE, (0, 40), _ANY_SHARE, 0),
     # outside of a marked article
     ((1, 12, 200), _ANY_SHARE, (0,), (0,), (1,), _EITHER, (0, 40), _ANY_SHARE, (0, 40), _ANY_SHARE, 0),
-    # within it: text of any length; links on their own only in the midst of text
+    # within it: text of any length, and lists of links
     ((1, 4, 12, 40, 200), (0.0, 0.4), (0,), (1,), (0,), _EITHER, _ANY_TEXT, _ANY_SHARE, _ANY_TEXT, _ANY_SHARE, 1),
-    ((1, 4, 12), (1.0,), (0,), (1,), (0,), (0,), (0, 12, 40, 200), (0.0,), (0, 12, 40, 200), (0.0,), 1),
-    ((1, 4, 12), (1.0,), (0,), (1,), (0,), (0,), (1, 4, 12), (1.0,), (1, 4, 12), (1.0,), 0),
-    # pages that mark no article: text with few links, and what is short within such or heads it
+    ((1, 4, 12, 40), (1.0,), (0,), (1,), (0,), _EITHER, _ANY_TEXT, _ANY_SHARE, _ANY_TEXT, _ANY_SHARE, 1),
+    # pages that mark no article: text with few links, and what is short before, after or between such
     ((20, 40, 200), (0.0, 0.2), (0,), (0,), (0,), _EITHER, _ANY_TEXT, _ANY_SHARE, _ANY_TEXT, _ANY_SHARE, 1),
-    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), (0,), (20, 40, 200), (0.0,), (20, 40, 200), (0.0,), 1),
-    ((1, 4, 10), (0.0,), (0,), (0,), (0,), (1,), _ANY_TEXT, _ANY_SHARE, (20, 40, 200), (0.0,), 1),
-    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), (0,), (0, 1, 4, 10), _ANY_SHARE, _ANY_TEXT, _ANY_SHARE, 0),
-    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, _ANY_TEXT, _ANY_SHARE, (0, 1, 4, 10), _ANY_SHARE, 0),
+    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, (20, 40, 200), (0.0, 0.2), _ANY_TEXT, _ANY_SHARE, 1),
+    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, (0, 1, 4, 10), _ANY_SHARE, (20, 40, 200), (0.0, 0.2), 1),
+    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, (20, 40, 200), (0.7, 1.0), (20, 40, 200), (0.0, 0.2), 1),
+    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, (0, 1, 4, 10), _ANY_SHARE, (0, 1, 4, 10), _ANY_SHARE, 0),
+    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, (20, 40, 200), (0.7, 1.0), (0, 1, 4, 10), _ANY_SHARE, 0),
+    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, (0, 1, 4, 10), _ANY_SHARE, (20, 40, 200), (0.7, 1.0), 0),
+    ((1, 4, 10), (0.0, 0.2), (0,), (0,), (0,), _EITHER, (20, 40, 200), (0.7, 1.0), (20, 40, 200), (0.7, 1.0), 0),
     ((1, 10, 40, 200), (0.7, 1.0), (0,), (0,), (0,), _EITHER, _ANY_TEXT, _ANY_SHARE, _ANY_TEXT, _ANY_SHARE, 0),
 )
 TRAINING = np.array([row for group in LABELLED for row in itertools.product(*group[:-1], group[-1:])], float)

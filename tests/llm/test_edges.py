@@ -236,6 +236,19 @@ def test_silent_elements_without_an_end():
     assert html_extract.main_text("<article>" + "<button><p>x</p><title>" * 20_000, tree) == "x"
 
 
+def test_short_lines_and_references_stay():
+    text = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen."
+    body, tree = f"<p>{text}</p>", html_extract.trained()
+    links = "<ul>" + "<li><a href=x>Some linked title</a>" * 3 + "</ul>"
+    for page, want in {
+            f"<p>Short first.</p>{body}<p>Short last.</p>": f"Short first. {text} Short last.",
+            f"{body}<p>Who?</p><p>Me.</p><p>You?</p><p>Yes.</p>{body}": f"{text} Who? Me. You? Yes. {text}",
+            f"{body}<ul><li>one item<li>two items<li>three</ul>": f"{text} one item two items three",
+            f"{links}<p>Links</p>{links}{body}<p>End.</p>{links}": f"{text} End.",
+            f"<article>{body}{links}</article>{links}": text + " Some linked title" * 3}.items():
+        assert html_extract.main_text(page, tree) == want, page
+
+
 def test_network_learns_and_reads_whole_texts():
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["plain", "prose", "and", "more"], 60)).encode() for _ in range(60)]
