@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.llm import (bpe_codec, decontaminate, html_extract, line_dedup, quality_cnn, quality_rules, quote_threads,
-                          secret_scan, simhash, token_counts)
+                          secret_scan, simhash, token_counts, turn_repair, warc, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,21 @@ def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, in reply order, with what it replies to."""
     return quote_threads.threads(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the hash of the repaired text of every damaged conversation."""
+    return turn_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its capture in the archives tells it."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")

@@ -166,3 +166,19 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(c.spans, '')) AS base_sha256, coalesce(l.spans, '') AS spans
 FROM docs LEFT JOIN counted c USING (r) LEFT JOIN listed l USING (r)
 """
+
+#: Five hexadecimal digits of SHA-1 are four characters of base 32.
+_QUAD = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {b}) & 31) + 1, 1)" for b in (15, 10, 5, 0))
+
+ORACLE["op13_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER () AS r FROM pages),
+digits AS (SELECT r, k, ('0x' || substr(sha1(h), (1 + 5 * k)::INT, 5))::BIGINT AS v FROM p, (SELECT unnest(range(8)) AS k)),
+names AS (SELECT r, string_agg({_QUAD}, '' ORDER BY k) AS payload_digest FROM digits GROUP BY r),
+ranked AS (
+  SELECT *, row_number() OVER same AS place, first_value(page_id) OVER same AS first_id FROM p
+  WINDOW same AS (PARTITION BY h ORDER BY page_id NULLS LAST, r))
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, payload_digest,
+  CASE place WHEN 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM ranked JOIN names USING (r)
+"""

@@ -38,8 +38,8 @@ def test_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF).toArrow(), con.sql(ORACLE[name]).to_arrow_table()) == ""
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_op2_is_what_the_library_gives(spark, docs):
