@@ -129,16 +129,21 @@ def triangle(rows: DataFrame, of: Sums) -> np.ndarray:
             yield pa.RecordBatch.from_pylist([{"values": r.reshape(-1).tolist()}])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.zeros((0, width))
+        r, at = np.zeros((0, width)), None
         for batch in batches:
-            for values in batch.column("values").to_pylist():
-                r = _triangle(r, np.array(values).reshape(-1, width))
+            for bucket, values in zip(batch.column("bucket").to_pylist(), batch.column("values").to_pylist()):
+                if bucket != at and len(r):
+                    yield pa.RecordBatch.from_pylist([{"values": r.reshape(-1).tolist()}])
+                    r = np.zeros((0, width))
+                r, at = _triangle(r, np.array(values).reshape(-1, width)), bucket
         if len(r):
             yield pa.RecordBatch.from_pylist([{"values": r.reshape(-1).tolist()}])
 
     parts = materialize(rows.mapInArrow(reduce, "values array<double>").withColumn("part", F.monotonically_increasing_id()), "triangles")
     while (n := parts.count()) > 1:
-        dealt = parts.repartition(-(-n // MERGE), "part").sortWithinPartitions("part").select("values")
+        # one triangle per bucket, however many tasks the buckets are dealt to
+        bucket = F.pmod(F.xxhash64("part"), F.lit(-(-n // MERGE)))
+        dealt = parts.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "part").select("bucket", "values")
         parts = materialize(dealt.mapInArrow(merge, "values array<double>").withColumn(
             "part", F.monotonically_increasing_id()), "triangles")
     values = parts.first()["values"]
