@@ -298,8 +298,8 @@ def records(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     if held:
                         yield pa.RecordBatch.from_pylist(held, arrow)
 
-    spread = archives.select("archive").repartition("archive")
-    return spread.mapInArrow(read, schema)
+    # a task per archive; few names would else be read by one
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(read, schema)
 
 
 def captures(rows: DataFrame) -> DataFrame:
