@@ -6,10 +6,11 @@ the file. Words are handled as Latin-1 text of their UTF-8 bytes.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +87,11 @@ def load(path: str) -> Vocabulary:
                       special)
 
 
+def fingerprint(path: str) -> str:
+    with open(path, "rb") as file:
+        return hashlib.sha256(file.read()).hexdigest()
+
+
 class Splitter:
     """Divides a text into words by a pattern, as the tokenizers library does.
 
@@ -156,6 +162,42 @@ def _merge_long(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]])
     return [x for x in ids if x >= 0]
 
 
+#: What a Python worker keeps between tasks, by name.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, build: Callable[[], object]):
+    """What ``build`` made at its first call with this name in this Python worker: memories outlive the task."""
+    if name not in _KEPT:
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
+class Memory:
+    """What is known of words, in two generations.
+
+    When the young one is full it becomes the old one, and the old one goes. A word that is asked for again moves to the
+    young one, so frequent words stay.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Of these words those that are not known; the others are in ``young`` from then on."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        rest = words.difference(self.young)
+        if self.old:
+            young, old = self.young, self.old
+            for word in rest.intersection(old):
+                young[word] = old[word]
+            rest.difference_update(young)
+        return rest
+
+
 class Proofs:
     """Which tokens stand as they are when encoded alone, and which may stand side by side."""
 
@@ -163,10 +205,71 @@ class Proofs:
         self.v = vocabulary
         self.provable = vocabulary.provable
         self.size = len(vocabulary.names)
+        self.bytes: np.ndarray | None = None
         pairs = np.array([a * self.size + b for a, b in vocabulary.merges], np.int64)
         order = np.argsort(pairs)
         self.pairs = pairs[order]
-        self.ranks = np.array([rank for rank, _ in vocabulary.merges.values()], np.int64)[order]
+        self.ranks, self.news = np.array(list(vocabulary.merges.values()), np.int64).reshape(-1, 2)[order].T.copy()
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word by exact merging; words of one length take each step together.
+
+        A step finds the lowest rank of each word, the leftmost of equal ones, and merges there. All words that are still
+        open then have one symbol less, so they stay a matrix.
+        """
+        out: list[list[int]] = [[]] * len(words)
+        lengths: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            lengths.setdefault(len(word), []).append(k)
+        inner, final = self.v.inner, self.v.final
+        for length, which in lengths.items():
+            if not 1 < length <= LONG_WORD:
+                for k in which:
+                    out[k] = merge(words[k], self.v)
+                continue
+            letters = np.frombuffer("".join(words[k] for k in which).encode("latin-1"), np.uint8).reshape(-1, length)
+            if self.bytes is None:
+                self.bytes, self.last = (np.array([table.get(chr(c), -1) for c in range(256)], np.int64) for table in (inner, final))
+            ids = self.bytes[letters]
+            ids[:, -1] = self.last[letters[:, -1]]
+            owner = np.array(which)
+            rank, new = self._merges(ids[:, :-1].ravel(), ids[:, 1:].ravel())
+            rank, new = rank.reshape(len(ids), -1), new.reshape(len(ids), -1)
+            while True:
+                at = rank.argmin(1)
+                rows = np.arange(len(ids))
+                open_ = rank[rows, at] != NEVER
+                if not open_.all():
+                    for k, done in zip(owner[~open_].tolist(), ids[~open_].tolist()):
+                        out[k] = done
+                    ids, rank, new, owner, at = ids[open_], rank[open_], new[open_], owner[open_], at[open_]
+                    rows = np.arange(len(ids))
+                if not len(ids):
+                    break
+                n = ids.shape[1]
+                ids[rows, at] = new[rows, at]
+                keep = np.ones(ids.shape, bool)
+                keep[rows, at + 1] = False
+                ids = ids[keep].reshape(-1, n - 1)
+                if n == 2:
+                    for k, done in zip(owner.tolist(), ids.tolist()):
+                        out[k] = done
+                    break
+                keep = np.ones(rank.shape, bool)
+                keep[rows, at] = False
+                rank, new = rank[keep].reshape(-1, n - 2), new[keep].reshape(-1, n - 2)
+                for seam in (at - 1, at):
+                    r = rows[(seam >= 0) & (seam < n - 2)]
+                    c = seam[r]
+                    rank[r, c], new[r, c] = self._merges(ids[r, c], ids[r, c + 1])
+        return out
+
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of what each pair becomes; NEVER where it stays."""
+        keys = a * self.size + b
+        at = np.searchsorted(self.pairs, keys).clip(max=len(self.pairs) - 1)
+        found = self.pairs[at] == keys
+        return np.where(found, self.ranks[at], NEVER), self.news[at]
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a * self.size + b

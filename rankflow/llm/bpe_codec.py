@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import normalizers
 
 from rankflow.llm import bpe
@@ -30,8 +31,8 @@ from rankflow.llm.batches import cut
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Fixed: how it normalises a text; white space, which it also unifies, only divides words. ASCII needs lower case only.
 NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-#: Words whose codes a worker remembers; it starts afresh beyond.
-MEMORY = 300_000
+#: Words of a generation that a worker remembers.
+MEMORY = 250_000
 
 
 class Codec:
@@ -48,8 +49,7 @@ class Codec:
             self.reach[word[:2]] = max(self.reach.get(word[:2], 1), len(word))
         self.find = bpe.Splitter(WORDS, "removed")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.forms: dict[str, tuple[int, str, str]] = {}
+        self.known, self.forms = bpe.Memory(MEMORY), bpe.Memory(MEMORY)
         self.merged = 0
 
     def words(self, text: str) -> list[str]:
@@ -79,51 +79,49 @@ class Codec:
                 return None
         return ids
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Make the codes of these distinct words known."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new, guesses = [], []
+    def codes(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """The codes of these distinct words."""
+        out: dict[str, list[int]] = {}
+        new, guesses, hard = [], [], []
         for word in words:
-            if word in self.known:
+            if word.startswith("\0") and (i := self.v.special.get(word[1:])) is not None:
+                out[word] = [i]
                 continue
-            if word.startswith("\0"):
-                if (i := self.v.special.get(word[1:])) is not None:
-                    self.known[word] = (i,)
-                    continue
             raw = bpe.as_bytes(word)
             guess = self.propose(raw) if self.proofs.provable else None
             if guess is None:
-                self.known[word] = tuple(bpe.merge(raw, self.v))
+                hard.append((word, raw))
             elif len(guess) == 1:
-                self.known[word] = tuple(guess)
+                out[word] = guess
             else:
                 new.append((word, raw))
                 guesses.append(guess)
-        if not new:
-            return
-        flat = np.fromiter((i for g in guesses for i in g), np.int64)
-        owner = np.repeat(np.arange(len(new)), [len(g) for g in guesses])
-        seam = np.flatnonzero(owner[1:] == owner[:-1])
-        size = self.proofs.size
-        pairs, back = np.unique(flat[seam] * size + flat[seam + 1], return_inverse=True)
-        fits = self.proofs.compatible(pairs // size, pairs % size)[back]
-        wrong = np.zeros(len(new), bool)
-        wrong[owner[seam[~fits]]] = True
-        for (word, raw), guess, fails in zip(new, guesses, wrong.tolist()):
-            self.known[word] = tuple(bpe.merge(raw, self.v)) if fails else tuple(guess)
-        self.merged += int(wrong.sum())
-
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, all of them known from then on."""
-        words = [self.words(t) for t in texts]
-        self.learn({w for ws in words for w in ws})
-        return words
+        if new:
+            flat = np.fromiter((i for g in guesses for i in g), np.int64)
+            owner = np.repeat(np.arange(len(new)), [len(g) for g in guesses])
+            seam = np.flatnonzero(owner[1:] == owner[:-1])
+            size = self.proofs.size
+            pairs, back = np.unique(flat[seam] * size + flat[seam + 1], return_inverse=True)
+            fits = self.proofs.compatible(pairs // size, pairs % size)[back]
+            wrong = np.zeros(len(new), bool)
+            wrong[owner[seam[~fits]]] = True
+            for pair, guess, fails in zip(new, guesses, wrong.tolist()):
+                if fails:
+                    hard.append(pair)
+                else:
+                    out[pair[0]] = guess
+            self.merged += int(wrong.sum())
+        for (word, _), ids in zip(hard, self.proofs.merge_all([raw for _, raw in hard])):
+            out[word] = ids
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Token ids of each text."""
-        for words in self.split(texts):
-            yield [i for w in words for i in self.known[w]]
+        split = [self.words(t) for t in texts]
+        self.known.young.update(self.codes(self.known.missing({w for words in split for w in words})))
+        known = self.known.young
+        for words in split:
+            yield [i for w in words for i in known[w]]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Names of the tokens, a space between, as the library gives them for a file that names no decoder."""
@@ -131,12 +129,10 @@ class Codec:
 
     def written(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text its number of tokens, and ids and names as text; each distinct word is written out once."""
-        split = self.split(texts)
-        forms, known = self.forms, self.known
-        if len(forms) > MEMORY:
-            forms.clear()
-        for word in {w for words in split for w in words}.difference(forms):
-            ids = known[word]
+        split = [self.words(t) for t in texts]
+        new = self.codes(self.forms.missing({w for words in split for w in words}))
+        forms = self.forms.young
+        for word, ids in new.items():
             forms[word] = len(ids), " ".join(map(str, ids)), self.decode(ids)
         for words in split:
             n, ids, names = zip(*map(forms.__getitem__, words)) if words else ((), (), ())
@@ -149,31 +145,34 @@ def _sha256(text: str) -> str:
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array<int>) and ``decoded`` (string) of each row."""
-    return _coded(docs, vocabulary_path, id_col, text_col, "doc_id long, ids array<int>, decoded string", False)
+    columns = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return _coded(docs, vocabulary_path, id_col, text_col, columns, False)
 
 
 def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, and SHA-256 of the ids (decimal, space between) and of the decoded text."""
-    return _coded(docs, vocabulary_path, id_col, text_col,
-                  "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True)
+    columns = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return _coded(docs, vocabulary_path, id_col, text_col, columns, True)
 
 
-def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, digest: bool) -> DataFrame:
+def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, columns: T.StructType, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bpe.load(path))
+    vocabulary, name = bpe.load(path), f"codec {bpe.fingerprint(path)}"
+    shared = spark.sparkContext.broadcast(vocabulary)
     kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
+    names = ["doc_id", *columns.names]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = bpe.kept(name, lambda: Codec(shared.value))
         for batch in cut(batches, "text"):
             texts = batch.column("text").to_pylist()
             if digest:
                 rows = [(n, _sha256(ids), _sha256(tokens)) for n, ids, tokens in codec.written(texts)]
             else:
                 rows = [(ids, codec.decode(ids)) for ids in codec.encode(texts)]
-            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+            made = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names)
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *columns.fields])
+    return (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .mapInArrow(code, schema))

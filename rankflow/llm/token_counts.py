@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankflow.llm import bpe
 from rankflow.llm.batches import cut
@@ -25,7 +26,7 @@ from rankflow.llm.batches import cut
 #: Fixed: how the vocabulary's tokenizer divides text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_TOKENS = 1024
-#: Merged words that a worker remembers; it starts afresh beyond.
+#: Merged words of a generation that a worker remembers.
 MEMORY = 200_000
 
 
@@ -34,31 +35,39 @@ class Counter:
 
     def __init__(self, vocabulary: bpe.Vocabulary) -> None:
         self.v = vocabulary
-        whole = bpe.whole_words(vocabulary, bpe.Proofs(vocabulary).stable())
+        self.proofs = bpe.Proofs(vocabulary)
+        whole = bpe.whole_words(vocabulary, self.proofs.stable())
         self.whole = {text: 1 for w in whole if (text := _as_text(w)) is not None}
-        self.known = dict(self.whole)
+        self.known = bpe.Memory(len(self.whole) + MEMORY)
+        self.known.young.update(self.whole)
         self.find = bpe.Splitter(WORDS, "isolated")
         self.specials = [s for s in vocabulary.special if s]
         self.split = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)").split
         self.merged = 0
 
     def _of_words(self, words: list[str]) -> int:
-        known = self.known
-        try:
-            return sum(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > len(self.whole) + MEMORY:
-                known = self.known = dict(self.whole)
-            for word in set(words).difference(known):
-                known[word] = len(bpe.merge(bpe.as_bytes(word), self.v))
-                self.merged += 1
-            return sum(map(known.__getitem__, words))
+        return sum(map(self.known.young.__getitem__, words))
+
+    def learn(self, words: set[str]) -> None:
+        """Count the tokens of the words that are not known."""
+        rest = self.known.missing(words)
+        if rest.intersection(self.whole):  # a new generation
+            self.known.young.update(self.whole)
+            rest.difference_update(self.whole)
+        new = list(rest)
+        self.merged += len(new)
+        for word, ids in zip(new, self.proofs.merge_all([bpe.as_bytes(w) for w in new])):
+            self.known.young[word] = len(ids)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Numbers of tokens; the words of all texts are learnt at once."""
+        parts = [self.split(t) if any(s in t for s in self.specials) else [t] for t in texts]
+        words = [[self.find(p) for p in own] for own in parts]
+        self.learn({w for own in words for part in own for w in part})
+        return [len(own) - 1 + sum(map(self._of_words, own)) for own in words]
 
     def count(self, text: str) -> int:
-        if any(s in text for s in self.specials):
-            parts = self.split(text)
-            return len(parts) - 1 + sum(self._of_words(self.find(p)) for p in parts)
-        return self._of_words(self.find(text))
+        return self.counts([text])[0]
 
 
 def _as_text(word: str) -> str | None:
@@ -72,16 +81,18 @@ def counts(docs: DataFrame, vocabulary_path: str, max_tokens: int = MAX_TOKENS,
            text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens`` and whether these are more than ``max_tokens``, for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(bpe.load(vocabulary_path))
+    name = f"counter {bpe.fingerprint(vocabulary_path)}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        counter = bpe.kept(name, lambda: Counter(shared.value))
         for batch in cut(batches, "text"):
-            n = [counter.count(t) for t in batch.column("text").to_pylist()]
+            n = counter.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())],
                                              ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("n_bytes", "long").add("n_tokens", "long")
+    return (docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
                         text.alias("text"))
-            .mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+            .mapInArrow(count, schema)
             .withColumn("over_limit", F.col("n_tokens") > max_tokens))
