@@ -1,93 +1,393 @@
-"""BM25 retrieval over an inverted index kept as three tables.
-
-Queries are scored in blocks: a block of items (with its postings) meets a block
-of queries by an equi-join on the block numbers, and the pair hands on only each
-query's best k items. Frequent terms, which would make nearly every item match
-nearly every query, are thus never turned into rows. Blocks are cut by hash of the
-item and of the query, so neither a frequent term nor a group of copies can fill
-a task on its own.
+"""BM25 retrieval over an inverted index of packed blocks with bounds.
+
+A block is a few thousand items, neighbours of which share common terms, and is closed
+by its items or words, whichever limit comes first. A posting row is one term in one block: the places and
+counts of the items that hold it, the greatest count and the least length among them.
+Rows are written in the order (term, block), so a search for few terms reads only the
+row groups that hold them.
+
+A search visits every block as one unit of work: the posting rows that are asked for meet
+there, and the queries are read from a table in the shared folder. Within a block, places
+are divided into strips of ``STRIP`` items. The greatest impact of a term in each strip
+gives each query a bound per strip; strips are visited from the best bound on, each round
+raises the threshold, and only strips whose bound reaches it are visited. Queries whose
+terms are in most items of a block, where no bound would help, find their candidates by
+one matrix product instead. With many blocks, each query first visits the one block with
+the best bound, and what its k-th best item scores there holds as a threshold in all
+others: blocks hand on little more than the final list. Whichever way an item is found,
+its score is summed in the order of terms, so neither blocks nor ways change a digit, and
+no item is lost: a strip is passed over only if its bound says that none of its items can
+be listed.
+
+An index is a list of segments. ``update_index`` adds a segment with new items and the
+places that earlier segments lose; numbers of items, lengths and document frequencies are
+added up when the index is opened, so lists are those of an index built anew.
+``compact_index`` writes all segments as one. A version is a small table that names its
+segments and is written last.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pf
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow.functions import text as X
 from rankflow.operators.joins import lookup
-from rankflow.operators.ranking import block_best, block_count, rank_score, slice_rows, top_k
-from rankflow.session import materialize, scratch_path, table_exists
+from rankflow.operators.ranking import SCORE_DECIMALS, SPREAD, rank_score, top_k
+from rankflow.session import folders, materialize, qualified, scratch_path, spread, table_exists
 
 K1 = 1.5
 B = 0.75
 
-#: upper bounds of a block; large blocks mean few copies of either side
-ITEM_BLOCK = 32768
-QUERY_BLOCK = 32768
-#: a term in more than one of this many items of a block is scored by matrix product
-FREQUENT = 4
+#: upper bounds of a block
+BLOCK_ITEMS = 8192
+BLOCK_WORDS = 1 << 22
+#: items of a block that share a bound, and the common terms by which they are ordered
+STRIP = 32
+ORDER_TERMS = 6
+#: a term in more than one of so many items of a block is kept as a row of a matrix as well
+FREQUENT = 8
+#: postings of a query, against the items of a block, beyond which the block is scored as a product
+WHOLE = 1.0
+#: blocks beyond which a query's best block is visited before the others, to give them a threshold
+SHARE = 64
+#: terms up to which a search names them in its filter on the postings
+FEW_TERMS = 200
+#: postings, or cells of queries x items, that a block works on at a time
+WORK = 1 << 20
+#: queries read at a time
+QUERY_ROWS = 2048
+
+LONGS = T.ArrayType(T.LongType())
+INTS = T.ArrayType(T.IntegerType())
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Inverted index: postings (item_id, term, tf, len), terms (term, df), totals."""
-
-    postings: DataFrame
+    """``blocks`` (segment, block, item_ids, lens, dead), ``packed`` postings (segment, block, term, n, top_tf, least_len,
+    places, tfs), ``terms`` (term, df) and totals of an opened index."""
+
+    path: str
+    version: int
+    segments: tuple[str, ...]
+    blocks: DataFrame
+    packed: DataFrame
     terms: DataFrame
     n_items: int
-    mean_len: float
+    n_words: int
+    n_blocks: int
+    fingerprint: int
 
+    @property
+    def mean_len(self) -> float:
+        return self.n_words / self.n_items if self.n_items else 0.0
 
-def postings(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
-    """(item_id, term, tf, len) of items (item_id, text).
 
-    The terms of a text are counted within its row, as the runs of its sorted words:
-    neither texts nor postings are shuffled.
+# -- building ------------------------------------------------------------------------
+
+
+def _counted(words: pa.Array, rows: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, and code, row and count of each term of each row, by code, then row; ``rows`` numbers the lists of ``words``."""
+    flat = pc.dictionary_encode(words.flatten())
+    terms, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = int(rows.max(initial=0)) + 1
+    cell, count = np.unique(codes * n + np.repeat(rows, pc.list_value_length(words).to_numpy(zero_copy_only=False)), return_counts=True)
+    return terms, cell // n, cell % n, count
+
+
+def postings(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
+    """(item_id, term, tf, len) of items (item_id, text): one pass, a batch of texts at a time; nothing but texts of small
+    tables is shuffled."""
+    words = spread(items, "item_id").select("item_id", X.tokens(F.coalesce("text", F.lit("")), stop_words).alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, code, row, tf = _counted(batch["words"], np.arange(batch.num_rows))
+            length = pc.list_value_length(batch["words"]).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch["item_id"].take(pa.array(row)), terms.take(pa.array(code)), pa.array(tf, pa.int64()),
+                                              pa.array(length[row], pa.int32())], ["item_id", "term", "tf", "len"])
+
+    schema = T.StructType([items.schema["item_id"]]).add("term", "string").add("tf", "long").add("len", "integer")
+    return words.mapInArrow(count, schema)
+
+
+def _alike(code: np.ndarray, row: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Order of the items of a block by their most common terms, then length: neighbours share terms, so bounds are close."""
+    df = np.bincount(code, minlength=1)
+    # entries of each item, the most common terms first
+    entry = np.lexsort((code, -df[code], row))
+    count = np.bincount(row, minlength=len(lens))
+    first = np.cumsum(count) - count
+    keys = [lens]
+    for depth in range(ORDER_TERMS - 1, -1, -1):
+        key = np.full(len(lens), -1)
+        has = count > depth
+        key[has] = code[entry[first[has] + depth]]
+        keys.append(key)
+    return np.lexsort(keys)
+
+
+def _block_rows(batch: pa.Table, block: int) -> Iterator[dict[str, pa.Array]]:
+    """The row of a block and its posting rows, as columns."""
+    words = batch["words"].combine_chunks()
+    lens = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms, code, row, tf = _counted(words, np.arange(len(lens)))
+    order = _alike(code, row, lens)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = place[row]
+    sort = np.lexsort((at, code))
+    code, at, tf = code[sort], at[sort], tf[sort]
+    take = pa.array(order)
+    yield {"block": pa.array([block]), "item_ids": pa.ListArray.from_arrays([0, len(order)], batch["item_id"].combine_chunks().take(take)),
+           "lens": pa.array([lens[order]], pa.list_(pa.int32())), "hashes": pa.ListArray.from_arrays([0, len(order)], batch["hash"].combine_chunks().take(take))}
+    if len(code):
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        offsets = pa.array(np.r_[starts, len(code)], pa.int32())
+        yield {"block": pa.array(np.full(len(starts), block)), "term": terms.take(pa.array(code[starts])),
+               "n": pa.array(np.diff(np.r_[starts, len(code)])), "top_tf": pa.array(np.maximum.reduceat(tf, starts)),
+               "least_len": pa.array(np.minimum.reduceat(lens[order][at], starts)),
+               "places": pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), "tfs": pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))}
+
+
+def _cuts(lens: np.ndarray, items: int, words: int, limits: tuple[int, int]) -> Iterator[tuple[int, bool]]:
+    """Numbers of rows that go into the open block, which has room for ``items`` and ``words``, and whether it is then full.
+
+    A text of more words than there is room for still goes in and closes the block.
     """
-    words = items.select("item_id", F.sort_array(X.tokens(F.col("text"), stop_words)).alias("words"))
-    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    starts = words.withColumn("starts", F.filter(places, lambda i: (i == 0) | (
-        F.get("words", i) != F.get("words", i - 1))))
-    runs = F.transform("starts", lambda i, k: F.struct(
-        F.get("words", i).alias("term"),
-        (F.coalesce(F.get("starts", k + 1), F.size("words")) - i).cast("long").alias("tf")))
-    return (starts.select("item_id", F.size("words").alias("len"), F.explode(runs).alias("run"))
-            .select("item_id", "run.term", "run.tf", "len"))
-
-
-def build_index(items: DataFrame, path: str | None = None,
-                stop_words=X.STOP_WORDS) -> LexicalIndex:
-    """Write the index tables of items (item_id, text) below ``path`` and open them."""
+    start = 0
+    while start < len(lens):
+        room = max(1, int(np.searchsorted(np.cumsum(lens[start:]), words, side="right")))
+        n = min(room, items, len(lens) - start)
+        full = n < len(lens) - start or n == items
+        yield n, full
+        start += n
+        items, words = limits if full else (items - n, words - int(lens[start - n:start].sum()))
+
+
+def _write_segment(items: DataFrame, root: str, stop_words) -> None:
+    """Blocks and postings of ``items`` below ``root``."""
+    id_field = items.schema["item_id"]
+    schema = (T.StructType().add("block", "long").add("term", "string").add("n", "long").add("top_tf", "long").add("least_len", "long")
+              .add("places", INTS).add("tfs", INTS).add("item_ids", T.ArrayType(id_field.dataType)).add("lens", INTS).add("hashes", LONGS))
+    text = F.coalesce("text", F.lit(""))
+    words = spread(items, "item_id").select("item_id", _hash().alias("hash"), X.tokens(text, stop_words).alias("words"))
+    limits = (BLOCK_ITEMS, BLOCK_WORDS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in schema.fields]
+        first = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        (items, words), made = limits, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, items, words, made
+            for columns in _block_rows(pa.Table.from_batches(held), first + made):
+                size = len(columns["block"])
+                id_type = pa.list_(held[0].schema.field("item_id").type)
+                empty = {"term": pa.string(), "n": pa.int64(), "top_tf": pa.int64(), "least_len": pa.int64(), "places": pa.list_(pa.int32()),
+                         "tfs": pa.list_(pa.int32()), "item_ids": id_type, "lens": pa.list_(pa.int32()), "hashes": pa.list_(pa.int64())}
+                yield pa.RecordBatch.from_arrays([columns[n] if n in columns else pa.nulls(size, empty[n]) for n in names], names)
+            held, (items, words), made = [], limits, made + 1
+
+        for batch in batches:
+            start, lens = 0, pc.list_value_length(batch["words"]).to_numpy(zero_copy_only=False)
+            for n, full in _cuts(lens, items, words, limits):
+                held.append(batch.slice(start, n))
+                items, words, start = items - n, words - int(lens[start:start + n].sum()), start + n
+                if full or items <= 0 or words <= 0:
+                    yield from close()
+        if held:
+            yield from close()
+
+    packed = materialize(words.mapInArrow(pack, schema), "packed-postings")
+    packed.where("term IS NULL").select("block", "item_ids", "lens", "hashes").write.parquet(f"{root}/blocks")
+    _write_postings(packed.where("term IS NOT NULL"), root)
+
+
+def _write_postings(packed: DataFrame, root: str) -> None:
+    rows = packed.select("block", "term", "n", "top_tf", "least_len", "places", "tfs")
+    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option(
+        "parquet.block.size", 16 << 20).parquet(f"{root}/postings")
+
+
+def _hash() -> Column:
+    return F.xxhash64("item_id", "text")
+
+
+def _totals(spark: SparkSession, root: str) -> DataFrame:
+    """Numbers of items, words and blocks of a segment and the sum of its items' hashes."""
+    blocks = spark.read.parquet(f"{root}/blocks")
+    total = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
+    wide = F.aggregate("hashes", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    return blocks.select(F.size("item_ids").cast("long").alias("n"), total("lens").alias("w"), wide.alias("h")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("w"), F.lit(0)).alias("n_words"),
+        F.count("*").alias("n_blocks"), F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").alias("fingerprint"))
+
+
+def _publish(spark: SparkSession, path: str, version: int, segments: list[str]) -> None:
+    """The table that makes a version; a version that stands already is not written over."""
+    spark.createDataFrame(list(enumerate(segments)), "place int, segment string").coalesce(1).write.parquet(f"{path}/versions/{version:08d}")
+
+
+def _fresh(path: str) -> tuple[str, str]:
+    name = uuid.uuid4().hex
+    return name, f"{path}/segments/{name}"
+
+
+def _finish(spark: SparkSession, root: str, lost: DataFrame | None = None, totals: DataFrame | None = None) -> None:
+    """Terms and totals of a segment, less what it takes from earlier ones."""
+    terms = spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.sum("n").alias("df"))
+    if lost is not None:
+        terms = terms.union(lost).groupBy("term").agg(F.sum("df").alias("df"))
+    terms.write.parquet(f"{root}/terms")
+    (_totals(spark, root) if totals is None else totals).coalesce(1).write.parquet(f"{root}/totals")
+
+
+def build_index(items: DataFrame, path: str | None = None, stop_words=X.STOP_WORDS) -> LexicalIndex:
+    """Write an index of items (item_id, text), one row per item, below ``path`` as its next version and open it."""
     spark = items.sparkSession
     path = path or scratch_path(spark, "lexical")
-    postings(items, stop_words).write.parquet(f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
-    written.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    n_items = items.select(F.count("*")).scalar()
-    (written.agg(F.sum("tf").alias("n_words"))
-     .select(n_items.alias("n_items"), F.coalesce(F.col("n_words") / n_items, F.lit(0.0)).alias("mean_len"))
-     .write.parquet(f"{path}/totals"))
+    name, root = _fresh(path)
+    _write_segment(items, root, stop_words)
+    _finish(spark, root)
+    _publish(spark, path, (latest_version(spark, path) or 0) + 1, [name])
     return load_index(spark, path)
 
 
-def load_index(spark: SparkSession, path: str) -> LexicalIndex:
-    totals = spark.read.parquet(f"{path}/totals").first()
-    return LexicalIndex(
-        spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-        totals["n_items"], totals["mean_len"])
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    whole = [int(v) for v in folders(spark, f"{path}/versions") if table_exists(spark, f"{path}/versions/{v}")]
+    return max(whole, default=None)
 
 
-def open_index(items: DataFrame, path: str) -> LexicalIndex:
-    """The saved index if there is one at ``path``, else a new one built there."""
+def load_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """The latest version of the index at ``path``."""
+    version = latest_version(spark, path)
+    segments = tuple(r.segment for r in spark.read.parquet(f"{path}/versions/{version:08d}").orderBy("place").collect())
+
+    def read(table: str) -> DataFrame:
+        parts = [spark.read.parquet(f"{path}/segments/{s}/{table}").withColumn("segment", F.lit(s)) for s in segments]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    terms, blocks = read("terms").drop("segment"), read("blocks")
+    gone = [s for s in segments if table_exists(spark, f"{path}/segments/{s}/gone")]
+    if len(segments) > 1:
+        terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    if gone:
+        dead = spark.read.parquet(*[f"{path}/segments/{s}/gone" for s in gone]).groupBy("segment", "block").agg(
+            F.flatten(F.collect_list("places")).alias("dead"))
+        blocks = blocks.join(dead, ["segment", "block"], "left")
+    else:
+        blocks = blocks.withColumn("dead", F.lit(None).cast(INTS))
+    totals = read("totals").agg(*[F.sum(c).alias(c) for c in ("n_items", "n_words", "n_blocks", "fingerprint")]).first()
+    return LexicalIndex(path, version, segments, blocks, read("postings"), terms, int(totals["n_items"]), int(totals["n_words"]),
+                        int(totals["n_blocks"]), int(totals["fingerprint"]))
+
+
+def open_index(items: DataFrame, path: str, check: bool = True) -> LexicalIndex:
+    """The index at ``path``, built if there is none and brought up to date if ``items`` have changed since.
+
+    ``check=False`` spares the pass over the texts that finds out.
+    """
     spark = items.sparkSession
-    # the totals are written last: a build that was cut short is not taken for an index
-    return load_index(spark, path) if table_exists(spark, f"{path}/totals") else build_index(items, path)
+    if latest_version(spark, path) is None:
+        return build_index(items, path)
+    index = load_index(spark, path)
+    if not check:
+        return index
+    now = items.select(F.count("*").alias("n"), F.coalesce(F.sum(_hash().cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    return index if (now.n, int(now.h)) == (index.n_items, index.fingerprint) else sync_index(items, index)
+
+
+# -- segments ------------------------------------------------------------------------
+
+
+def live_items(index: LexicalIndex) -> DataFrame:
+    """(segment, block, place, item_id, len, hash) of the items that count."""
+    rows = index.blocks.select("segment", "block", "dead", F.posexplode(F.arrays_zip("item_ids", "lens", "hashes")).alias("place", "x"))
+    alive = F.col("dead").isNull() | ~F.array_contains("dead", F.col("place"))
+    return rows.where(alive).select("segment", "block", "place", F.col("x.item_ids").alias("item_id"), F.col("x.lens").alias("len"),
+                                    F.col("x.hashes").alias("hash")).where("item_id IS NOT NULL")
+
+
+def sync_index(items: DataFrame, index: LexicalIndex) -> LexicalIndex:
+    """The index after what is new, changed or missing in ``items`` has become a segment."""
+    held = live_items(index).select("item_id", F.col("hash").alias("old"))
+    both = items.withColumn("new", _hash()).join(held, "item_id", "full")
+    changed = both.where("old IS NULL OR new IS NOT NULL AND new <> old").select("item_id", "text")
+    return update_index(index, changed, both.where("new IS NULL").select("item_id"))
+
+
+def update_index(index: LexicalIndex, changed: DataFrame | None = None, deleted: DataFrame | None = None,
+                 stop_words=X.STOP_WORDS) -> LexicalIndex:
+    """Add a segment with the ``changed`` items (item_id, text; new ones too), without the ``deleted`` (item_id)."""
+    spark = index.blocks.sparkSession
+    if changed is None and deleted is None:
+        return index
+    if changed is None:
+        changed = live_items(index).select("item_id", F.lit(None).cast("string").alias("text")).limit(0)
+    changed = materialize(changed.select("item_id", "text"), "changed-items")
+    touched = changed.select("item_id")
+    if deleted is not None:
+        touched = touched.union(deleted.select("item_id"))
+    name, root = _fresh(index.path)
+    _write_segment(changed, root, stop_words)
+    hits = materialize(lookup(live_items(index), touched.distinct(), ["item_id"]), "lost-items")
+    gone = hits.groupBy("segment", "block").agg(F.collect_list("place").alias("places"))
+    gone.write.parquet(f"{root}/gone")
+    gone = spark.read.parquet(f"{root}/gone")
+    lost = index.packed.join(gone.withColumnRenamed("places", "away"), ["segment", "block"]).select(
+        "term", (-F.size(F.array_intersect("places", "away"))).cast("long").alias("df")).where("df < 0")
+    less = hits.agg((-F.count("*")).alias("n_items"), (-F.coalesce(F.sum("len"), F.lit(0))).cast("long").alias("n_words"),
+                    F.lit(0).cast("long").alias("n_blocks"), (-F.coalesce(F.sum(F.col("hash").cast("decimal(38,0)")), F.lit(0))).alias("fingerprint"))
+    totals = _totals(spark, root).unionByName(less).agg(*[F.sum(c).cast("decimal(38,0)" if c == "fingerprint" else "long").alias(c)
+                                                          for c in ("n_items", "n_words", "n_blocks", "fingerprint")])
+    _finish(spark, root, lost.groupBy("term").agg(F.sum("df").alias("df")), totals)
+    _publish(spark, index.path, index.version + 1, [*index.segments, name])
+    return load_index(spark, index.path)
+
+
+def compact_index(index: LexicalIndex) -> LexicalIndex:
+    """All segments as one: postings of lost items go, their places stay without an item."""
+    spark = index.blocks.sparkSession
+    name, root = _fresh(index.path)
+    kept = lambda column: F.transform(column, lambda x, i: F.when(
+        F.col("dead").isNull() | ~F.array_contains("dead", i), x))
+    numbered = materialize(index.blocks.select(
+        "segment", F.col("block").alias("old"), F.monotonically_increasing_id().alias("block"), "dead", kept("item_ids").alias("item_ids"),
+        "lens", kept("hashes").alias("hashes")), "compacted-blocks")
+    numbered.select("block", "item_ids", "lens", "hashes").write.parquet(f"{root}/blocks")
+    places = numbered.select("segment", "old", F.col("block").alias("number"), "dead")
+    rows = index.packed.withColumnRenamed("block", "old").join(places, ["segment", "old"])
+    alive = F.when(F.col("dead").isNull(), F.arrays_zip("places", "tfs")).otherwise(
+        F.filter(F.arrays_zip("places", "tfs"), lambda x: ~F.array_contains("dead", x["places"])))
+    rows = rows.withColumn("x", alive).where(F.size("x") > 0)
+    _write_postings(rows.select(F.col("number").alias("block"), "term", F.size("x").cast("long").alias("n"), "top_tf", "least_len",
+                                F.col("x.places").alias("places"), F.col("x.tfs").alias("tfs")), root)
+    totals = spark.createDataFrame([(index.n_items, index.n_words, index.n_blocks, Decimal(index.fingerprint))],
+                                   "n_items long, n_words long, n_blocks long, fingerprint decimal(38,0)")
+    _finish(spark, root, totals=totals)
+    _publish(spark, index.path, index.version + 1, [name])
+    return load_index(spark, index.path)
+
+
+# -- searching -----------------------------------------------------------------------
 
 
 def idf(df: Column, n_items: int) -> Column:
@@ -99,64 +399,336 @@ def term_saturation(tf: Column, length: Column, mean_len: float,
     return tf / (k1 * (1 - b + b * length / F.lit(mean_len)) + tf)
 
 
-def _best_in_block(k: int):
-    """Best ``k`` items of a block for each query of a block, ties by item id."""
-
-    def best(items: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", queries.schema.field("query_id").type),
-                            ("item_id", items.schema.field("item_id").type), ("score", pa.float64())])
-        vocabulary = pc.unique(queries["term"])
-        items = items.append_column("code", pc.index_in(items["term"], value_set=vocabulary))
-        items = items.filter(pc.is_valid(items["code"]))
-        if items.num_rows == 0:
-            return schema.empty_table()
-        ids = pc.unique(items["item_id"])
-        ids = ids.take(pc.sort_indices(ids))
-        query_ids = pc.unique(queries["query_id"])
-        item = pc.index_in(items["item_id"], value_set=ids).to_numpy()
-        query = pc.index_in(queries["query_id"], value_set=query_ids).to_numpy()
-        term = items["code"].to_numpy()
-        wanted = pc.index_in(queries["term"], value_set=vocabulary).to_numpy()
-        impact, weight = items["impact"].to_numpy(), queries["weight"].to_numpy()
-        n = len(ids)
-
-        df = np.bincount(term, minlength=len(vocabulary))
-        frequent = df * FREQUENT > n
-        column = np.cumsum(frequent) - 1
-        matrix = np.zeros((int(frequent.sum()), n))
-        dense = frequent[term]
-        matrix[column[term[dense]], item[dense]] = impact[dense]
-        # the other postings, grouped by term
-        order = np.argsort(term[~dense], kind="stable")
-        item, impact = item[~dense][order], impact[~dense][order]
-        df[frequent] = 0
-        start = np.cumsum(df) - df
-
-        by_query = np.argsort(query, kind="stable")
-        query, wanted, weight = query[by_query], wanted[by_query], weight[by_query]
-        rows, cols, values = [], [], []
-        step = slice_rows(n)
-        for first in range(0, len(query_ids), step):
-            size = min(step, len(query_ids) - first)
-            part = slice(*np.searchsorted(query, [first, first + size]))
-            q, t, w = query[part] - first, wanted[part], weight[part]
-            hot = frequent[t]
-            weights = np.zeros((size, len(matrix)))
-            weights[q[hot], column[t[hot]]] = w[hot]
-            scores = weights @ matrix
-            q, t, w = q[~hot], t[~hot], w[~hot]
-            length = df[t]
-            posting = np.repeat(start[t] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            scores += np.bincount(np.repeat(q, length) * n + item[posting],
-                                  np.repeat(w, length) * impact[posting], size * n).reshape(size, n)
-            r, c, v = block_best(scores, k, scores > 0)
-            rows.append(r + first)
-            cols.append(c)
-            values.append(v)
-        return pa.table([query_ids.take(pa.array(np.concatenate(rows))), ids.take(pa.array(np.concatenate(cols))),
-                         pa.array(np.concatenate(values))], schema=schema)
-
-    return best
+def _steps(scores: np.ndarray) -> np.ndarray:
+    """Scores as whole numbers of the last decimal kept."""
+    return np.floor(scores * 10 ** SCORE_DECIMALS + 0.5)
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``starts``, one after the other."""
+    total = np.cumsum(lengths)
+    return np.repeat(starts - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)
+
+
+class Block:
+    """One block with the postings of the terms that are asked for, by term and place."""
+
+    def __init__(self, item_ids: pa.Array, lens: np.ndarray, dead: np.ndarray, terms: pa.Array, sizes: np.ndarray,
+                 places: np.ndarray, tfs: np.ndarray, mean_len: float, k1: float = K1, b: float = B) -> None:
+        self.item_ids, self.terms, self.n = item_ids, terms, len(item_ids)
+        order = pc.sort_indices(item_ids).to_numpy()
+        self.by_id = np.empty(self.n, np.int64)
+        self.by_id[order] = np.arange(self.n)
+        self.alive = pc.is_valid(item_ids).to_numpy(zero_copy_only=False).copy()
+        self.alive[dead] = False
+        self.place, self.df = places, sizes
+        self.impact = tfs / (k1 * (1 - b + b * lens[places] / mean_len) + tfs) if len(places) else np.zeros(0)
+        # cells: a term's postings within a strip
+        self.strips = -(-self.n // STRIP)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.keys = owner * self.n + places
+        key = owner * self.strips + places // STRIP
+        self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.r_[self.start, len(key)])
+        self.strip = key[self.start] % self.strips if len(key) else self.start
+        self.top = np.maximum.reduceat(self.impact, self.start) if len(key) else np.zeros(0)
+        self.cells = np.searchsorted(key[self.start] // self.strips if len(key) else self.start, np.arange(len(sizes) + 1))
+        self.first = np.cumsum(sizes) - sizes
+        # frequent terms as rows of a matrix
+        frequent = sizes * FREQUENT > self.n
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        hot = frequent[owner]
+        self.matrix = np.zeros((int(frequent.sum()), self.n))
+        self.matrix[self.row[owner[hot]], places[hot]] = self.impact[hot]
+        #: strips that were scored, and all that hold a term of their query
+        self.visited = self.possible = 0
+
+    def best(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int):
+        """(query, place, rounded score in steps) of the ``k`` best items of each of ``len(least)`` queries.
+
+        ``query``, ``term``, ``weight``: entries by query, then term. ``least``: steps that a listed item needs.
+        """
+        heavy = np.bincount(query, self.df[term], len(least)) > WHOLE * self.n
+        out = []
+        for which, way in ((heavy, self._whole), (~heavy, self._bounded)):
+            own = np.flatnonzero(which)
+            if len(own):
+                mine = which[query]
+                number = np.cumsum(which) - 1
+                q, place, steps = way(number[query[mine]], term[mine], weight[mine], least[own], k)
+                out.append((own[q], place, steps))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _whole(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int):
+        """All scores as a product; those near the k-th or beyond are then summed in order."""
+        n = len(least)
+        hot = self.row[term] >= 0
+        weights = np.zeros((n, len(self.matrix)))
+        weights[query[hot], self.row[term[hot]]] = weight[hot]
+        scores = weights @ self.matrix
+        if not hot.all():
+            q, t, w = query[~hot], term[~hot], weight[~hot]
+            posting = _spans(self.first[t], self.df[t])
+            scores += np.bincount(np.repeat(q, self.df[t]) * self.n + self.place[posting], np.repeat(w, self.df[t]) * self.impact[posting],
+                                  n * self.n).reshape(n, self.n)
+        if not self.alive.all():
+            scores[:, ~self.alive] = 0
+        last = np.partition(scores, self.n - k, axis=1)[:, self.n - k] if k < self.n else np.zeros(n)
+        # what rounds to the same score is a tie, which the item decides
+        near = np.maximum(last, least / 10 ** SCORE_DECIMALS) * (1 - 1e-9) - 1.01 * 10.0 ** -SCORE_DECIMALS
+        q, place = np.nonzero((scores > 0) & (scores >= near[:, None]))
+        return self._cut(q, place, _steps(self._ordered(q, place, query, term, weight)), least, k)
+
+    def _ordered(self, q: np.ndarray, place: np.ndarray, query: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Scores of the pairs (q, place), summed in the order of the queries' entries."""
+        first = np.searchsorted(query, np.arange(q.max(initial=-1) + 2))
+        count = np.diff(first)[q]
+        entry = _spans(first[q], count)
+        pair = np.repeat(np.arange(len(q)), count)
+        t, at = term[entry], place[pair]
+        row = self.row[t]
+        hot = row >= 0
+        if hot.all():
+            impact = self.matrix[row, at]
+        else:
+            impact = np.zeros(len(entry))
+            impact[hot] = self.matrix[row[hot], at[hot]]
+            key = t[~hot] * self.n + at[~hot]
+            found = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
+            impact[~hot] = np.where(self.keys[found] == key, self.impact[found], 0.0)
+        return np.bincount(pair, weight[entry] * impact, len(q))
+
+    def _bounded(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int):
+        """Strips from the best bound on, as long as bounds reach the threshold."""
+        strips, n = self.strips, len(least)
+        count = self.cells[term + 1] - self.cells[term]
+        cell = _spans(self.cells[term], count)
+        at = np.repeat(query, count) * strips + self.strip[cell]
+        w = np.repeat(weight, count)
+        sums = np.bincount(at, w * self.top[cell], n * strips)
+        # the order of additions may not lower a bound below a score
+        bound = np.where(sums > 0, _steps(sums * (1 + 1e-12)), -1.0)
+        self.possible += int((bound >= 0).sum())
+        rank = np.empty((n, strips), np.int64)
+        np.put_along_axis(rank, np.argsort(-bound.reshape(n, strips), axis=1), np.arange(strips)[None, :], axis=1)
+        rank = rank.ravel()
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        done, size = 0, -(-k // STRIP) + 1
+        while len(at):
+            floor = np.repeat(least, strips)
+            now = (rank >= done) & (rank < done + size) & (bound >= 0) & (bound >= floor)
+            more = self._score(now, at, cell, w)
+            found = self._cut(*[np.concatenate(x) for x in zip(found, more)], least, k)
+            least = np.maximum(least, self._threshold(found[0], found[2], n, k))
+            done, size = done + size, size * 2
+            rest = ((rank >= done) & (bound >= np.repeat(least, strips)))[at]
+            at, cell, w = at[rest], cell[rest], w[rest]
+        return found
+
+    def _score(self, chosen: np.ndarray, at: np.ndarray, cell: np.ndarray, w: np.ndarray):
+        """(query, place, steps) of the items of the chosen (query, strip) pairs."""
+        pairs = np.flatnonzero(chosen)
+        self.visited += len(pairs)
+        number = np.zeros(len(chosen), np.int64)
+        number[pairs] = np.arange(len(pairs))
+        keep = chosen[at]
+        cell, pair, w = cell[keep], number[at[keep]], w[keep]
+        size = self.size[cell]
+        posting = _spans(self.start[cell], size)
+        scores = np.bincount(np.repeat(pair, size) * STRIP + self.place[posting] % STRIP, np.repeat(w, size) * self.impact[posting],
+                             len(pairs) * STRIP)
+        hit = np.flatnonzero(scores > 0)
+        query, place = pairs[hit // STRIP] // self.strips, pairs[hit // STRIP] % self.strips * STRIP + hit % STRIP
+        alive = self.alive[place]
+        return query[alive], place[alive], _steps(scores[hit[alive]])
+
+    def _cut(self, query: np.ndarray, place: np.ndarray, steps: np.ndarray, least: np.ndarray, k: int):
+        keep = steps >= least[query]
+        query, place, steps = query[keep], place[keep], steps[keep]
+        order = np.lexsort((self.by_id[place], -steps, query))
+        query, place, steps = query[order], place[order], steps[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        return query[rank < k], place[rank < k], steps[rank < k]
+
+    @staticmethod
+    def _threshold(query: np.ndarray, steps: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Steps of the k-th of each query's items (in order); nothing where there are fewer."""
+        out = np.zeros(n)
+        last = np.searchsorted(query, np.arange(n)) + k - 1
+        full = (last < len(query)) & (np.searchsorted(query, np.arange(n), side="right") > last)
+        out[full] = steps[last[full]]
+        return out
+
+    def search(self, asked: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+        """Query ids, item ids and scores for queries (query_id, terms, weights, least), in pieces."""
+        lists = asked["terms"]
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        query = np.repeat(np.arange(asked.num_rows), sizes)
+        code = pc.index_in(lists.flatten(), value_set=self.terms)
+        known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+        term = pc.fill_null(code, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+        weight = asked["weights"].flatten().to_numpy(zero_copy_only=False)[known]
+        query = query[known]
+        least = np.floor(asked["least"].to_numpy(zero_copy_only=False) * 10 ** SCORE_DECIMALS + 0.5)
+        at_least_one = max(1, WORK // max(1, self.n))
+        cost = np.bincount(query, self.df[term], asked.num_rows)
+        first = 0
+        while first < asked.num_rows:
+            fits = int(np.searchsorted(np.cumsum(cost[first:first + at_least_one]), 2 * WORK, side="right"))
+            last = min(first + max(1, fits), asked.num_rows)
+            part = slice(*np.searchsorted(query, [first, last]))
+            if part.stop > part.start:
+                q, place, steps = self.best(query[part] - first, term[part], weight[part], least[first:last], k)
+                yield asked["query_id"].take(pa.array(q + first)), self.item_ids.take(pa.array(place)), steps / 10 ** SCORE_DECIMALS
+            first = last
+
+
+def _stored(uri: str, group: int) -> Iterator[pa.RecordBatch]:
+    """The queries of a group, from their table in the shared folder."""
+    files, folder = pf.FileSystem.from_uri(uri)
+    where = pf.FileSelector(f"{folder}/bucket={group}", allow_not_found=True)
+    for info in files.get_file_info(where):
+        if info.base_name.startswith("part-"):
+            with files.open_input_file(info.path) as source:
+                table = pq.ParquetFile(source, pre_buffer=False, buffer_size=1 << 20)
+                yield from table.iter_batches(QUERY_ROWS, columns=["query_id", "terms", "weights", "least"])
+
+
+class _Unit:
+    """Rows of one block as they arrive: its items, its postings, and queries that are meant for it alone."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.own, self.rows, self.queries = key, None, [], []
+
+    def block(self, mean_len: float, k1: float, b: float) -> Block | None:
+        if self.own is None or not self.rows:
+            return None
+        table = pa.Table.from_batches(self.rows).combine_chunks()
+        flat = lambda name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(table["places"]).to_numpy().astype(np.int64)
+        numbers = lambda name: self.own[name].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return Block(self.own["item_ids"].flatten(), numbers("lens"), numbers("dead"), table["term"].combine_chunks(), sizes,
+                     flat("places"), flat("tfs"), mean_len, k1, b)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[_Unit]:
+    """Sorted rows by block and group; kind 0 is the block itself, 1 a posting row, 2 a query."""
+    unit = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        segment, block, group, kind = (batch[n].to_numpy(zero_copy_only=False) for n in ("segment", "block", "bucket", "kind"))
+        new = (segment[1:] != segment[:-1]) | (block[1:] != block[:-1]) | (group[1:] != group[:-1]) | (kind[1:] != kind[:-1])
+        edges = np.r_[0, np.flatnonzero(new) + 1, batch.num_rows]
+        for a, z in zip(edges[:-1], edges[1:]):
+            key = (segment[a], block[a], group[a])
+            if unit is None or unit.key != key:
+                if unit is not None:
+                    yield unit
+                unit = _Unit(key)
+            piece = batch.slice(a, z - a)
+            if kind[a] == 0:
+                unit.own = piece
+            elif kind[a] == 1:
+                unit.rows.append(piece)
+            else:
+                unit.queries.append(piece)
+    if unit is not None:
+        yield unit
+
+
+@dataclass
+class _Search:
+    """One search: its index, its weights (query_id, term, weight; written) and parameters."""
+
+    index: LexicalIndex
+    weights: DataFrame
+    k: int
+    k1: float
+    b: float
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """Posting rows of the terms that are asked for."""
+        terms = self.weights.select("term").distinct()
+        few = terms.limit(FEW_TERMS + 1).collect()
+        if len(few) <= FEW_TERMS:
+            return self.index.packed.where(F.col("term").isin([r.term for r in few]))
+        return self.index.packed.join(terms, "term", "left_semi")
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        """A row per query: its terms in order with their weights."""
+        pairs = F.array_sort(F.collect_list(F.struct("term", "weight")))
+        return self.weights.groupBy("query_id").agg(pairs.alias("x")).select(
+            "query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+
+    def _run(self, groups: int, own: DataFrame | None, queries: Callable[[_Unit], Iterator[pa.RecordBatch]]) -> DataFrame:
+        """(query_id, item_id, score): the best of each block; ``own`` are queries (segment, block, ...) for single blocks."""
+        id_field, item = self.weights.schema["query_id"], self.index.blocks.schema["item_ids"].dataType
+        schema = T.StructType([id_field, T.StructField("item_id", item.elementType)]).add("score", "double")
+        k, mean_len, k1, b = self.k, self.index.mean_len, self.k1, self.b
+        groups_ = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("bucket")
+        key = ["segment", "block", "bucket"]
+        columns = {"term": "string", "places": INTS, "tfs": INTS, "item_ids": item, "lens": INTS, "dead": INTS,
+                   "query_id": id_field.dataType, "terms": T.ArrayType(T.StringType()), "weights": T.ArrayType(T.DoubleType())}
+
+        def padded(df: DataFrame, kind: int) -> DataFrame:
+            return df.select(*key, F.lit(kind).alias("kind"), *[
+                F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+
+        parts = [padded(self.index.blocks.select("segment", "block", groups_, "item_ids", "lens", F.coalesce("dead", F.array().cast(INTS)).alias("dead")), 0),
+                 padded(self.held.select("segment", "block", groups_, "term", "places", "tfs"), 1)]
+        if own is not None:
+            parts.append(padded(own.withColumn("bucket", F.lit(0)), 2))
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.union(part)
+        tasks = max(1, min(self.index.n_blocks * groups, 100_000))
+        rows = rows.repartition(tasks, *key).sortWithinPartitions(*key, "kind", "term")
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for unit in _units(batches):
+                block = unit.block(mean_len, k1, b)
+                if block is not None:
+                    for asked in queries(unit):
+                        for columns in block.search(asked, k):
+                            yield pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(columns[2])], ["query_id", "item_id", "score"])
+
+        return rows.mapInArrow(search, schema)
+
+    def thresholds(self) -> DataFrame:
+        """(query_id, least): what the k-th item scores in the block with the query's best bound."""
+        index = self.index
+        top = term_saturation(F.col("top_tf"), F.col("least_len"), index.mean_len, self.k1, self.b)
+        bounds = self.held.select("segment", "block", "term", top.alias("top"))
+        sums = (self.weights.join(bounds, "term").groupBy("query_id", "segment", "block")
+                .agg(F.sum(F.col("weight") * F.col("top")).alias("bound")))
+        where = sums.groupBy("query_id").agg(F.max_by(F.struct("segment", "block"), F.struct("bound", "segment", "block")).alias("at"))
+        own = self.queries.join(where, "query_id").select("query_id", "terms", "weights", "at.segment", "at.block")
+
+        def given(unit: _Unit) -> Iterator[pa.RecordBatch]:
+            for piece in unit.queries:
+                yield piece.append_column("least", pa.array(np.zeros(piece.num_rows)))
+
+        first = self._run(1, own, given)
+        # a query of this pass meets one block, which hands on k rows at most
+        return first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= self.k).drop("n")
+
+    def run(self) -> DataFrame:
+        spark = self.weights.sparkSession
+        queries = self.queries
+        if self.index.n_blocks > SHARE:
+            queries = queries.join(materialize(self.thresholds(), "thresholds"), "query_id", "left")
+        else:
+            queries = queries.withColumn("least", F.lit(0.0))
+        groups = max(1, -(-SPREAD // max(1, self.index.n_blocks)))
+        path = scratch_path(spark, "asked")
+        bucket = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
+        queries.select("query_id", "terms", "weights", F.coalesce("least", F.lit(0.0)).alias("least"), bucket.alias("bucket")).write.partitionBy(
+            "bucket").parquet(path)
+        uri = qualified(spark, path)
+        return self._run(groups, None, lambda unit: _stored(uri, int(unit.key[2])))
 
 
 def bm25_topk(index: LexicalIndex, query_terms: DataFrame, k: int = 20,
@@ -169,28 +741,7 @@ def bm25_topk(index: LexicalIndex, query_terms: DataFrame, k: int = 20,
     known = lookup(query_terms, index.terms, ["term"], salt_by=["query_id"])
     weights = materialize(known.select("query_id", "term", (
         F.col("qtf") * idf(F.col("df"), index.n_items)).alias("weight")), "query-weights")
-    n_queries = weights.select(F.count_distinct("query_id")).first()[0]
-    item_blocks = block_count(index.n_items, ITEM_BLOCK)
-    query_blocks = block_count(n_queries, QUERY_BLOCK, item_blocks)
-
-    # Only postings of terms that are asked for go on, and only to query blocks that ask; a query's term only goes to
-    # item blocks that hold it.
-    asked = weights.select("term", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
-    wanted = asked.distinct()
-    held = index.postings.select(
-        "item_id", "term", term_saturation(F.col("tf"), F.col("len"), index.mean_len, k1, b).alias("impact"),
-        F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int").alias("item_block"))
-    held = held.join(wanted.select("term").distinct(), "term", "left_semi")
-    items = held.join(wanted, "term")
-    queries = (weights.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-               .join(held.select("term", "item_block").distinct(), "term")
-               .select("query_id", "term", "weight", *[F.col(c).alias(c) for c in ("query_block", "item_block")]))
-    key = ["item_block", "query_block"]
-    schema = T.StructType([weights.schema["query_id"], index.postings.schema["item_id"],
-                           T.StructField("score", T.DoubleType())])
-    scored = (items.groupBy(*key).cogroup(queries.groupBy(*key))
-              .applyInArrow(_best_in_block(k), schema))
-    return top_k(scored, k).select("query_id", "item_id", "rank", "score")
+    return top_k(_Search(index, weights, k, k1, b).run(), k).select("query_id", "item_id", "rank", "score")
 
 
 def bm25_rank_scored(index: LexicalIndex, query_terms: DataFrame, k: int = 20) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,39 +49,6 @@ SLICE_CELLS = 1 << 20
 SPREAD = 16
 
 
-def block_count(n: int, block: int, others: int = 1) -> int:
-    """Number of blocks for ``n`` rows that meet ``others`` blocks of the other side.
-
-    Blocks are small enough for a task, and few rows still make some tasks as long as
-    each is worth one.
-    """
-    pairs = (1 if others == 1 else 4) * SPREAD
-    busy = min(-(-pairs // others), -(-n * 16 // block))
-    return max(1, -(-n // block), busy)
-
-
 def slice_rows(columns: int) -> int:
     """Rows of a score matrix with so many columns to compute at a time."""
     return max(1, SLICE_CELLS // max(1, columns))
-
-
-def block_best(scores: np.ndarray, k: int, valid: np.ndarray | None = None):
-    """(row, column, rounded score) of the best ``k`` valid columns of each row.
-
-    Scores are rounded first; equal ones are taken in column order.
-    """
-    n = scores.shape[1]
-    steps = np.floor(scores * 10 ** SCORE_DECIMALS + 0.5)
-    # one number per cell that sorts like score descending, column ascending
-    order = steps * n - np.arange(n)
-    if valid is not None:
-        order[~valid] = -np.inf
-    if k < n:
-        cols = np.argpartition(order, n - k, axis=1)[:, n - k:]
-    else:
-        cols = np.broadcast_to(np.arange(n), scores.shape)
-    rows = np.repeat(np.arange(len(scores)), cols.shape[1])
-    cols = cols.reshape(-1)
-    kept = order[rows, cols] > -np.inf
-    rows, cols = rows[kept], cols[kept]
-    return rows, cols, steps[rows, cols] / 10 ** SCORE_DECIMALS

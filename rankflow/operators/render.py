@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions import text as X
 from rankflow.operators.joins import lookup
-from rankflow.operators.sessions import with_catalog
+from rankflow.operators.sessions import upto, with_catalog
 
 # Styles of a rendered conversation. Per role the line format, the
 # last line with the query, and the text of an empty conversation.
@@ -75,6 +75,12 @@ def render_turns(turns: DataFrame, style: str, catalog: DataFrame | None = None,
                                         F.lit(spec["empty"])).alias("conversation"))
 
 
+def render_upto(turns: DataFrame, targets: DataFrame, style: str, catalog: DataFrame | None = None) -> DataFrame:
+    """(session_id, turn_number, conversation): what was said up to each target turn, that turn included."""
+    rows = upto(turns, targets)
+    return render_turns(rows, style, catalog, key=("session_id", "target_turn")).withColumnRenamed("target_turn", "turn_number")
+
+
 def _candidate_line(style: str, tags: int) -> Column:
     number = F.col("rank").cast("string")
     item, track = F.col("track_id"), X.track_text()

@@ -11,25 +11,30 @@ from rankflow.operators.judge import mean_score
 DEFAULT_BASELINE = 3.5
 
 
+def key_of(*tables: DataFrame) -> list[str]:
+    """Session and, where all ``tables`` have it, turn."""
+    return [c for c in ("session_id", "turn_number") if all(c in t.columns for t in tables)]
+
+
 def _or_zero() -> Column:
     return F.coalesce(mean_score(), F.lit(0.0))
 
 
 def targets_mean(scores: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """Sessions with a mean score up to the threshold; unscored ones count as 0."""
-    return scores.select("session_id", _or_zero().alias("avg")).filter(F.col("avg") <= threshold)
+    """Sessions, or turns if the scores are of turns, with a mean up to the threshold; unscored ones count as 0."""
+    return scores.select(*key_of(scores), _or_zero().alias("avg")).filter(F.col("avg") <= threshold)
 
 
 def targets_band(scores: DataFrame, low: float = 3.0, high: float = 3.99) -> DataFrame:
     """Sessions with a mean score in (low, high]."""
-    return (scores.select("session_id", _or_zero().alias("avg"))
+    return (scores.select(*key_of(scores), _or_zero().alias("avg"))
             .filter((F.col("avg") > low) & (F.col("avg") <= high)))
 
 
 def targets_floor(scores: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Scored sessions with an explanation score up to the threshold."""
     return (scores.filter(mean_score().isNotNull() & (F.col("explanation") <= threshold))
-            .select("session_id", mean_score().alias("avg"), "explanation"))
+            .select(*key_of(scores), mean_score().alias("avg"), "explanation"))
 
 
 def worst_first(targets: DataFrame, by: str = "avg") -> DataFrame:
@@ -38,26 +43,27 @@ def worst_first(targets: DataFrame, by: str = "avg") -> DataFrame:
 
 def work_rows(targets: DataFrame, predictions: DataFrame, conversations: DataFrame,
               candidates: DataFrame) -> DataFrame:
-    """Targets with their prediction's response and the rendered texts.
+    """Targets with their prediction's response and the rendered texts, a row per turn that has a prediction.
 
-    ``conversations`` is (session_id, conversation), ``candidates`` (session_id,
-    candidates). Targets without a prediction or a session are left out.
+    ``conversations`` is (session_id[, turn_number], conversation), ``candidates`` (session_id[, turn_number],
+    candidates); tables meet by turn where both sides tell it, else by session. Targets without a prediction or a
+    session are left out.
     """
-    return (targets.join(predictions.select("session_id", "predicted_response"), "session_id")
-            .join(conversations, "session_id").join(candidates, "session_id", "left"))
+    rows = targets.join(predictions.select(*key_of(predictions), "predicted_response"), key_of(targets, predictions))
+    return rows.join(conversations, key_of(rows, conversations)).join(candidates, key_of(rows, candidates), "left")
 
 
 def unmatched(targets: DataFrame, *tables: DataFrame) -> DataFrame:
     """Targets that are missing from at least one of the tables."""
-    found = targets.select("session_id")
+    found = targets.select(*key_of(targets))
     for table in tables:
-        found = found.join(table, "session_id", "left_semi")
-    return targets.join(found, "session_id", "left_anti")
+        found = found.join(table, key_of(found, table), "left_semi")
+    return targets.join(found, key_of(targets), "left_anti")
 
 
 def without_result(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """Tasks for which no response came back."""
-    return tasks.join(results, "session_id", "left_anti")
+    return tasks.join(results, key_of(tasks, results), "left_anti")
 
 
 def guard_live(rows: DataFrame, default_baseline: float = DEFAULT_BASELINE) -> DataFrame:
@@ -88,13 +94,9 @@ def cleared(guarded: DataFrame) -> DataFrame:
     return guarded.filter(F.col("decision").startswith("patch"))
 
 
-def _shared_key(left: DataFrame, right: DataFrame) -> list[str]:
-    return [c for c in ("session_id", "turn_number") if c in left.columns and c in right.columns]
-
-
 def patch(predictions: DataFrame, responses: DataFrame) -> DataFrame:
     """Predictions with new responses where there is one, by session and, if ``responses`` has it, turn."""
-    key = _shared_key(predictions, responses)
+    key = key_of(predictions, responses)
     new = responses.select(*key, F.col("response").alias("_new"))
     return (predictions.join(new, key, "left")
             .withColumn("predicted_response", F.coalesce("_new", "predicted_response")).drop("_new"))
@@ -102,7 +104,7 @@ def patch(predictions: DataFrame, responses: DataFrame) -> DataFrame:
 
 def merge_responses(predictions: DataFrame, source: DataFrame) -> DataFrame:
     """Ranked items of one run with the responses of another for the same turn; empty if it has none."""
-    key = _shared_key(predictions, source)
+    key = key_of(predictions, source)
     texts = source.select(*key, F.col("predicted_response").alias("_text"))
     return (predictions.drop("predicted_response").join(texts, key, "left")
             .withColumn("predicted_response", F.coalesce("_text", F.lit(""))).drop("_text"))

@@ -64,6 +64,12 @@ def history(turns: DataFrame, targets: DataFrame) -> DataFrame:
     return turns.join(t, "session_id").filter(F.col("turn_number") < F.col("target_turn"))
 
 
+def upto(turns: DataFrame, targets: DataFrame) -> DataFrame:
+    """All rows of the target's turn and of earlier ones, per target (session_id, turn_number)."""
+    t = targets.select("session_id", F.col("turn_number").alias("target_turn")).distinct()
+    return turns.join(t, "session_id").filter(F.col("turn_number") <= F.col("target_turn"))
+
+
 def history_window(turns: DataFrame) -> DataFrame:
     """User rows with the array of all rows of earlier turns."""
     frame = (Window.partitionBy("session_id").orderBy("turn_number")

@@ -27,16 +27,17 @@ def evaluate(predictions: DataFrame, truth: DataFrame, all_turns: bool = False,
 def judge_prompts(predictions: DataFrame, turns: DataFrame, catalog: DataFrame, template: str,
                   conversation_style: str = "judge", candidate_style: str = "bullet",
                   shown: int = 5) -> DataFrame:
-    """(session_id, turn_number, prompt) for every prediction whose session is known, with its own tracks.
+    """(session_id, turn_number, prompt) for every prediction whose session is known, with its own tracks and what was
+    said up to its turn.
 
     ``template`` has places ``{conversation}``, ``{response}`` and ``{tracks}``.
     """
-    conversations = render.render_turns(turns, conversation_style)
+    conversations = render.render_upto(turns, predictions, conversation_style)
     ranked = truncate(unpack_predictions(predictions), shown).select(
         turn_key().alias("query_id"), F.col("track_id").alias("item_id"), "rank")
     tracks = render.render_candidates(ranked, catalog, candidate_style)
     rows = (predictions.select("session_id", "turn_number", turn_key().alias("query_id"), "predicted_response")
-            .join(conversations, "session_id").join(tracks, "query_id", "left"))
+            .join(conversations, ["session_id", "turn_number"]).join(tracks, "query_id", "left"))
     return rows.select("session_id", "turn_number", render.fill_prompt(
         template, conversation=F.col("conversation"), response=F.col("predicted_response"),
         tracks=F.col("candidates")).alias("prompt"))

@@ -133,10 +133,10 @@ def recommend(turns: DataFrame, users: DataFrame, catalog: DataFrame, indexes: I
 
     ``users`` is (session_id, user_id).
     """
-    targets = targets_of(turns, mode)
+    # written once: the pick over the whole turn table serves texts, taste and prediction rows
+    targets = materialize(targets_of(turns, mode).join(users, "session_id").withColumn("query_id", turn_key()), "targets")
     texts = weighted_texts(turns, targets, catalog) if weighted else plain_texts(turns, targets)
-    keyed = targets.join(users, "session_id").select(
-        turn_key().alias("query_id"), "session_id", "user_id", "turn_number")
+    keyed = targets.select("query_id", "session_id", "user_id", "turn_number")
     taste = None
     if user_vectors is not None:
         taste = keyed.select("query_id", "user_id").join(user_vectors, "user_id").select(

@@ -39,15 +39,16 @@ def live_scores(work: DataFrame, judge: C.Completer, template: str, **options) -
     both = F.explode(F.array(
         F.struct(F.lit("new_score").alias("which"), F.col("response").alias("text")),
         F.struct(F.lit("live_score").alias("which"), F.col("predicted_response").alias("text"))))
-    rows = work.select("session_id", "conversation", "candidates", both.alias("r"))
-    prompts = rows.select("session_id", "r.which", fill_prompt(
+    key = K.key_of(work)
+    rows = work.select(*key, "conversation", "candidates", both.alias("r"))
+    prompts = rows.select(*key, "r.which", fill_prompt(
         template, conversation=F.col("conversation"), response=F.col("r.text"),
         tracks=F.col("candidates")).alias("prompt"))
-    keyed = prompts.select(F.struct("session_id", "which").alias("session_id"), "prompt")
+    keyed = prompts.select(F.struct(*key, "which").alias("session_id"), "prompt")
     scored = score_predictions(keyed, judge, **options).select("session_id.*", mean_score().alias("avg"))
-    pivoted = scored.groupBy("session_id").agg(*[
+    pivoted = scored.groupBy(*key).agg(*[
         F.max(F.when(F.col("which") == w, F.col("avg"))).alias(w) for w in ("new_score", "live_score")])
-    return work.join(pivoted, "session_id")
+    return work.join(pivoted, key)
 
 
 def repair(predictions: DataFrame, work: DataFrame, completer: C.Completer, template: str,
@@ -56,7 +57,7 @@ def repair(predictions: DataFrame, work: DataFrame, completer: C.Completer, temp
     """Patch the predictions of the work rows.
 
     ``work`` comes from :func:`rankflow.operators.repair.work_rows`; its ``avg`` is the
-    stored score. Without a judge every new response goes in.
+    stored score. Each of its rows is judged and patched by session and turn. Without a judge every new response goes in.
     """
     made = materialize(regenerate(work, completer, template, rules, max_tries, **options), "regenerated")
     ready = made.filter(F.col("response").isNotNull())
@@ -66,6 +67,6 @@ def repair(predictions: DataFrame, work: DataFrame, completer: C.Completer, temp
         scored = live_scores(ready, judge, judge_template, **options).withColumn("stored_score", F.col("avg"))
         guarded = K.guard_strict(scored) if strict else K.guard_live(scored)
     guarded = materialize(guarded, "guarded")
-    patched = K.patch(predictions, K.cleared(guarded).select("session_id", "response"))
+    patched = K.patch(predictions, K.cleared(guarded).select(*K.key_of(guarded), "response"))
     failed = made.filter(F.col("response").isNull()).drop("response")
     return RepairResult(patched, guarded, failed)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +55,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     What stands there serves the running application only and is deleted at its end.
     """
+    if folder := getattr(_scope, "folder", None):
+        return f"{folder}/{name}-{uuid.uuid4().hex}"
     context = spark.sparkContext
     root = f"{shared_dir(spark)}/rankflow/{context.applicationId}"
     return f"{_scratch_root(root, context._jvm, context._jsc.hadoopConfiguration())}/{name}-{uuid.uuid4().hex}"
 
 
+_scope = threading.local()
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that this thread writes within the scope go at its end."""
+    outer, _scope.folder = getattr(_scope, "folder", None), scratch_path(spark, "scope")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scope.folder)
+    try:
+        yield
+    finally:
+        _scope.folder = outer
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with its scheme, for readers other than Spark's."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -80,3 +99,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``; none if it is not there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(target) if s.isDirectory()] if files.exists(target) else []
+
+
+#: bytes of a table for each core, below which its files may be too few to keep the cores busy
+SMALL = 128 << 20
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt anew by ``by`` if the optimizer finds it small; a large table stays as its files divide it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, *by) if size < SMALL * cores else df

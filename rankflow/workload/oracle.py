@@ -70,11 +70,33 @@ def _assigned(source: str, id_col: str, number: str) -> str:
     JOIN unit_embeddings e ON e.vec_id = ({number}) % (SELECT count(*) FROM embeddings)"""
 
 
-def _scores(p: int, e: int, gap: int) -> str:
+def _scores(p: int, e: int, gap: int, source: str = "shop_targets", number: str = "session_id", key: str = "session_id") -> str:
     def half(f: int) -> str:
-        return f"CASE WHEN session_id % {gap} <> 0 THEN 1 + (session_id * {f} % 9) / 2.0::DOUBLE END"
+        return f"CASE WHEN {number} % {gap} <> 0 THEN 1 + ({number} * {f} % 9) / 2.0::DOUBLE END"
 
-    return f"SELECT session_id, {half(p)} AS personalization, {half(e)} AS explanation FROM shop_targets"
+    return f"SELECT {key}, {half(p)} AS personalization, {half(e)} AS explanation FROM {source}"
+
+
+def _repaired(work: str, key: str) -> dict[str, str]:
+    """Views of a repair run over the work rows ``work``; the last is (key, response)."""
+    end = work.removeprefix("work")
+    judged = (f"SELECT {key}, {_judge_reply('head || response || tail')} FROM live_prompts{end}",
+              f"SELECT {key}, {_judge_reply('head || predicted_response || tail')} FROM live_prompts{end}")
+    return {
+        f"regenerated{end}": f"""
+    SELECT *, 'You will know this one — ' || regexp_extract(candidates, '[^\n]*$') ||
+              ' is close to what was played before.' AS response FROM {work}""",
+        f"live_prompts{end}": f"""
+    SELECT {key}, avg, response, 'Conversation:' || chr(10) || conversation || chr(10) || 'Response:' || chr(10) AS head,
+           predicted_response, chr(10) || 'Tracks:' || chr(10) || candidates AS tail FROM regenerated{end}""",
+        f"live_new{end}": judged[0],
+        f"live_old{end}": judged[1],
+        f"repaired{end}": f"""
+    SELECT {key}, r.response FROM regenerated{end} r
+    JOIN live_new{end} n USING ({key}) JOIN live_old{end} o USING ({key})
+    WHERE CASE WHEN n.personalization IS NULL THEN false
+               WHEN o.personalization IS NULL THEN (n.personalization + n.explanation) / 2 > r.avg
+               ELSE n.personalization + n.explanation > o.personalization + o.explanation END"""}
 
 
 _STRIP_FENCES = (r"trim(regexp_replace(regexp_replace(reply, '(?m)^```(?:json)?\s*', '', 'g'), "
@@ -215,6 +237,10 @@ VIEWS: dict[str, str] = {
     "stream_bm25": _top("stream_scores", 20),
     "last_scores": _bm25("doc_items", "doc_postings", "last_terms"),
     "last_bm25": _top("last_scores", 20),
+    "kept_items": "SELECT * FROM doc_items WHERE item_id % 10 <> 7",
+    "kept_postings": _postings("kept_items"),
+    "kept_scores": _bm25("kept_items", "kept_postings", "last_terms"),
+    "kept_bm25": _top("kept_scores", 20),
     "last_bm25_wide": _top("last_scores", 100),
     "unit_embeddings": f"SELECT vec_id, {_unit('embedding::DOUBLE[]')} AS vector FROM embeddings",
     "doc_vectors": _assigned("doc_items", "item_id", "item_id"),
@@ -412,20 +438,22 @@ VIEWS: dict[str, str] = {
     FROM (SELECT session_id, coalesce((personalization + explanation) / 2, 0) AS avg FROM scores_a)
     JOIN predictions USING (session_id) JOIN talk USING (session_id)
     LEFT JOIN work_candidates ON query_id = session_id WHERE avg > 3 AND avg <= 3.99""",
-    "regenerated": """
-    SELECT *, 'You will know this one — ' || regexp_extract(candidates, '[^\n]*$') ||
-              ' is close to what was played before.' AS response FROM work""",
-    "live_prompts": """
-    SELECT session_id, avg, response, 'Conversation:' || chr(10) || conversation || chr(10) || 'Response:' || chr(10) AS head,
-           predicted_response, chr(10) || 'Tracks:' || chr(10) || candidates AS tail FROM regenerated""",
-    "live_new": f"SELECT session_id, {_judge_reply('head || response || tail')} FROM live_prompts",
-    "live_old": f"SELECT session_id, {_judge_reply('head || predicted_response || tail')} FROM live_prompts",
-    "repaired": """
-    SELECT r.session_id, r.response FROM regenerated r
-    JOIN live_new n ON n.session_id = r.session_id JOIN live_old o ON o.session_id = r.session_id
-    WHERE CASE WHEN n.personalization IS NULL THEN false
-               WHEN o.personalization IS NULL THEN (n.personalization + n.explanation) / 2 > r.avg
-               ELSE n.personalization + n.explanation > o.personalization + o.explanation END""",
+    **_repaired("work", "session_id"),
+    "turn_scores": _scores(7, 5, 13, "per_turn", "(session_id + turn_number)", "session_id, turn_number"),
+    "talk_upto": """
+    SELECT p.session_id, p.turn_number,
+           string_agg(CASE role WHEN 'user' THEN 'User: "' || content || '"' WHEN 'music' THEN '[Track played: ' || content || ']' END,
+                      chr(10) ORDER BY h.turn_number, pos) AS body,
+           string_agg(CASE role WHEN 'user' THEN 'User: ' || content WHEN 'music' THEN '[Track played: ' || content || ']' END,
+                      chr(10) ORDER BY h.turn_number, pos) AS judged
+    FROM per_turn p JOIN shop_turns h ON h.session_id = p.session_id AND h.turn_number <= p.turn_number
+    GROUP BY p.session_id, p.turn_number""",
+    "work_turns": """
+    SELECT session_id, turn_number, avg, predicted_response, body AS conversation, candidates
+    FROM (SELECT session_id, turn_number, coalesce((personalization + explanation) / 2, 0) AS avg FROM turn_scores)
+    JOIN per_turn USING (session_id, turn_number) JOIN talk_upto USING (session_id, turn_number)
+    LEFT JOIN work_candidates ON query_id = session_id WHERE avg > 3 AND avg <= 3.99""",
+    **_repaired("work_turns", "session_id, turn_number"),
 }
 
 
@@ -714,6 +742,17 @@ _FINAL: dict[str, str] = {
     "repair_run": """
     SELECT session_id, coalesce(response, predicted_response) AS predicted_response
     FROM predictions LEFT JOIN repaired USING (session_id)""",
+    "segmented_topk": _LIST + "kept_bm25",
+    "compacted_topk": _LIST + "kept_bm25",
+    "work_rows_turns": "SELECT * FROM work_turns",
+    "repair_run_turns": """
+    SELECT session_id, turn_number, coalesce(response, predicted_response) AS predicted_response
+    FROM per_turn LEFT JOIN repaired_turns USING (session_id, turn_number)""",
+    "score_predictions_turns": f"""
+    SELECT session_id, turn_number, {_judge_reply('prompt')} FROM (
+      SELECT session_id, turn_number, 'Conversation:' || chr(10) || judged || chr(10) || 'Response:' || chr(10) || predicted_response
+             || '@' || turn_number || chr(10) || 'Tracks:' || chr(10) || candidates AS prompt
+      FROM per_turn JOIN talk_upto USING (session_id, turn_number) JOIN bullets ON query_id = session_id)""",
     "response_stage": f"""
     SELECT query_id, 'You will know this one — ' || {_DISPLAY} || ' is close to what was played before.' AS response
     FROM ranked JOIN shop_catalog ON track_id = item_id WHERE rank = 1""",

@@ -23,7 +23,7 @@ from rankflow.plans import retrieval as T
 from rankflow.session import scratch_path, shared_dir
 from rankflow.sources import sinks, splits, tables
 from rankflow.streaming import turns as S
-from rankflow.workload.views import Views
+from rankflow.workload.views import Views, scores_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +49,7 @@ def _index(v: Views, name: str, items: DataFrame) -> lexical.LexicalIndex:
     """Index of the running application for one table, built at its first use."""
     app = v.spark.sparkContext.applicationId
     where = hashlib.sha256(v.root.encode()).hexdigest()[:12]
-    return lexical.open_index(items, f"{shared_dir(v.spark)}/rankflow/{app}/{where}/{name}")
+    return lexical.open_index(items, f"{shared_dir(v.spark)}/rankflow/{app}/{where}/{name}", check=False)
 
 
 def document_index(v: Views) -> lexical.LexicalIndex:
@@ -239,6 +239,26 @@ def bm25_weighted_topk(v: Views) -> DataFrame:
     return lexical.bm25_topk(catalog_index(v), queries.query_terms(_shop_texts(v)), TOPK)
 
 
+@query
+def segmented_topk(v: Views) -> DataFrame:
+    """An index of most documents, some with an older text, brought up to date by a segment; then searched."""
+    path = scratch_path(v.spark, "segments")
+    last = F.col("item_id") % 10
+    old = v.documents.where(last != 9).withColumn("text", F.when(last == 3, F.concat(F.lit("older text of "), "text")).otherwise(F.col("text")))
+    index = lexical.update_index(lexical.build_index(old, path), v.documents.where(last.isin(3, 9)), v.documents.where(last == 7).select("item_id"))
+    return lexical.bm25_topk(index, queries.query_terms(v.last_texts), TOPK)
+
+
+@query
+def compacted_topk(v: Views) -> DataFrame:
+    """The same documents, found out by comparison with an index of other ones, after all segments became one."""
+    path = scratch_path(v.spark, "compacted")
+    last = F.col("item_id") % 10
+    lexical.build_index(v.documents.where(last != 9).withColumn("text", F.when(last == 3, F.lit("gone")).otherwise(F.col("text"))), path)
+    index = lexical.compact_index(lexical.open_index(v.documents.where(last != 7), path))
+    return lexical.bm25_topk(index, queries.query_terms(v.last_texts), TOPK)
+
+
 def _with_zero(v: Views) -> DataFrame:
     e = v.embeddings.select("vec_id", F.transform(
         V.as_double(F.col("embedding")), lambda x: x * (1 + F.col("vec_id") % 3)).alias("embedding"))
@@ -687,6 +707,36 @@ def repair_run(v: Views) -> DataFrame:
     return result.predictions.select("session_id", "predicted_response")
 
 
+def _turn_work(v: Views) -> DataFrame:
+    """Work rows of single turns: weak ones of a session's last two, each with what was said up to it."""
+    predictions = _per_turn(v)
+    scores = predictions.select("session_id", "turn_number", *scores_of(F.col("session_id") + F.col("turn_number"), 7, 5, 13))
+    shown = render.render_candidates(v.ranked, v.catalog, "quoted", n=3, tags=5)
+    return repair.work_rows(repair.targets_band(scores), predictions, render.render_upto(v.shop_turns, predictions, "quoted"),
+                            shown.withColumnRenamed("query_id", "session_id"))
+
+
+@query
+def work_rows_turns(v: Views) -> DataFrame:
+    return _turn_work(v).select("session_id", "turn_number", "avg", "predicted_response", "conversation", "candidates")
+
+
+@query
+def repair_run_turns(v: Views) -> DataFrame:
+    """Several predictions a session, each judged and patched on its own."""
+    result = RP.repair(_per_turn(v), _turn_work(v), quoting_completer, WORK_TEMPLATE, gates.EXPLAINED,
+                       length_completer, JUDGE_TEMPLATE)
+    return result.predictions.select("session_id", "turn_number", "predicted_response")
+
+
+@query
+def score_predictions_turns(v: Views) -> DataFrame:
+    """The predictions of a session's last two turns, judged by what was said up to each."""
+    turn = F.col("turn_number")
+    rows = _per_turn(v).withColumn("predicted_response", F.concat("predicted_response", F.lit("@"), turn.cast("string")))
+    return E.score_predictions(E.judge_prompts(rows, v.shop_turns, v.catalog, JUDGE_TEMPLATE), length_completer)
+
+
 @query
 def response_stage(v: Views) -> DataFrame:
     """Responses from the first item's display text and the conversation."""

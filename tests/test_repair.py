@@ -1,3 +1,6 @@
+import os
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -96,9 +99,76 @@ def test_completion_tries_until_accepted(spark):
     assert rows(got, "prompt", "reply", "is_fallback") == [("no", "?", True), ("ok", "okokok", False)]
 
 
-def test_calls_are_bounded_by_partitions(spark):
+def test_calls_are_bounded_by_partitions_and_threads(spark):
     df = spark.range(200).select(F.col("id").cast("string").alias("prompt"), F.lit("h").alias("prompt_hash"))
     assert complete._call(complete.empty_completer, df, 1, 3).rdd.getNumPartitions() == 3
+    assert complete._call(complete.empty_completer, df, 1, 12, 4).rdd.getNumPartitions() == 3
+
+
+def test_calls_of_a_task_overlap(spark):
+    """Eight calls of 0.25 s in a task of eight threads take well under their sum."""
+    def slow(prompt):
+        begun = time.time()
+        time.sleep(0.25)
+        return f"{begun} {time.time()}"
+
+    df = spark.range(8).select(F.col("id").cast("string").alias("prompt"), F.col("id").cast("string").alias("prompt_hash"))
+    spans = [tuple(map(float, r.reply.split())) for r in complete._call(slow, df, 1, 8, 8).collect()]
+    assert max(e for _, e in spans) - min(b for b, _ in spans) < 0.6 * 8 * 0.25
+
+
+def test_a_killed_task_repeats_at_most_its_wave(spark, tmp_path):
+    """The worker dies in the middle of a wave: what earlier waves brought is kept and not asked again."""
+    calls, fuse = tmp_path / "calls", tmp_path / "fuse"
+    fuse.write_text("")
+
+    def completer(prompt):
+        with open(calls, "a") as log:
+            log.write(f"{prompt}\n")
+        if fuse.exists() and len(calls.read_text().split()) > 150:
+            fuse.unlink(missing_ok=True)
+            os._exit(1)
+        return prompt.upper()
+
+    df = spark.range(300).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    store = scratch_path(spark, "waves-test")
+    options = {"store": store, "wave": 50, "parallelism": 4, "threads": 2}
+    with pytest.raises(Exception):
+        complete.replies(df, completer, **options)
+    kept = spark.read.parquet(store).count()
+    assert kept >= 80
+    assert complete.replies(df, completer, **options).count() == 300
+    asked = calls.read_text().split()
+    # waves hold about 50 prompts each
+    assert set(asked) == {f"p{i}" for i in range(300)} and len(asked) - 300 <= 75
+
+
+def turns_table(spark):
+    return spark.createDataFrame([("s", t, pos, role, f"{role}{t}") for t in (1, 2, 3) for pos, role in enumerate(("user", "music"))],
+                                 "session_id string, turn_number int, pos int, role string, content string")
+
+
+def test_each_turn_is_repaired_on_its_own(spark):
+    """Two predictions of one session: two work rows, and each gets the text that was made for it."""
+    from rankflow.operators import render
+
+    predictions = spark.createDataFrame([("s", 1, ["a"], "old one"), ("s", 2, ["b"], "old two"), ("s", 3, ["c"], "fine")],
+                                        "session_id string, turn_number int, predicted_track_ids array<string>, predicted_response string")
+    scores = spark.createDataFrame([("s", 1, 3.5, 3.5), ("s", 2, 3.5, 3.5), ("s", 3, 5.0, 5.0)],
+                                   "session_id string, turn_number int, personalization double, explanation double")
+    talk = render.render_upto(turns_table(spark), predictions, "judge")
+    assert {r.turn_number: r.conversation.count("\n") for r in talk.collect()} == {1: 1, 2: 3, 3: 5}
+    shown = spark.createDataFrame([("s", "tracks")], "session_id string, candidates string")
+    work = repair.work_rows(repair.targets_band(scores), predictions, talk, shown)
+    assert rows(work, "turn_number", "predicted_response") == [(1, "old one"), (2, "old two")]
+    # targets told by session alone still give one row per prediction
+    assert repair.work_rows(scores.where("turn_number = 1").select("session_id", F.lit(1.0).alias("avg")), predictions, talk, shown).count() == 3
+    result = plan.repair(predictions, work, lambda p: f"You asked for this and heard {p.count('user')} — close to what you played before, in colour.",
+                         "{conversation}", gates.EXPLAINED)
+    got = rows(result.predictions, "turn_number", "predicted_response")
+    assert [t for t, _ in got] == [1, 2, 3] and "heard 1 " in got[0][1] and "heard 2 " in got[1][1] and got[2][1] == "fine"
+    assert repair.unmatched(scores, predictions.where("turn_number < 3")).count() == 1
+    assert repair.without_result(scores, predictions.where("turn_number < 2")).count() == 2
 
 
 def test_repair_run(spark):

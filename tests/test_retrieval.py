@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,28 +40,153 @@ def corpus():
     return docs, asked + [(40, "common"), (41, "w3 w3 w1"), (42, "unknown")]
 
 
-@pytest.mark.parametrize("blocks", [(8192, 4096), (40, 7)])
-def test_bm25_matches_brute_force(spark, corpus, monkeypatch, blocks):
-    docs, asked = corpus
-    monkeypatch.setattr(lexical, "ITEM_BLOCK", blocks[0])
-    monkeypatch.setattr(lexical, "QUERY_BLOCK", blocks[1])
-    index = lexical.build_index(spark.createDataFrame(docs, "item_id long, text string"))
+def ranked_lists(index, asked, k, spark):
     terms = queries.query_terms(spark.createDataFrame(asked, "query_id long, text string"))
     got = {}
-    for r in lexical.bm25_topk(index, terms, 25).orderBy("query_id", "rank").collect():
+    for r in lexical.bm25_topk(index, terms, k).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+    return got
+
+
+def assert_lists(got, docs, asked, k):
     for q, text in asked:
-        want = brute_bm25(docs, text, 25)
+        want = brute_bm25(docs, text, k)
         assert [i for i, _ in got.get(q, [])] == [i for i, _ in want], text
         assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want], abs=2e-6)
 
 
+@pytest.mark.parametrize("items,words,share", [(8192, 1 << 22, 8), (40, 1 << 22, 100), (40, 300, 2)])
+def test_bm25_matches_brute_force(spark, corpus, monkeypatch, items, words, share):
+    """One block or many, closed by items or by words, with and without thresholds from the best blocks."""
+    docs, asked = corpus
+    monkeypatch.setattr(lexical, "BLOCK_ITEMS", items)
+    monkeypatch.setattr(lexical, "BLOCK_WORDS", words)
+    monkeypatch.setattr(lexical, "SHARE", share)
+    index = lexical.build_index(spark.createDataFrame(docs, "item_id long, text string").repartition(2))
+    assert_lists(ranked_lists(index, asked, 25, spark), docs, asked, 25)
+    for r in index.blocks.collect():
+        assert len(r.item_ids) <= items and sum(r.lens) < words + 21
+
+
+def zipf_block(n=6000, seed=1):
+    """A block of texts with words of very different frequency, and 300 queries of six words."""
+    rng = np.random.default_rng(seed)
+    words = [rng.zipf(1.3, rng.integers(4, 40)) % 4000 for _ in range(n)]
+    code, row = np.concatenate(words), np.repeat(np.arange(n), [len(w) for w in words])
+    pairs = np.unique(np.stack([code, row]), axis=1)
+    words = [words[i] for i in lexical._alike(pairs[0], pairs[1], np.array([len(w) for w in words]))]
+    rows = {}
+    for i, text in enumerate(words):
+        for w, tf in Counter(text.tolist()).items():
+            rows.setdefault(f"w{w:04}", []).append((i, tf))
+    terms = sorted(rows)
+    sizes = np.array([len(rows[t]) for t in terms])
+    place, tf = (np.array([x[j] for t in terms for x in rows[t]]) for j in (0, 1))
+    lens = np.array([len(t) for t in words])
+    block = lexical.Block(pa.array(np.arange(n)), lens, np.zeros(0, np.int64), pa.array(terms), sizes, place, tf, float(lens.mean()))
+    asked = [sorted({f"w{w:04}" for w in rng.zipf(1.3, 6) % 4000}) for _ in range(300)]
+    idf = {t: math.log(1 + (n - s + 0.5) / (s + 0.5)) for t, s in zip(terms, sizes)}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(asked), pa.array([[idf.get(t, 0.0) for t in a] for a in asked]),
+                                        pa.array(np.zeros(300))], ["query_id", "terms", "weights", "least"])
+    return block, batch, words, idf
+
+
+def listed(block, batch, k):
+    out = {}
+    for q, i, s in block.search(batch, k):
+        for a, b, c in zip(q.to_pylist(), i.to_pylist(), s.tolist()):
+            out.setdefault(a, []).append((b, c))
+    return out
+
+
+def test_bounds_spare_strips(monkeypatch):
+    """Most strips that hold a word of their query are passed over, more with a threshold from elsewhere; lists are whole."""
+    monkeypatch.setattr(lexical, "WHOLE", 1e9)
+    block, batch, words, idf = zipf_block()
+    got = listed(block, batch, 10)
+    mean = sum(map(len, words)) / len(words)
+    for q in range(0, 300, 7):
+        scores = np.zeros(len(words))
+        for i, text in enumerate(words):
+            bag = Counter(f"w{w:04}" for w in text.tolist())
+            for t in batch["terms"][q].as_py():
+                if t in bag:
+                    scores[i] += idf[t] * bag[t] / (1.5 * (0.25 + 0.75 * len(text) / mean) + bag[t])
+        steps = np.floor(scores * 1e6 + 0.5)
+        want = [i for i in np.lexsort((np.arange(len(words)), -steps)) if scores[i] > 0][:10]
+        assert [i for i, _ in got.get(q, [])] == want
+    first = block.visited
+    assert 0 < first < 0.35 * block.possible
+    least = pa.array([got[q][-1][1] if len(got.get(q, [])) == 10 else 0.0 for q in range(300)])
+    block.visited = 0
+    assert listed(block, batch.set_column(3, "least", least), 10) == got
+    assert block.visited < first
+
+
+@pytest.mark.parametrize("share", [0.0, 1e9])
+def test_both_ways_give_the_same_digits(monkeypatch, share):
+    """Products and bounds list the same items with the same scores, dead places left out."""
+    block, batch, _, _ = zipf_block(900, seed=4)
+    block.alive[::7] = False
+    monkeypatch.setattr(lexical, "WHOLE", 0.5)
+    want = listed(block, batch, 12)
+    monkeypatch.setattr(lexical, "WHOLE", share)
+    assert listed(block, batch, 12) == want
+    assert all(i % 7 for rows in want.values() for i, _ in rows)
+
+
+def test_few_terms_are_named_in_the_filter(spark, corpus):
+    docs, _ = corpus
+    index = lexical.build_index(spark.createDataFrame(docs, "item_id long, text string"))
+    terms = spark.createDataFrame([(1, "w3", 1)], "query_id long, term string, qtf int")
+    search = lexical._Search(index, terms.withColumn("weight", F.lit(1.0)), 5, 1.5, 0.75)
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,w3)" in search.held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_changed_catalogue_becomes_segments(spark, corpus):
+    """Added, changed and deleted items give the lists and totals of an index built anew; so does the compacted index."""
+    docs, asked = corpus
+    frame = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    path = scratch_path(spark, "segments")
+    index = lexical.build_index(frame(docs), path)
+    now = dict(docs)
+    for round_ in range(2):
+        changed = {i: f"common w{round_} w{i % 60} w5" for i in range(round_ * 7, 60, 3)} | {1000 + 50 * round_ + j: f"w{j} w{j + 1} new" for j in range(30)}
+        gone = list(range(100 + 40 * round_, 130 + 40 * round_)) + [5, 999_999]
+        index = lexical.update_index(index, frame(sorted(changed.items())), frame([(g, "") for g in gone if g not in changed]).select("item_id"))
+        now = {i: t for i, t in (now | changed).items() if i not in gone or i in changed}
+    for k in (3, 25):
+        assert_lists(ranked_lists(index, asked, k, spark), sorted(now.items()), asked, k)
+    assert len(index.segments) == 3
+    # the whole catalogue, of which some more has changed
+    now = {i: t + " w9" if i % 11 == 0 else t for i, t in now.items() if i % 13}
+    index = lexical.open_index(frame(sorted(now.items())), path)
+    fresh = lexical.build_index(frame(sorted(now.items())))
+    same = lexical.open_index(frame(sorted(now.items())), path)
+    small = lexical.compact_index(index)
+    assert same.version == index.version == small.version - 1 == 4 and len(index.segments) == 4 and len(small.segments) == 1
+    for one in (index, small, lexical.load_index(spark, path)):
+        assert (one.n_items, one.n_words, one.fingerprint) == (fresh.n_items, fresh.n_words, fresh.fingerprint)
+        assert sorted(one.terms.collect()) == sorted(fresh.terms.select("term", "df").collect())
+        assert_lists(ranked_lists(one, asked, 10, spark), sorted(now.items()), asked, 10)
+    assert small.packed.agg(F.sum("n")).first()[0] == fresh.packed.agg(F.sum("n")).first()[0]
+    assert lexical.update_index(small, deleted=frame([(i, "") for i in now]).select("item_id")).n_items == 0
+
+
+def test_an_empty_index(spark):
+    index = lexical.build_index(spark.createDataFrame([], "item_id long, text string"))
+    terms = spark.createDataFrame([(1, "w3", 1)], "query_id long, term string, qtf int")
+    assert lexical.bm25_topk(index, terms).collect() == []
+    index = lexical.update_index(index, spark.createDataFrame([(4, "w3 here"), (5, None)], "item_id long, text string"))
+    assert [(r.item_id, r["rank"]) for r in lexical.bm25_topk(index, terms).collect()] == [(4, 1)]
+
+
 def test_index_is_reused(spark, corpus):
     docs, _ = corpus
     path = scratch_path(spark, "test-index")
     built = lexical.open_index(spark.createDataFrame(docs, "item_id long, text string"), path)
-    other = lexical.open_index(spark.createDataFrame([(1, "new")], "item_id long, text string"), path)
-    assert built.n_items == other.n_items == 300
+    other = lexical.open_index(spark.createDataFrame(docs, "item_id long, text string"), path)
+    assert built.n_items == other.n_items == 300 and built.version == other.version == 1
     assert built.mean_len == other.mean_len
 
 
@@ -116,17 +242,51 @@ def test_query_vectors_pass_by_the_driver(spark, monkeypatch):
     assert {(r["query_id"], r["item_id"]) for r in out.filter("rank = 1").collect()} == {(0, 0)} | {(n, 19) for n in range(1, 20)}
 
 
-def test_only_postings_that_are_asked_for_are_shuffled(spark):
-    """Blocks that hold no term of a query are not sent to, and other terms' postings stay behind."""
+def test_only_postings_that_are_asked_for_are_shuffled(spark, monkeypatch):
+    """Other terms' postings stay behind, whether terms are few or many."""
     docs = spark.createDataFrame([(n, f"rare{n} filler{n % 3} stuff{n % 5}") for n in range(600)], "item_id long, text string")
     index = lexical.build_index(docs)
     asked = spark.createDataFrame([("q", "rare7", 1), ("r", "rare8", 1)], "query_id string, term string, qtf int")
-    out = lexical.bm25_topk(index, asked, 5)
-    assert [(r["query_id"], r["item_id"]) for r in out.orderBy("query_id").collect()] == [("q", 7), ("r", 8)]
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
-    cogroup = plan[plan.index("FlatMapCoGroups"):]
-    assert "LeftSemi" in cogroup
+    for few in (200, 1):
+        monkeypatch.setattr(lexical, "FEW_TERMS", few)
+        out = lexical.bm25_topk(index, asked, 5)
+        assert [(r["query_id"], r["item_id"]) for r in out.orderBy("query_id").collect()] == [("q", 7), ("r", 8)]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        assert ("LeftSemi" in plan) == (few == 1)
+
+
+def test_codes_spare_products():
+    """Few products are computed in doubles, and the lists are those of all; bounds hold for every pair."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 32)) * rng.lognormal(size=(3000, 1))
+    x[500:900] = x[0]
+    x[900] = 0
+    q = np.vstack([rng.normal(size=(60, 32)) * 10.0 ** rng.integers(-9, 9, (60, 1)), np.zeros((1, 32)), x[:3]])
+    codes = dense.Codes.of(x)
+    unit = q / np.maximum(np.sqrt((q ** 2).sum(1)), 1e-300)[:, None]
+    near = unit.astype(np.float32) @ codes.code.astype(np.float32).T * codes.scale
+    assert (np.abs(near - unit @ x.T) <= codes.reach).all()
+    scorer = dense.Scorer(x)
+    row, col, score = scorer.best(q, 10)
+    for n in range(len(q)):
+        steps = np.floor(np.einsum("j,ij->i", q[n], x) * 1e6 + 0.5)
+        want = np.lexsort((np.arange(len(x)), -steps))[:10]
+        assert col[row == n].tolist() == want.tolist() or np.allclose(np.sort(score[row == n]), np.sort(steps[want] / 1e6), rtol=1e-9)
+    scorer.exact = scorer.pairs = 0
+    scorer.best(rng.normal(size=(200, 32)), 10)
+    assert scorer.exact < 0.05 * scorer.pairs
+
+
+def test_saved_codes_give_the_same_lists(spark):
+    rng = np.random.default_rng(3)
+    items = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(rng.normal(size=(400, 8)))], "item_id int, vector array<double>")
+    q = items.withColumnRenamed("item_id", "query_id")
+    path = scratch_path(spark, "coded")
+    saved = dense.vector_index(items, path)
+    assert {"code", "scale", "reach"} < set(saved.items.columns)
+    pick = lambda index: sorted(map(tuple, dense.dense_topk(index, q, 7).collect()))
+    assert pick(saved) == pick(dense.vector_index(items)) == pick(dense.open_vectors(items, path))
 
 
 def test_fewer_items_than_asked(spark):
