@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from rankflow.functions import text as X
 from rankflow.operators.joins import lookup
 from rankflow.operators.ranking import SCORE_DECIMALS, SPREAD, rank_score, top_k
-from rankflow.session import folders, materialize, qualified, scratch_path, spread, table_exists
+from rankflow.session import folders, is_small, materialize, qualified, scratch_path, spread, table_exists
 
 K1 = 1.5
 B = 0.75
@@ -55,6 +55,8 @@ B = 0.75
 #: upper bounds of a block
 BLOCK_ITEMS = 8192
 BLOCK_WORDS = 1 << 22
+#: items of a block of a small table, about
+FEW_ITEMS = 4096
 #: items of a block that share a bound, and the common terms by which they are ordered
 STRIP = 32
 ORDER_TERMS = 6
@@ -185,6 +187,9 @@ def _write_segment(items: DataFrame, root: str, stop_words) -> None:
               .add("places", INTS).add("tfs", INTS).add("item_ids", T.ArrayType(id_field.dataType)).add("lens", INTS).add("hashes", LONGS))
     text = F.coalesce("text", F.lit(""))
     words = spread(items, "item_id").select("item_id", _hash().alias("hash"), X.tokens(text, stop_words).alias("words"))
+    if is_small(items):
+        # the words of a small table are gathered again, or every core would make a block of few items
+        words = words.repartition(max(1, -(-items.count() // FEW_ITEMS)), "item_id")
     limits = (BLOCK_ITEMS, BLOCK_WORDS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

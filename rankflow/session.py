@@ -112,8 +112,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 SMALL = 128 << 20
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` dealt anew by ``by`` if the optimizer finds it small; a large table stays as its files divide it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer finds ``df`` below ``SMALL`` bytes for each core."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores, *by) if size < SMALL * cores else df
+    return size < SMALL * df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt anew by ``by`` if it is small; a large table stays as its files divide it."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *by) if is_small(df) else df

@@ -265,7 +265,7 @@ def test_codes_spare_products():
     q = np.vstack([rng.normal(size=(60, 32)) * 10.0 ** rng.integers(-9, 9, (60, 1)), np.zeros((1, 32)), x[:3]])
     codes = dense.Codes.of(x)
     unit = q / np.maximum(np.sqrt((q ** 2).sum(1)), 1e-300)[:, None]
-    near = unit.astype(np.float32) @ codes.code.astype(np.float32).T * codes.scale
+    near = unit.astype(np.float32) @ (codes.code * codes.scale[:, None]).astype(np.float32).T
     assert (np.abs(near - unit @ x.T) <= codes.reach).all()
     scorer = dense.Scorer(x)
     row, col, score = scorer.best(q, 10)
