@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rankflow.functions.gates import GateRules, gate_reason
@@ -19,9 +19,12 @@ from rankflow.session import materialize
 
 @dataclass(frozen=True)
 class RepairResult:
+    """Patched predictions, guarded and failed work rows, and what was counted on the way."""
+
     predictions: DataFrame
     guarded: DataFrame
     failed: DataFrame
+    counts: dict[str, int]
 
 
 def regenerate(work: DataFrame, completer: C.Completer, template: str, rules: GateRules,
@@ -57,16 +60,23 @@ def repair(predictions: DataFrame, work: DataFrame, completer: C.Completer, temp
     """Patch the predictions of the work rows.
 
     ``work`` comes from :func:`rankflow.operators.repair.work_rows`; its ``avg`` is the
-    stored score. Each of its rows is judged and patched by session and turn. Without a judge every new response goes in.
+    stored score. Each of its rows is judged and patched by session and turn. Tasks, responses, failures and decisions are
+    counted as the stages are written, without a scan of their own. Without a judge every new response goes in.
     """
-    made = materialize(regenerate(work, completer, template, rules, max_tries, **options), "regenerated")
+    written, decided = Observation("written"), Observation("decided")
+    response, decision = F.col("response"), F.col("decision")
+    made = materialize(regenerate(work, completer, template, rules, max_tries, **options).observe(
+        written, F.count("*").alias("n_tasks"), F.count(response).alias("n_responses"), F.count_if(response.isNull()).alias("n_failed")),
+        "regenerated")
     ready = made.filter(F.col("response").isNotNull())
     if judge is None:
         guarded = ready.withColumn("decision", F.lit("patch"))
     else:
         scored = live_scores(ready, judge, judge_template, **options).withColumn("stored_score", F.col("avg"))
         guarded = K.guard_strict(scored) if strict else K.guard_live(scored)
-    guarded = materialize(guarded, "guarded")
+    guarded = materialize(guarded.observe(
+        decided, F.count_if(decision.startswith("patch")).alias("n_patched"), F.count_if(decision == "patch_stored").alias("n_fallbacks"),
+        F.count_if(decision == "keep").alias("n_kept"), F.count_if(decision == "keep_failed").alias("n_skipped")), "guarded")
     patched = K.patch(predictions, K.cleared(guarded).select(*K.key_of(guarded), "response"))
     failed = made.filter(F.col("response").isNull()).drop("response")
-    return RepairResult(patched, guarded, failed)
+    return RepairResult(patched, guarded, failed, written.get | decided.get)

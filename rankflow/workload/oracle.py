@@ -347,6 +347,36 @@ VIEWS: dict[str, str] = {
     "shop_scores": _bm25("shop_items", "shop_postings", "weighted_terms"),
     "shop_top": _top("shop_scores", 20),
     "shop_wide": _top("shop_scores", 50),
+    "chat_texts": """
+    SELECT session_id AS query_id, CASE WHEN length(query) % 5 = 0 THEN query ELSE 'steel ' || query END AS text FROM shop_targets""",
+    "chat_terms": f"""
+    SELECT query_id, term, count(*) AS qtf FROM (
+      SELECT query_id, unnest({_tokens('text')}) AS term FROM chat_texts) GROUP BY query_id, term""",
+    "chat_scores": _bm25("shop_items", "shop_postings", "chat_terms"),
+    "chat_found": _top("chat_scores", 50),
+    "chat_blended": """
+    SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank
+    FROM (SELECT query_id, item_id, rank, round(CASE WHEN u.vector IS NULL THEN 1.0::DOUBLE / rank
+            ELSE 0.7 / rank + 0.3 * coalesce(list_dot_product(u.vector, i.vector), 0) END, 6) AS score
+          FROM chat_found LEFT JOIN user_vectors u ON u.user_id = query_id LEFT JOIN item_vectors i USING (item_id))""",
+    "chat_ranked": """
+    SELECT query_id, item_id, rank FROM (
+      SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY
+        CASE WHEN r <= 12 AND best::BIGINT % 4 <> 0 THEN -r END NULLS LAST, r) AS rank
+      FROM (SELECT query_id, item_id, rank AS r, first_value(item_id) OVER (PARTITION BY query_id ORDER BY rank) AS best
+            FROM chat_blended)) WHERE rank <= 20""",
+    "facet_texts": """
+    SELECT session_id AS parent_id, session_id || '#' || k AS query_id, k AS list_no,
+           CASE k WHEN 0 THEN query WHEN 1 THEN 'steel ' || query ELSE 'small' END AS text
+    FROM shop_targets, range(3) r(k) WHERE k = 0 OR length(query) % 5 <> 0""",
+    "facet_words": f"""
+    SELECT query_id, term, count(*) AS qtf FROM (
+      SELECT query_id, unnest({_tokens('text')}) AS term FROM facet_texts) GROUP BY query_id, term""",
+    "facet_found": _bm25("shop_items", "shop_postings", "facet_words"),
+    "facet_top": _top("facet_found", 100),
+    "chat_facet_stacked": """
+    SELECT parent_id AS query_id, item_id, rank, list_no, 1.0::DOUBLE AS w FROM facet_top JOIN facet_texts USING (query_id)""",
+    "chat_facet_fused": _rrf("chat_facet_stacked"),
     "weighted_stacked": """
     SELECT query_id, item_id, rank, 0 AS list_no, 0.7::DOUBLE AS w FROM shop_wide UNION ALL
     SELECT query_id, item_id, rank, 1, 0.3 FROM taste_wide""",
@@ -474,6 +504,16 @@ def _template(ranked: str) -> str:
 
 
 VIEWS["recommend_text"] = _template("recommended")
+VIEWS["chat_facet_ranked"] = _top("chat_facet_fused", 20, _RRF_ORDER)
+VIEWS["chat_facet_text"] = _template("chat_facet_ranked")
+
+
+def _packed_rows(ranked: str, response: str, text: str) -> str:
+    return f"""
+    SELECT t.session_id, t.session_id AS user_id, turn_number, coalesce(ids, '') AS ids, {response} AS predicted_response
+    FROM shop_targets t
+    LEFT JOIN (SELECT query_id, array_to_string(list(item_id ORDER BY rank), ',') AS ids FROM {ranked} GROUP BY query_id) i
+    ON i.query_id = t.session_id LEFT JOIN ({text}) x ON x.query_id = t.session_id"""
 
 _WORD = re.compile(r"[A-Za-z_]\w*")
 
@@ -498,6 +538,9 @@ _DISPLAY = """concat_ws(', ', 'track_id: ' || track_id, 'track_name: ' || lower(
     'artist_name: ' || lower(array_to_string(artist_name[1:5], ', ')), 'album_name: ' || lower(album_name),
     'release_date: ' || substr(release_date, 1, 4), 'tag_list: ' || lower(array_to_string(tag_list[1:5], ', ')))"""
 
+_CHAT = _packed_rows("chat_ranked", "'You will know this one — ' || coalesce(display, '') || ' is close to what was played before.'",
+                     f"SELECT query_id, {_DISPLAY} AS display FROM chat_ranked JOIN shop_catalog ON track_id = item_id WHERE rank = 1")
+
 _PAST = """(SELECT h.*, t.turn_number AS target_turn, t.query FROM turns h JOIN targets t
     ON h.session_id = t.session_id AND h.turn_number < t.turn_number)"""
 
@@ -748,6 +791,16 @@ _FINAL: dict[str, str] = {
     "repair_run_turns": """
     SELECT session_id, turn_number, coalesce(response, predicted_response) AS predicted_response
     FROM per_turn LEFT JOIN repaired_turns USING (session_id, turn_number)""",
+    "repair_run_counts": """
+    SELECT count(*) AS n_tasks, count(r.response) AS n_responses, count(*) - count(r.response) AS n_failed,
+      count(*) FILTER (d IN ('patch', 'patch_stored')) AS n_patched, count(*) FILTER (d = 'patch_stored') AS n_fallbacks,
+      count(*) FILTER (d = 'keep') AS n_kept, count(*) FILTER (d = 'keep_failed') AS n_skipped
+    FROM regenerated_turns r JOIN (
+      SELECT session_id, turn_number, CASE WHEN n.personalization IS NULL THEN 'keep_failed'
+          WHEN o.personalization IS NULL THEN CASE WHEN (n.personalization + n.explanation) / 2 > avg THEN 'patch_stored' ELSE 'keep_failed' END
+          WHEN n.personalization + n.explanation > o.personalization + o.explanation THEN 'patch' ELSE 'keep' END AS d
+      FROM live_prompts_turns JOIN live_new_turns n USING (session_id, turn_number) JOIN live_old_turns o USING (session_id, turn_number))
+    USING (session_id, turn_number)""",
     "score_predictions_turns": f"""
     SELECT session_id, turn_number, {_judge_reply('prompt')} FROM (
       SELECT session_id, turn_number, 'Conversation:' || chr(10) || judged || chr(10) || 'Response:' || chr(10) || predicted_response
@@ -761,6 +814,10 @@ _FINAL: dict[str, str] = {
            response AS predicted_response
     FROM shop_targets JOIN recommended ON query_id = session_id JOIN recommend_text USING (query_id)
     GROUP BY session_id, turn_number, response""",
+    "chat_turns": _CHAT,
+    "stream_chat": _CHAT,
+    "chat_facets": _packed_rows("chat_facet_ranked", "coalesce(response, 'Here are some tracks I think you''ll enjoy based on our conversation!')",
+                                "SELECT * FROM chat_facet_text"),
     "stream_retrieve": _LIST + "stream_bm25",
     "prediction_roundtrip": """
     SELECT session_id::VARCHAR AS session_id, user_id::VARCHAR AS user_id, turn_number,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -16,6 +18,7 @@ from rankflow.functions import vectors as V
 from rankflow.operators import complete as C
 from rankflow.operators import (dense, fusion, judge, lexical, metrics, queries, ranking, render,
                                 repair, rerank, sessions)
+from rankflow.plans import chat as CH
 from rankflow.plans import evaluate as E
 from rankflow.plans import recommend as P
 from rankflow.plans import repair as RP
@@ -729,6 +732,13 @@ def repair_run_turns(v: Views) -> DataFrame:
     return result.predictions.select("session_id", "turn_number", "predicted_response")
 
 
+@query
+def repair_run_counts(v: Views) -> DataFrame:
+    """What the repair of single turns counted on its way."""
+    counts = RP.repair(_per_turn(v), _turn_work(v), quoting_completer, WORK_TEMPLATE, gates.EXPLAINED, length_completer, JUDGE_TEMPLATE).counts
+    return v.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
 @query
 def score_predictions_turns(v: Views) -> DataFrame:
     """The predictions of a session's last two turns, judged by what was said up to each."""
@@ -756,6 +766,65 @@ def recommend(v: Views) -> DataFrame:
                        F.array_join("predicted_track_ids", ",").alias("ids"), "predicted_response")
 
 
+def tagging_completer(prompt: str) -> str:
+    """Stand-in for a rewriter: a genre and the last line of the prompt."""
+    said = prompt.rsplit("\n", 1)[-1]
+    if len(said) % 5 == 0:
+        raise RuntimeError("no answer")
+    return json.dumps({"genres": ["steel"], "user_query": said})
+
+
+def facet_completer(prompt: str) -> str:
+    """Stand-in for a model of facets: the last line, the same with a word more, and a word."""
+    said = prompt.rsplit("\n", 1)[-1]
+    return "none" if len(said) % 5 == 0 else json.dumps({"q1": said, "q2": f"steel {said}", "q3": "small"})
+
+
+def reversing_completer(prompt: str) -> str:
+    """Stand-in for a ranker: the ids of the candidate lines from the last to the first."""
+    ids = re.findall(r"^\d+\. \[([^\]]+)\]", prompt, re.M)
+    return "no idea" if int(ids[0]) % 4 == 0 else json.dumps(ids[::-1])
+
+
+def _chat(v: Views) -> CH.Chat:
+    system = sessions.profiles(v.users).select("user_id", render.system_prompt(
+        "You recommend.", "Be brief.", "The listener:", F.col("profile")).alias("system"))
+    return CH.Chat(
+        rewrite=CH.Rewrite(tagging_completer, "Query:\n{query}"), profile=CH.Profile(v.user_vectors, v.item_vectors),
+        rank=CH.Rank(reversing_completer, "{conversation}\nCandidates:\n{candidates}", "tagged", 12),
+        respond=CH.Respond(quoting_completer, "{system}\n{conversation}\n{item}", system))
+
+
+def _predicted(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("session_id").cast("long").alias("session_id"), "user_id", F.col("turn_number").cast("long").alias("turn_number"),
+                       F.array_join("predicted_track_ids", ",").alias("ids"), "predicted_response")
+
+
+@query
+def chat_turns(v: Views) -> DataFrame:
+    """The whole turn: rewritten query, retrieval, reranking by taste and by a list, response."""
+    return _predicted(CH.chat(v.shop_turns, v.session_users, v.catalog, T.Indexes(catalog_index(v)), _chat(v)))
+
+
+@query
+def chat_facets(v: Views) -> DataFrame:
+    """Three facet queries a turn, searched apart and fused, with the template's response."""
+    plan = CH.Chat("multi_query", rewrite=CH.Rewrite(facet_completer, "{query}", facets=3), options={"dense_weight": 0.0})
+    return _predicted(CH.chat(v.shop_turns, v.session_users, v.catalog, T.Indexes(catalog_index(v)), plan))
+
+
+@query
+def stream_chat(v: Views) -> DataFrame:
+    """The last turns of all sessions as a stream of files, each taken through the whole turn."""
+    out, feed = scratch_path(v.spark, "stream"), scratch_path(v.spark, "feed")
+    last = v.shop_targets.select(F.col("session_id").cast("string").alias("session_id"), F.col("turn_number").cast("int").alias("turn_number"))
+    S.turn_events(v.shop_turns).join(last, ["session_id", "turn_number"], "left_semi").repartition(4, "session_id").write.parquet(feed)
+    stream = S.start_chat(S.read_turn_events(v.spark, feed), v.session_users, v.catalog, T.Indexes(catalog_index(v)), _chat(v),
+                          f"{out}/rows", f"{out}/checkpoint", f"{out}/replies", available_now=True)
+    stream.awaitTermination()
+    return _predicted(S.read_ranked(v.spark, f"{out}/rows"))
+
+
 @query
 def stream_retrieve(v: Views) -> DataFrame:
     """All user turns with their histories as a stream of files, ranked turn by turn."""

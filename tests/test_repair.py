@@ -188,3 +188,4 @@ def test_repair_run(spark):
     assert got["s0"].startswith("You asked for this") and got["s1"] == "old"
     assert rows(result.guarded, "session_id", "decision") == [("s0", "patch"), ("s1", "keep")]
     assert result.failed.count() == 0
+    assert result.counts == {"n_tasks": 2, "n_responses": 2, "n_failed": 0, "n_patched": 1, "n_fallbacks": 0, "n_kept": 1, "n_skipped": 0}
