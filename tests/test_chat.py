@@ -71,7 +71,7 @@ def test_every_stage_takes_part(spark, turns, users, catalog, index, vectors, tm
     plain = told(C.chat(turns, users, catalog, index, plan(spark, vectors, log, rank=None, respond=None)))
     assert plain["s1", 3][1] == ["d", "a"] and '"Alpha" by One' in plain["s1", 3][2]  # d has no artist to name
     only = told(C.chat(turns, users, catalog, index, C.Chat(), mode="all"))
-    assert only["s1", 3][1][0] == "d" and only["s1", 1][1] == ["a"] and len(only) == 4
+    assert "d" in only["s1", 3][1] and only["s1", 1][1] == ["a"] and len(only) == 4
     assert sorted(set(log.read_text().split())) == ["rank", "respond", "rewrite"]
 
 
