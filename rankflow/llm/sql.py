@@ -126,10 +126,11 @@ _SPANS = (
     ("assign", "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
                "|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1),
     ("access", "AKIA[A-Z0-9]{16,}", 0), ("hex", "[0-9a-f]{24,}", 0),
-    ("identifier", "\\b(?:user|username|login|account|client_id|access_key_id)[\"'']?\\x20{0,8}[:=]\\x20{0,8}[\"'']?"
-                   "[A-Za-z0-9_.@-]{3,64}", 0),
-    ("random", "\\b[A-Za-z0-9+/]{32,64}\\b", 0),
-    ("endpoint", "\\b(?:https?|jdbc:[a-z]{2,16}|mongodb|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9_.:@/?&=%-]{4,200}", 0),
+    ("identifier", "\\b(?:user|username|login|account|client_id|access_key_id)[\"'']?\\x20*[:=]\\x20*[\"'']?"
+                   "[A-Za-z0-9_.@-]{3,}", 0),
+    ("random", "[A-Za-z0-9+/]{32,}={0,2}", 0),
+    ("endpoint", "\\b(?:jdbc:)?\\w+(?:[+-]\\w+)*://[A-Za-z0-9_.:@/?&=%+-]{4,}", 0),
+    ("break", "\\n[\\x20\\t\\r]*(?:(?:\\[[^\\]\\n]*\\]|-{3,}|={3,})[\\x20\\t\\r]*)?\\n", 0),
 )
 
 
@@ -149,12 +150,13 @@ WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t
 found AS (SELECT r, o, kind, s::BIGINT AS s, (s + n)::BIGINT AS e FROM (
   {" UNION ALL ".join(_found(i, *x) for i, x in enumerate(_SPANS))}) WHERE kind <> 'assign' OR value >= 6),
 base AS (SELECT * FROM found WHERE o < 3),
+scoped AS (SELECT *, count(*) FILTER (kind = 'break') OVER (PARTITION BY r ORDER BY s) AS scope FROM found),
 weak AS (
-  SELECT * FROM found w WHERE o >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)),
-parts AS (SELECT * FROM weak UNION ALL SELECT * FROM base WHERE kind = 'access'),
+  SELECT * FROM scoped w WHERE o BETWEEN 3 AND 5 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)),
+parts AS (SELECT * FROM weak UNION ALL SELECT * FROM scoped WHERE kind = 'access'),
 linked AS (
-  SELECT * FROM weak w WHERE EXISTS (
-    SELECT 1 FROM parts x WHERE x.r = w.r AND x.s <= w.e + 200 AND x.e + 200 >= w.s AND (x.s >= w.e OR x.e <= w.s)
+  SELECT * EXCLUDE (scope) FROM weak w WHERE EXISTS (
+    SELECT 1 FROM parts x WHERE x.r = w.r AND x.scope = w.scope AND (x.s >= w.e OR x.e <= w.s)
       AND CASE w.kind WHEN 'identifier' THEN x.kind IN ('random', 'endpoint')
           WHEN 'random' THEN x.kind IN ('identifier', 'access', 'endpoint')
           ELSE x.kind IN ('identifier', 'access', 'random') END)),

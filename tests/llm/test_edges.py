@@ -1,12 +1,17 @@
 """Nulls, empty and long texts, ties and repeated rows, empty tables and clashing columns, for every operator."""
 
+import time
+
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from check import compare
 from rankflow.llm import (bpe, bpe_codec, components, decontaminate, html_extract, line_dedup, quality_cnn, quality_rules,
                           quote_threads, secret_scan, simhash, token_counts)
+from rankflow.llm.sql import ORACLE
 
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(20_000))
@@ -171,11 +176,17 @@ def test_line_runs(spark):
 def test_weak_parts_need_each_other(spark):
     key = "Zk3" * 12
     texts = {1: f"user=robert key {key} end", 2: f"key {key} end", 3: "user=robert", 4: "user=robert " + "x " * 200 + key,
+             7: f"user=robert\n\n{key}", 8: f"user=robert\n \t\nx\n[part b]\r\n{key}", 9: "user=robert\n" + "opt=1\n" * 60 + key,
+             10: f"{key}\n---\nuser=robert\nhost\n===\n{key}", 11: f"[a]\nuser=robert\n[b] x\n{key}", 12: "user=" + "Zk3" * 12,
+             13: f"\n\n\n[a]\nlogin: bob1\n{key}\n\n{key}", 14: f"AKIA{'Q7' * 10}\n{key}\n\n{key}",
              5: "é user=robert at https://host.example.com/x", 6: "token=abc token=token:abcdef"}
     rows = secret_scan.scan(table(spark, list(texts.items()))).collect()
     got = {r.doc_id: [(s.split(":")[0], texts[r.doc_id][slice(*map(int, s.split(":")[1:]))]) for s in r.spans.split(",") if s]
            for r in rows}
-    assert got == {1: [("identifier", "user=robert"), ("random", key)], 2: [], 3: [], 4: [],
+    assert got == {1: [("identifier", "user=robert"), ("random", key)], 2: [], 3: [],
+                   4: [("identifier", "user=robert"), ("random", key)], 7: [], 8: [], 9: [("identifier", "user=robert"), ("random", key)],
+                   10: [], 11: [("identifier", "user=robert"), ("random", key)], 12: [],
+                   13: [("identifier", "login: bob1"), ("random", key)], 14: [("access", f"AKIA{'Q7' * 10}"), ("random", key)],
                    5: [("identifier", "user=robert"), ("endpoint", "https://host.example.com/x")], 6: []}
 
 
@@ -194,6 +205,31 @@ def test_weak_parts_are_whole_at_any_length(spark):
     assert [r.doc_id for r in secret_scan.scan(table(spark, [(1, many)])).collect()] == [1]
 
 
+def test_finds_of_one_text_take_linear_time(spark):
+    """A dump of 100,000 hexadecimal words, with weak parts in all of its scopes."""
+    texts = {1: " ".join(f"{i:032x}" for i in range(100_000)),
+             2: "\n\n".join(f"user=name{i} {'Zk3' * 12} {'9a' * 16}" for i in range(20_000))}
+    started = time.monotonic()
+    got = {r.doc_id: r for r in secret_scan.scan(table(spark, list(texts.items()))).collect()}
+    assert time.monotonic() - started < 60
+    assert got[1].n_hex == 100_000 and got[1].spans.count(",") == 99_999
+    assert got[2].n_hex == 20_000 and got[2].spans.count("identifier") == got[2].spans.count("random") == 20_000
+
+
+def test_secrets_equal_their_sql(spark):
+    """Random joins of parts, words, breaks and joiners, through the operator and through the SQL."""
+    rng = np.random.default_rng(6)
+    pieces = ["user=robert", "login: bob_1", "username = 'x.y", "client_id=abc", "AKIA" + "Q7" * 9, "9a" * 16, "Zk3" * 12,
+              "Zk3" * 40 + "==", "https://h.example/p", "jdbc:my-sql://db/x", "a-jdbc:b://host/y", "x+y://hhhh", "mongodb+srv://db.e/x",
+              "password=hunter22", "token: 'abc.def", "api_key=" + "Zk3" * 12, "\n", "\n\n", "\n[part]\n", "\n---\n", "\n \t\n", "é", "_",
+              "-", "+", " ", " ", " ", ":", "and more", "[x]", "=="]
+    texts = [(i, "".join(rng.choice(pieces, 30))) for i in range(3000)] + [(-1, None), (-2, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert compare(secret_scan.scan(docs).toArrow(), con.sql(ORACLE["op6_secret_scan"]).to_arrow_table()) == ""
+
+
 def test_pages(spark):
     body = "<p>One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen.</p>"
     pages = {
