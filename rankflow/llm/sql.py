@@ -84,7 +84,9 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
 FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE["op10_quote_threads"] = r"""
+_WHITE = r"[ \t\n\x0B\f\r]"
+
+ORACLE["op10_quote_threads"] = rf"""
 WITH rows AS (
   SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS raw
   FROM conversations),
@@ -96,29 +98,42 @@ cut AS (
 lines AS (
   SELECT r, k, len(q) - len(replace(q, '>', '')) AS level,
     CASE WHEN q = '' THEN x ELSE regexp_replace(substr(x, len(q) + 1), '^[ \t]', '') END AS body FROM cut),
-next AS (SELECT *, lead(level) OVER (PARTITION BY r ORDER BY k) AS after FROM lines),
-own AS (
-  SELECT * FROM next WHERE level = 0 AND NOT (coalesce(after, 0) > 0 AND regexp_matches(body,
-    '^\s*(?:On\b.{1,200}\bwrote|Le\b.{1,200}\ba écrit|Am\b.{1,200}\bschrieb\b.{0,100}|El\b.{1,200}\bescribió)\s*:\s*$'))),
+beside AS (SELECT *, lead(level) OVER (PARTITION BY r ORDER BY k) AS after, lag(level) OVER (PARTITION BY r ORDER BY k) AS before FROM lines),
+marked AS (
+  SELECT *, sum((before IS DISTINCT FROM level)::INT) OVER (PARTITION BY r ORDER BY k) AS run,
+    level = 0 AND NOT (coalesce(after, 0) > 0 AND regexp_matches(body,
+      '^{_WHITE}*(?:On\b[^\n]+\bwrote|Le\b[^\n]+\ba écrit|Am\b[^\n]+\bschrieb\b[^:\n]*|El\b[^\n]+\bescribió){_WHITE}*:{_WHITE}*$')) AS own
+  FROM beside),
 texts AS (
-  SELECT r, regexp_replace(string_agg(body, chr(10) ORDER BY k), '^\s+|\s+$', '', 'g') AS text FROM own GROUP BY r),
-quoted AS (SELECT r, count(*) AS n_quoted FROM lines WHERE level > 0 GROUP BY r),
-said AS (
-  SELECT r, conv_id, turn, level, v FROM (
-    SELECT r, level, lower(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS v FROM (
-      SELECT r, level, body FROM own UNION ALL SELECT r, level, body FROM lines WHERE level > 0)) JOIN rows USING (r)
-  WHERE v <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-originals AS (SELECT conv_id, v, min(turn) AS original FROM said WHERE level = 0 GROUP BY ALL),
+  SELECT r, regexp_replace(string_agg(body, chr(10) ORDER BY k) FILTER (own), '^{_WHITE}+|{_WHITE}+$', '', 'g') AS text,
+    count(*) FILTER (level > 0) AS n_quoted FROM marked GROUP BY r),
+passages AS (
+  SELECT r, 0 AS level, 0 AS run, string_agg(CASE WHEN own THEN body ELSE '' END, chr(10) ORDER BY k) AS p FROM marked GROUP BY r
+  UNION ALL SELECT r, level, run, string_agg(body, chr(10) ORDER BY k) FROM marked WHERE level > 0 GROUP BY r, level, run),
+paragraphs AS (SELECT r, level, run, unnest(regexp_split_to_array(p, '\n{_WHITE}*\n')) AS v FROM passages),
+units AS (
+  SELECT DISTINCT r, level, run, kind, trim(v) AS v FROM (
+    SELECT r, level, run, kind, lower(trim(regexp_replace(v, '{_WHITE}+', ' ', 'g'))) AS v FROM (
+      SELECT r, level, run, 0 AS kind, p AS v FROM passages
+      UNION ALL SELECT r, level, run, 1, v FROM paragraphs
+      UNION ALL SELECT r, level, run, 3, unnest(string_split(p, chr(10))) FROM passages)
+    UNION ALL SELECT r, level, run, 2, unnest(regexp_extract_all(lower(trim(regexp_replace(v, '{_WHITE}+', ' ', 'g'))),
+      '[^.!?]*[.!?]+|[^.!?]+')) FROM paragraphs) WHERE trim(v) <> ''),
+said AS (SELECT units.*, conv_id, turn FROM units JOIN rows USING (r) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+spoken AS (SELECT DISTINCT conv_id, v, turn AS original FROM said WHERE level = 0),
+found AS (
+  SELECT q.r, q.level, q.run, q.kind, q.v, max(original) AS original FROM said q JOIN spoken USING (conv_id, v)
+  WHERE q.level > 0 AND original < q.turn GROUP BY ALL),
 votes AS (
-  SELECT said.r, level, original, sum(len(v)) AS size FROM said JOIN originals USING (conv_id, v)
-  WHERE level > 0 AND original < turn GROUP BY ALL),
+  SELECT r, level, original, sum(len(v)) AS size
+  FROM (SELECT * FROM found QUALIFY kind = min(kind) OVER (PARTITION BY r, run)) GROUP BY ALL),
 best AS (
   SELECT r, original AS reply_to FROM votes
   QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, size DESC, original DESC) = 1)
 SELECT conv_id, position, turn, role, coalesce(text, '') AS text, reply_to, coalesce(n_quoted, 0) AS n_quoted,
-  '<|' || regexp_replace(role, '[<|>\s]', '', 'g') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |')
+  '<|' || regexp_replace(role, '[<|>]|{_WHITE}', '', 'g') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |')
     || chr(10) || '<|end|>' AS formatted
-FROM placed LEFT JOIN texts USING (r) LEFT JOIN quoted USING (r) LEFT JOIN best USING (r)
+FROM placed LEFT JOIN texts USING (r) LEFT JOIN best USING (r)
 """
 
 #: The kinds of spans with their patterns and the group that is a value.

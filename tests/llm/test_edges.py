@@ -314,6 +314,64 @@ def test_quotes_are_linked_and_removed(spark):
     assert quote_threads.threads(frame.limit(0)).count() == 0
 
 
+def told_conversations(seed=10, conversations=60, turns=50):
+    """Messages (conversation, turn, role, text, original or None): replies that quote, some wrapped anew, in part or nested."""
+    rng = np.random.default_rng(seed)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for conv in range(conversations):
+        told = []
+        for turn in range(turns):
+            said = ["Thanks a lot.", "Yes."] if rng.random() < 0.2 else [
+                " ".join(rng.choice(words, rng.integers(4, 14))).capitalize() + rng.choice(list(".!?")) for _ in range(rng.integers(1, 6))]
+            body, original = [" ".join(said[:3]), "", " ".join(said[3:])] if len(said) > 3 else ["\n".join(said)], None
+            own, quote = "\n".join(body), []
+            if told and rng.random() < 0.7:
+                source = int(rng.integers(len(told)))
+                text, sentences = told[source]
+                form = rng.integers(5)
+                if form == 1:  # wrapped anew
+                    text = "\n".join(text.upper().replace("\n", " ").split(" "))
+                elif form == 2:  # one sentence, wrapped anew
+                    text = sentences[int(rng.integers(len(sentences)))].replace(" ", "\n", 3)
+                elif form == 3:  # half a sentence, which nobody said alone
+                    text = sentences[0][:-3] + "x"
+                quote = [f"> {line}" for line in text.split("\n")]
+                if form == 4:  # nested below
+                    quote += [f">> {line}" for line in told[int(rng.integers(len(told)))][0].split("\n")]
+                original = None if form == 3 else source
+                if original is not None:  # who said the same last
+                    spoken = sentences if form == 2 else [text]
+                    flat = " ".join(" ".join(spoken if form != 2 else [text]).lower().split())
+                    original = max(i for i, (t, s) in enumerate(told)
+                                   if flat in [" ".join(x.lower().split()) for x in (t, *t.split("\n"), *t.split("\n\n"), *s)])
+                quote = ["On Monday " + "somebody " * 40 + "wrote:", *quote]
+            told.append((own, said))
+            rows.append((conv, turn, "user", "\n".join([*quote, *body]), original))
+    return rows
+
+
+def test_quotes_of_thousands_of_messages(spark):
+    rows = told_conversations()
+    frame = spark.createDataFrame([r[:4] for r in rows], "conv_id long, turn long, role string, text string")
+    got = quote_threads.threads(frame).toArrow()
+    found = {(r["conv_id"], r["turn"]): r["reply_to"] for r in got.to_pylist()}
+    assert found == {(c, t): original for c, t, _, _, original in rows}
+    assert sum(o is not None for o in found.values()) > 1000
+    con = duckdb.connect()
+    con.register("conversations", frame.toArrow())
+    assert compare(got, con.sql(ORACLE["op10_quote_threads"]).to_arrow_table()) == ""
+
+
+def test_a_line_that_a_whole_conversation_repeats(spark):
+    """Who said it last is found across the ranges of one crowded unit; ids may be of any type."""
+    frame = spark.range(4000).select(
+        F.lit("c").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"),
+        F.expr("CASE id % 4 WHEN 0 THEN 'Ok.' WHEN 3 THEN 'so' ELSE '> ok.' END").alias("text"))
+    rows = quote_threads.threads(frame).collect()
+    assert all(r.reply_to == (r.turn - r.turn % 4 if r.turn % 4 in (1, 2) else None) for r in rows) and len(rows) == 4000
+
+
 def test_one_crowded_conversation_keeps_its_order(spark):
     frame = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
                                      F.concat(F.lit("m"), "id").alias("text")).repartition(7)
