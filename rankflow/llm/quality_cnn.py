@@ -7,8 +7,8 @@ filter is a table of what each byte adds at each place under it, the product of
 embedding and the filter's weights, so sliding is looking up and adding.
 
 Training takes at most ``SAMPLE`` labelled documents, those first by a hash of the id,
-and of each at most ``SAMPLE_BLOCKS`` blocks spread over its whole length; scoring
-reads every byte. Labels of held-out documents are never read into the sample.
+and of each at most ``SAMPLE_CHUNKS`` whole chunks, as scoring sees them, spread over its
+whole length; scoring reads every byte. Labels of held-out documents are never read into the sample.
 
 Defined results: a null or empty text is one chunk of padding and has its score; rows
 are scored one by one; a null id is not held out; labels without a document or without
@@ -25,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from rankflow.llm.batches import cut
 
 WIDTH, STRIDE, FILTERS, EMBEDDING = 8, 2, 24, 8
 #: Bytes of a block; a chunk is ``CHUNK`` blocks and begins ``STEP`` blocks after the one before.
 BLOCK, CHUNK, STEP = 128, 4, 3
-SAMPLE, SAMPLE_BLOCKS = 3000, 128
+SAMPLE, SAMPLE_CHUNKS = 3000, 42
 #: Steps of training, whatever the size of the sample.
 STEPS, BATCH, RATE = 500, 64, 0.01
 THRESHOLD = 0.7
@@ -71,13 +72,31 @@ def responses(table: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_starts(n_blocks: int) -> np.ndarray:
-    return np.arange(0, max(1, n_blocks - 1), STEP)
+def chunk_rows(n_blocks: int, step: int = STEP) -> np.ndarray:
+    """The blocks of each chunk (chunk, ``CHUNK``); the last chunk repeats the last block where the text ends within it."""
+    return (np.arange(0, max(1, n_blocks - 1), step)[:, None] + np.arange(CHUNK)).clip(max=n_blocks - 1)
 
 
-def pool_chunks(pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sample:
+    """Blocks of a text to train on, and after how many of them the next chunk begins."""
+
+    blocks: np.ndarray
+    step: int = STEP
+
+    @classmethod
+    def of(cls, text: bytes) -> Sample:
+        """All blocks, or those of ``SAMPLE_CHUNKS`` chunks one after the other, the first and last chunk among them."""
+        blocks = blocks_of(text)
+        rows = chunk_rows(len(blocks))
+        if len(rows) <= SAMPLE_CHUNKS:
+            return cls(blocks)
+        return cls(blocks[rows[np.linspace(0, len(rows) - 1, SAMPLE_CHUNKS).astype(int)].ravel()], CHUNK)
+
+
+def pool_chunks(pooled: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """For one text, the strongest response of each chunk, and in which block it is."""
-    rows = (chunk_starts(len(pooled))[:, None] + np.arange(CHUNK)).clip(max=len(pooled) - 1)
+    rows = chunk_rows(len(pooled), step)
     of = pooled[rows]
     best = of.argmax(axis=1)
     return np.take_along_axis(of, best[:, None], 1)[:, 0], np.take_along_axis(rows[:, :, None], best[:, None], 1)[:, 0]
@@ -102,8 +121,8 @@ def scores(net: Network, table: np.ndarray, texts: Sequence[bytes]) -> np.ndarra
     return _sigmoid(np.array(features).reshape(len(texts), -1) @ net.out + net.shift)
 
 
-def train(samples: Sequence[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
-    """A network fitted to texts given as blocks, by Adam on the cross-entropy; the least share of labels weighs as much."""
+def train(samples: Sequence[Sample], labels: np.ndarray, seed: int = 7) -> Network:
+    """A network fitted to samples of texts, by Adam on the cross-entropy; the least share of labels weighs as much."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (256, EMBEDDING)), rng.normal(0, 0.3, (WIDTH, EMBEDDING, FILTERS)),
                   np.zeros(FILTERS), rng.normal(0, 0.1, 3 * FILTERS), np.zeros(1))
@@ -127,19 +146,19 @@ def train(samples: Sequence[np.ndarray], labels: np.ndarray, seed: int = 7) -> N
     return net
 
 
-def _gradients(net: Network, texts: Sequence[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(net: Network, texts: Sequence[Sample], labels: np.ndarray) -> dict[str, np.ndarray]:
     table = net.table()
-    stacked = np.concatenate(texts)
+    stacked = np.concatenate([t.blocks for t in texts])
     all_ = responses(table, stacked)
     where = all_.argmax(axis=1)
     pooled = np.take_along_axis(all_, where[:, None], 1)[:, 0]
     hidden, source, cuts, at = [], [], [0], 0
     for t in texts:
-        best, block = pool_chunks(pooled[at:at + len(t)])
+        best, block = pool_chunks(pooled[at:at + len(t.blocks)], t.step)
         hidden.append(np.tanh(best + net.bias))
         source.append(block + at)
         cuts.append(cuts[-1] + len(best))
-        at += len(t)
+        at += len(t.blocks)
     x = np.array([np.concatenate((h.mean(axis=0), h.min(axis=0), h.max(axis=0))) for h in hidden])
     error = (_sigmoid(x @ net.out + net.shift) - labels) / len(texts)
     dx = error[:, None] * net.out
@@ -165,8 +184,8 @@ def held_out(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
-           text_col: str = "text", size: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Blocks and labels of the training documents, in the order of the hash that picks them."""
+           text_col: str = "text", size: int = SAMPLE) -> tuple[list[Sample], np.ndarray]:
+    """Samples and labels of the training documents, in the order of the hash that picks them."""
     picked = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
               .groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(size))
@@ -174,20 +193,17 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, "text"):
-            out = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                blocks = blocks_of(text)
-                if len(blocks) > SAMPLE_BLOCKS:
-                    blocks = blocks[np.linspace(0, len(blocks) - 1, SAMPLE_BLOCKS).astype(int)]
-                out.append(blocks.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary())],
-                                             ["id", "label", "blocks"])
+            samples = [Sample.of(text) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("label"), pa.array([x.blocks.tobytes() for x in samples], pa.binary()),
+                 pa.array([x.step for x in samples], pa.int32())], ["id", "label", "blocks", "step"])
 
     # At most ``size`` ids, so they may be broadcast.
     rows = (texts.join(F.broadcast(picked), "id").select("id", "label", "text")
-            .mapInArrow(spread, "id long, label double, blocks binary")
+            .mapInArrow(spread, StructType([StructField("id", texts.schema["id"].dataType)]).add("label", "double")
+                        .add("blocks", "binary").add("step", "integer"))
             .orderBy(F.xxhash64("id"), "id", F.xxhash64("blocks")).limit(size).collect())
-    return ([np.frombuffer(r.blocks, np.uint8).reshape(-1, BLOCK + WIDTH) for r in rows],
+    return ([Sample(np.frombuffer(r.blocks, np.uint8).reshape(-1, BLOCK + WIDTH), r.step) for r in rows],
             np.array([r.label for r in rows]))
 
 
@@ -200,7 +216,7 @@ def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
             found = scores(net, table, batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .mapInArrow(run, "doc_id long, score double")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return (texts.mapInArrow(run, StructType([texts.schema["doc_id"]]).add("score", "double"))
             .select("doc_id", held_out("doc_id").alias("held_out"), "score",
                     (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties and repeated rows, empty tables and clashing columns, for every operator."""
 
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -289,7 +290,7 @@ def test_network_learns_and_reads_whole_texts():
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["plain", "prose", "and", "more"], 60)).encode() for _ in range(60)]
     bad = [t + b" ### $$$ ###" * 40 for t in good]
-    net = quality_cnn.train([quality_cnn.blocks_of(t) for t in good + bad], np.array([1.0] * 60 + [0.0] * 60))
+    net = quality_cnn.train([quality_cnn.Sample.of(t) for t in good + bad], np.array([1.0] * 60 + [0.0] * 60))
     score = quality_cnn.scores(net, net.table(), good + bad)
     assert (score[:60] > 0.7).all() and (score[60:] < 0.3).all()
     long = b"plain prose and more " * 20_000
@@ -297,6 +298,32 @@ def test_network_learns_and_reads_whole_texts():
     assert quality_cnn.scores(net, net.table(), [tail])[0] < quality_cnn.scores(net, net.table(), [long])[0]
 
 
+def test_long_texts_train_on_whole_chunks():
+    """The chunks of a sampled text pool to what the whole text's chunks of the same places pool to."""
+    rng = np.random.default_rng(4)
+    table_ = rng.normal(size=(quality_cnn.WIDTH, 256, 3)).astype(np.float32)
+    for size in (0, 1, 128, 16_000, 16_400, 300_001):
+        text = bytes(rng.integers(0, 256, size, np.uint8))
+        sample = quality_cnn.Sample.of(text)
+        whole, _ = quality_cnn.pool_chunks(quality_cnn.responses(table_, quality_cnn.blocks_of(text)).max(axis=1))
+        pooled, _ = quality_cnn.pool_chunks(quality_cnn.responses(table_, sample.blocks).max(axis=1), sample.step)
+        places = np.linspace(0, len(whole) - 1, min(len(whole), quality_cnn.SAMPLE_CHUNKS)).astype(int)
+        assert len(pooled) == len(places) and (pooled == whole[places]).all()
+
+
+def test_labels_of_any_kind_of_id(spark):
+    """Null labels, labels without documents, repeated ids and ids that are no numbers."""
+    docs = spark.createDataFrame([(f"d{i}", f"text {i}") for i in range(20)] + [("d1", "text 1"), (None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2 if i % 5 else None) for i in range(30)] + [("d1", 1), (None, 1)],
+                                   "doc_id string, quality int")
+    samples, values = quality_cnn.sample(docs, labels)
+    trained = {f"d{i}" for i in range(20) if i % 5 and zlib.crc32(f"d{i}".encode()) % 4 != 2}
+    assert len(samples) == len(values) == len(trained) + ("d1" in trained)
+    assert sum(values) == sum(int(d[1:]) % 2 for d in trained) + ("d1" in trained)
+    rows = quality_cnn.classify(docs, quality_cnn.train(samples, values)).collect()
+    assert len(rows) == 22 and {r.doc_id for r in rows} == {f"d{i}" for i in range(20)} | {None}
+
+
 def test_quotes_are_linked_and_removed(spark):
     messages = [
         (1, 0, "user", "What is  a join?\nAnd a shuffle?"), (1, 1, "assistant", "A join matches rows."),
