@@ -337,3 +337,41 @@ def test_topk_is_cut_below_the_exchange(spark):
     scored = spark.range(10).select((F.col("id") % 2).alias("query_id"), F.col("id").alias("item_id"), F.lit(1.0).alias("score"))
     plan = ranking.top_k(scored, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_copies_share_a_place(spark, monkeypatch):
+    """Items with one text are scored once and equal queries asked once; lists name every item, also after changes."""
+    monkeypatch.setattr(lexical, "FEW_ITEMS", 8)
+    monkeypatch.setattr(lexical, "CROWD", 50)
+    monkeypatch.setattr(lexical, "SPREAD", 2)
+    frame = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    texts = ["steel ring", "brass nut ring", "old steel bolt ring", "small nut"]
+    now = {i: texts[0] if i % 2 else texts[i // 2 % 4] for i in range(240)}
+    asked = [(q, ("ring steel", "nut", "old ring")[q % 3]) for q in range(60)]
+    index = lexical.build_index(frame(sorted(now.items())))
+    assert index.blocks.select(F.sum(F.size("item_ids"))).first()[0] <= 5 and index.n_items == 240
+    searches, ask = [], lexical._Search._ask
+    monkeypatch.setattr(lexical._Search, "_ask", lambda self, rows, *a: searches.append(rows.count()) or ask(self, rows, *a))
+    assert_lists(ranked_lists(index, asked, 9, spark), sorted(now.items()), asked, 9)
+    assert searches == [3]
+    gone, changed = range(0, 100, 3), {i: "small nut" for i in range(1, 60, 4)}
+    index = lexical.update_index(index, frame(sorted(changed.items())), frame([(i, "") for i in gone if i not in changed]).select("item_id"))
+    now = {i: t for i, t in (now | changed).items() if i not in gone or i in changed}
+    for one in (index, lexical.compact_index(index)):
+        assert one.n_items == len(now)
+        assert dict(one.terms.select("term", "df").collect()) == dict(Counter(w for t in now.values() for w in set(t.split())))
+        assert_lists(ranked_lists(one, asked, 9, spark), sorted(now.items()), asked, 9)
+
+
+def test_rounds_hand_on_little(spark, monkeypatch):
+    """With many blocks, far fewer candidates than a whole list of each block are shuffled."""
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choices([f"w{n}" for n in range(40)], k=12))) for i in range(1600)]
+    asked = [(q, " ".join(rng.choices([f"w{n}" for n in range(40)], k=8))) for q in range(20)]
+    monkeypatch.setattr(lexical, "BLOCK_ITEMS", 25)
+    index = lexical.build_index(spark.createDataFrame(docs, "item_id long, text string").coalesce(1))
+    assert index.n_blocks >= 64
+    handed, cut = [], lexical.top_k
+    monkeypatch.setattr(lexical, "top_k", lambda rows, k: handed.append(rows.count()) or cut(rows, k))
+    assert_lists(ranked_lists(index, asked, 10, spark), docs, asked, 10)
+    assert len(handed) > 1 and sum(handed) < 20 * 10 * index.n_blocks / 2
