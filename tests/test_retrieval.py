@@ -375,3 +375,25 @@ def test_rounds_hand_on_little(spark, monkeypatch):
     monkeypatch.setattr(lexical, "top_k", lambda rows, k: handed.append(rows.count()) or cut(rows, k))
     assert_lists(ranked_lists(index, asked, 10, spark), docs, asked, 10)
     assert len(handed) > 1 and sum(handed) < 20 * 10 * index.n_blocks / 2
+
+
+@pytest.mark.parametrize("saved", [False, True])
+def test_equal_vectors_are_scored_once(spark, monkeypatch, saved):
+    """Of items with one vector, the vector is scored once and the first items by id are listed."""
+    monkeypatch.setattr(dense, "ITEM_BLOCK", 20)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(30, 4))
+    items = [(f"i{n:03}", vectors[0 if n % 3 else n % 30].tolist()) for n in range(300)]
+    frame = spark.createDataFrame(items, "item_id string, vector array<double>")
+    index = dense.vector_index(frame, scratch_path(spark, "copies") if saved else None)
+    asked = rng.normal(size=(25, 4))
+    scored, unlike = [], dense._unlike
+    monkeypatch.setattr(dense, "_unlike", lambda *a: scored.append(unlike(*a)) or scored[-1])
+    got = {}
+    for r in dense.dense_topk(index, spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(asked)], "query_id int, vector array<double>"),
+                              7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert scored[0].select("vector").distinct().count() == len({tuple(v) for _, v in items}) == scored[0].where("bucket = 0").count()
+    steps = np.floor(asked @ np.array([v for _, v in items]).T * 1e6 + 0.5)
+    for q in range(25):
+        assert got[q] == [items[i][0] for i in np.lexsort((np.arange(300), -steps[q]))[:7]]
