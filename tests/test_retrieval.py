@@ -397,3 +397,15 @@ def test_equal_vectors_are_scored_once(spark, monkeypatch, saved):
     steps = np.floor(asked @ np.array([v for _, v in items]).T * 1e6 + 0.5)
     for q in range(25):
         assert got[q] == [items[i][0] for i in np.lexsort((np.arange(300), -steps[q]))[:7]]
+
+
+def test_words_are_counted_in_pieces(spark, monkeypatch):
+    """Postings of a large batch are made from few words at a time, and are all there."""
+    lists = [["a", "b", "a"], [], ["c"] * 5, ["b"], ["d", "e"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists)], ["words"])
+    cut = list(lexical._pieces(iter([batch]), 4))
+    assert [x for b in cut for x in b["words"].to_pylist()] == lists and [b.num_rows for b in cut] == [3, 2]
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w1") for i in range(90)], "item_id long, text string").coalesce(1)
+    want = sorted(map(tuple, lexical.postings(docs).collect()))
+    monkeypatch.setattr(lexical, "PIECE_WORDS", 10)
+    assert sorted(map(tuple, lexical.postings(docs).collect())) == want
