@@ -323,6 +323,11 @@ def test_rrf_scores_and_empty_list(spark):
         fusion.rrf([a], [0.0])
 
 
+def test_rrf_shuffles_lists_once(spark):
+    fused = fusion.rrf([ranked(spark, "x", "y"), ranked(spark, "y", "z")], topk=2)
+    assert fused._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_unknown_kind():
     with pytest.raises(ValueError):
         retrieval.retrieve("nearest", retrieval.Indexes(), retrieval.Queries())
