@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions import text as X
+from rankflow.session import materialize
 
 #: texts that are compared with one another, on average
 BUCKET_TEXTS = 64
+#: cells of texts x words that are compared at a time
+CELLS = 1 << 18
 
 
 def gain(rank: Column) -> Column:
@@ -74,13 +80,33 @@ def lexical_diversity(texts: DataFrame, key: str, text: str, bucket_texts: int =
     texts. Empty texts are left out, pairs without any word do not count.
     """
     used = texts.filter(X.nonblank(F.col(text)).isNotNull())
-    buckets = F.greatest(F.ceil(used.select(F.count("*")).scalar() / F.lit(bucket_texts)).cast("long"), F.lit(1))
     number = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
-    dealt = used.select(F.pmod(number, buckets).alias("bucket"), F.col(key).cast("string").alias("id"),
-                        X.blank_tokens(F.col(text)).alias("words"))
-    pairs = dealt.alias("a").join(dealt.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")))
-    distance = X.jaccard_distance(F.col("a.words"), F.col("b.words"))
-    return pairs.agg(F.coalesce(F.avg(distance), F.lit(0.0)).alias("lexdiv"))
+    rows = materialize(used.select(number.alias("number"), F.col(key).cast("string").alias("id"),
+                                   X.blank_tokens(F.col(text)).alias("words")), "diversity-texts")
+    buckets = F.greatest(F.ceil(rows.select(F.count("*")).scalar() / F.lit(bucket_texts)).cast("long"), F.lit(1))
+    dealt = rows.where("id IS NOT NULL").select(F.pmod("number", buckets).alias("bucket"), "id", "words")
+    sums = dealt.groupBy("bucket").applyInArrow(_distances, "total double, n long")
+    return sums.agg(F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("lexdiv"))
+
+
+def _distances(texts: pa.Table) -> pa.Table:
+    """(total, n) of the Jaccard distances between the word sets of texts (id, words) of different ids."""
+    words, (_, who) = texts["words"].combine_chunks(), np.unique(texts["id"].to_pylist(), return_inverse=True)
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.dictionary_encode(words.flatten()).indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    shared = np.zeros((len(size), len(size)))
+    step = max(1, CELLS // max(1, len(size)))
+    for first in range(0, int(code.max(initial=-1)) + 1, step):
+        part = slice(*np.searchsorted(code, [first, first + step]))
+        held = np.zeros((len(size), step), np.float32)
+        held[row[part], code[part] - first] = 1
+        shared += held @ held.T
+    union = size[:, None] + size[None, :] - shared
+    pair = np.triu((who[:, None] != who[None, :]) & (union > 0))
+    return pa.table({"total": [float((1 - shared[pair] / union[pair]).sum())], "n": [int(pair.sum())]})
 
 
 def metric_record(ndcg: DataFrame, lexdiv: DataFrame, all_turns: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,28 @@ def test_lexical_diversity_uses_every_text(spark):
     assert all(value(i) != whole for i in (0, 1, 499, 500, 998, 999))
 
 
+def test_lexical_diversity_makes_texts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"w{i % 5} common"
+
+    assert metrics.lexical_diversity(spark.range(50).select("id", text("id").alias("t")), "id", "t").first()[0] > 0
+    # by the filter and by the words, in one pass
+    assert made.value <= 100
+
+
+def test_distances_in_pieces_leave_out_equal_keys(monkeypatch):
+    texts = [("a", ["x", "y"]), ("b", ["y", "z"]), ("b", ["x", "y"]), ("c", []), ("d", []), ("e", [f"w{i}" for i in range(40)] + ["x"])]
+    want = [1 - len({*x} & {*y}) / len({*x} | {*y}) for n, (a, x) in enumerate(texts) for b, y in texts[n + 1:] if a != b and x + y]
+    for cells in (7, 1 << 18):
+        monkeypatch.setattr(metrics, "CELLS", cells)
+        got = metrics._distances(pa.table({"id": [i for i, _ in texts], "words": pa.array([w for _, w in texts], pa.list_(pa.string()))})).to_pylist()[0]
+        assert got["n"] == len(want) and got["total"] == pytest.approx(sum(want))
+
+
 def test_ndcg_counts_queries_without_a_list(spark):
     ranked = spark.createDataFrame([("q1", "a", 1)], "query_id string, item_id string, rank int")
     relevant = spark.createDataFrame([("q1", "a"), ("q2", "b")], "query_id string, item_id string")
