@@ -117,6 +117,19 @@ def test_calls_of_a_task_overlap(spark):
     assert max(e for _, e in spans) - min(b for b, _ in spans) < 0.6 * 8 * 0.25
 
 
+def test_prompts_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def prompt(i):
+        made.add(1)
+        return f"prompt {i % 40}"
+
+    got = complete.complete(spark.range(60).select("id", prompt("id").alias("prompt")), str.upper, wave=10)
+    assert sorted(r.reply for r in got.collect()) == sorted(f"PROMPT {i % 40}" for i in range(60))
+    assert made.value == 60
+
+
 def test_a_killed_task_repeats_at_most_its_wave(spark, tmp_path):
     """The worker dies in the middle of a wave: what earlier waves brought is kept and not asked again."""
     calls, fuse = tmp_path / "calls", tmp_path / "fuse"
