@@ -130,6 +130,18 @@ def test_prompts_are_made_once(spark):
     assert made.value == 60
 
 
+def test_encoding_takes_texts_a_few_at_a_time(spark):
+    """Nulls stay null, vectors stay with their texts, and no more texts than the batch size become Python objects at once."""
+    def encoder(texts):
+        assert len(texts) <= 3 and all(type(t) is str for t in texts)
+        return [[len(t), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else "x" * i) for i in range(20)], "i int, t string").coalesce(1)
+    got = {r.i: r.v for r in rows.select("i", complete.encode(F.col("t"), encoder, 3).alias("v")).collect()}
+    assert all((got[i] is None) == (i % 4 == 0) for i in range(20))
+    assert all(got[i] == pytest.approx([i / (i * i + 1) ** 0.5, 1 / (i * i + 1) ** 0.5]) for i in range(20) if i % 4)
+
+
 def test_a_killed_task_repeats_at_most_its_wave(spark, tmp_path):
     """The worker dies in the middle of a wave: what earlier waves brought is kept and not asked again."""
     calls, fuse = tmp_path / "calls", tmp_path / "fuse"
