@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankflow.functions.text import STOP_WORDS
 from rankflow.operators import dense, fusion, lexical, queries, ranking
@@ -414,3 +415,14 @@ def test_words_are_counted_in_pieces(spark, monkeypatch):
     want = sorted(map(tuple, lexical.postings(docs).collect()))
     monkeypatch.setattr(lexical, "PIECE_WORDS", 10)
     assert sorted(map(tuple, lexical.postings(docs).collect())) == want
+
+
+def test_rows_that_travel_together_hold_no_null_lists(spark):
+    """A run of null lists is gone over again at every row that is written to Arrow, so their time grew as the square of a batch."""
+    types = {"term": T.StringType(), "places": T.ArrayType(T.IntegerType()), "item_ids": T.ArrayType(T.StringType())}
+    rows = spark.createDataFrame([(1, "a", [0, 2])], "block long, term string, places array<int>")
+    row = lexical._padded(rows, ["block"], 1, types).first()
+    assert (row.block, row.kind, row.term, row.places, row.item_ids) == (1, 1, "a", [0, 2], [])
+    whole = spark.createDataFrame([(1, ["x"])], "block long, item_ids array<string>")
+    row = lexical._padded(whole, ["block"], 0, types).first()
+    assert (row.kind, row.term, row.places, row.item_ids) == (0, None, [], ["x"])
