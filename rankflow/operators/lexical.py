@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 from rankflow.functions import text as X
 from rankflow.operators.joins import lookup
 from rankflow.operators.ranking import SCORE_DECIMALS, SPREAD, rank_score, top_k
-from rankflow.session import folders, is_small, materialize, qualified, scratch_path, spread, table_exists
+from rankflow.session import folders, is_small, materialize, qualified, scratch_path, spread, table_bytes, table_exists
 
 K1 = 1.5
 B = 0.75
@@ -84,6 +84,8 @@ FEW_TERMS = 200
 WORK = 1 << 20
 #: queries read at a time
 QUERY_ROWS = 2048
+#: bytes of packed postings, as they lie in Parquet, that one task sorts
+SORT_BYTES = 8 << 20
 
 LONGS = T.ArrayType(T.LongType())
 INTS = T.ArrayType(T.IntegerType())
@@ -291,7 +293,11 @@ def _dealt(items: DataFrame) -> DataFrame:
 
 def _write_postings(packed: DataFrame, root: str) -> None:
     rows = packed.select("block", "term", "n", "top_tf", "least_len", "places", "tfs")
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option(
+    # as many ranges as keep a task's sort in memory, however many the session's shuffles have
+    ranges = -(-table_bytes(packed) // SORT_BYTES)
+    usual = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, "term", "block") if ranges > usual else rows.repartitionByRange("term", "block")
+    dealt.sortWithinPartitions("term", "block").write.option(
         "parquet.block.size", 16 << 20).parquet(f"{root}/postings")
 
 

@@ -426,3 +426,13 @@ def test_rows_that_travel_together_hold_no_null_lists(spark):
     whole = spark.createDataFrame([(1, ["x"])], "block long, item_ids array<string>")
     row = lexical._padded(whole, ["block"], 0, types).first()
     assert (row.kind, row.term, row.places, row.item_ids) == (0, None, [], ["x"])
+
+
+def test_ranges_of_postings_grow_with_the_postings(spark, monkeypatch):
+    """A sort stays as small, however many postings there are and however few partitions the session's shuffles have."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 7 + j}" for j in range(9))) for i in range(60)], "item_id long, text string")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(lexical, "table_bytes", lambda df: 5 * usual * lexical.SORT_BYTES)
+    index = lexical.build_index(docs)
+    assert len(index.packed.inputFiles()) > usual
+    assert index.terms.where("df > 0").count() == 60 * 7 + 2
