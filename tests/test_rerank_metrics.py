@@ -1,5 +1,7 @@
 import math
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,28 @@ def test_ndcg_counts_queries_without_a_list(spark):
     relevant = spark.createDataFrame([("q1", "a"), ("q2", "b")], "query_id string, item_id string")
     got = metrics.ndcg_set(ranked, relevant, evaluated=relevant).collect()
     assert {r.query_id: r.ndcg for r in got} == {"q1": 1.0, "q2": 0.0}
+
+
+def test_profile_rerank_copies_no_vector_to_candidates(spark, monkeypatch):
+    """Lists in packs and items in passes give the scores of a product per candidate; no shuffle carries a vector per candidate."""
+    rng = np.random.default_rng(3)
+    unit = lambda n: [v / np.linalg.norm(v) for v in rng.normal(size=(n, 4))]
+    taste, items = dict(enumerate(unit(5))), {f"i{n}": v for n, v in enumerate(unit(40))}
+    del taste[2]
+    lists = [(q, f"i{(q * 3 + r) % 45}", r) for q in range(6) for r in range(1, 21)]
+    monkeypatch.setattr(rerank, "PACK", 7)
+    monkeypatch.setattr(rerank, "PASS_ROWS", 5)
+    monkeypatch.setattr(rerank, "ITEM_ROWS", 6)
+    ranked = spark.createDataFrame(lists, "query_id long, item_id string, rank int")
+    users = spark.createDataFrame([(q, q) for q in range(6)], "query_id long, user_id long")
+    vectors = lambda rows, name: spark.createDataFrame([(k, v.tolist()) for k, v in rows.items()], f"{name}, vector array<double>")
+    sides = rerank.similarities(ranked, users.join(vectors(taste, "user_id long"), "user_id").select("query_id", F.col("vector").alias("user_vector")),
+                                vectors(items, "item_id string")).collect()
+    assert len(sides) == len(lists)
+    for r in sides:
+        both = r.query_id in taste and r.item_id in items
+        # added one after the other, as the built-in sum of floats does not
+        want = reduce(lambda acc, x: acc + x, (taste[r.query_id] * items[r.item_id]).tolist(), 0.0) if both else 0.0
+        assert r.similarity == want and r.known == (r.query_id in taste)
+    got = rerank.profile_rerank(ranked, users, vectors(taste, "user_id long"), vectors(items, "item_id string")).where("query_id = 2").orderBy("rank")
+    assert [r.item_id for r in got.collect()] == [i for q, i, _ in lists if q == 2]
