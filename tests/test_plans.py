@@ -112,3 +112,18 @@ def test_judging(spark, turns, catalog):
     assert "#or this#- Beta by" in text["s1", 2] and "Alpha by One | rock" not in text["s1", 2].split("#or this#")[1]
     got = evaluate.score_predictions(prompts, lambda p: "no numbers").first()
     assert (got["personalization"], got["reasoning"]) == (None, "parse error")
+
+
+def test_lists_are_reranked_once_for_offer_and_merge(spark, monkeypatch):
+    """The lists that answers are read against and merged into are written once; lists that come as they are, not again."""
+    written, write = [], recommend.materialize
+    monkeypatch.setattr(recommend, "materialize", lambda df, name: written.append(name) or write(df, name))
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id long, item_id string, rank int")
+    told = spark.createDataFrame([(1, '["b"]')], "query_id long, reply string")
+    users = spark.createDataFrame([(1, 7)], "query_id long, user_id long")
+    vectors = spark.createDataFrame([(7, [1.0])], "user_id long, vector array<double>")
+    items = spark.createDataFrame([("a", [1.0]), ("b", [0.5])], "item_id string, vector array<double>")
+    got = recommend.rerank_chain(ranked, users, vectors, items, told).orderBy("rank").collect()
+    assert [r.item_id for r in got] == ["b", "a"] and written == ["offered"]
+    recommend.rerank_chain(ranked, answers=told)
+    assert written == ["offered"]
