@@ -114,6 +114,21 @@ def test_judging(spark, turns, catalog):
     assert (got["personalization"], got["reasoning"]) == (None, "parse error")
 
 
+def test_predictions_are_made_once_for_their_prompts(spark, turns, catalog):
+    """Conversations, tracks and responses all start from the predictions."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(session):
+        made.add(1)
+        return session
+
+    preds = spark.createDataFrame([("s1", 3, ["a"], "this"), ("s2", 1, ["b"], "that")],
+                                  "session_id string, turn_number int, predicted_track_ids array<string>, predicted_response string")
+    prompts = evaluate.judge_prompts(preds.withColumn("session_id", counted("session_id")), turns, catalog, "{conversation}#{response}#{tracks}")
+    assert prompts.count() == 2 and made.value == 2
+
+
 def test_lists_are_reranked_once_for_offer_and_merge(spark, monkeypatch):
     """The lists that answers are read against and merged into are written once; lists that come as they are, not again."""
     written, write = [], recommend.materialize

@@ -339,6 +339,11 @@ def test_dedupe_closes_gaps(spark):
         ("a", 1), ("b", 2), ("c", 3)]
 
 
+def test_dedupe_shuffles_lists_once(spark):
+    plan = ranking.dedupe(ranked(spark, "a", "b"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_topk_is_cut_below_the_exchange(spark):
     scored = spark.range(10).select((F.col("id") % 2).alias("query_id"), F.col("id").alias("item_id"), F.lit(1.0).alias("score"))
     plan = ranking.top_k(scored, 3)._jdf.queryExecution().executedPlan().toString()

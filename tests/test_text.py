@@ -9,6 +9,12 @@ def one(spark, value, build, kind="string"):
     return spark.createDataFrame([(value,)], f"t {kind}").select(build(F.col("t"))).first()[0]
 
 
+def test_scores_are_parsed_once(spark):
+    replied = spark.range(1).select(F.col("id").cast("string").alias("t")).withColumn("s", replies.parse_scores(F.col("t")))
+    plan = replied.select("s.personalization", "s.explanation", "s.reasoning")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_tokens_keep_scripts_and_drop_stop_words(spark):
     assert one(spark, "The Café Über a B-52_x é with THEM", text.tokens) == ["café", "über", "52_x", "them"]
 
