@@ -70,6 +70,8 @@ FREQUENT = 8
 WHOLE = 1.0
 #: words that are counted at a time where no block needs them together
 PIECE_WORDS = 1 << 18
+#: bytes of texts whose words are counted at a time where only their terms are wanted
+PIECE_BYTES = 8 << 20
 #: items that share the places of a block, and items with one text beyond which these are dealt to several tasks
 BLOCK_COPIES = 1 << 19
 CROWD = 1 << 16
@@ -156,6 +158,44 @@ def postings(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
     return words.mapInArrow(count, schema)
 
 
+def _spaced_pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with a column ``spaced``, closed by the row with which they have ``limit`` bytes."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch["spaced"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            end = min(int(np.searchsorted(total, (total[start - 1] if start else 0) + limit)) + 1, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def term_counts(items: DataFrame, stop_words=X.STOP_WORDS) -> DataFrame:
+    """(term, n, n_items) of items (item_id, text): how often a term occurs, and how many different ids have it.
+
+    Pieces of about ``PIECE_BYTES`` are split and counted where they are read, so neither words nor pairs of a term and an item
+    are shuffled or kept. A row counts as an item of its own; ids with several rows (none, as a rule) are found first, and what
+    they count too often is taken off.
+    """
+    limit, stop = PIECE_BYTES, pa.array(list(stop_words), pa.string())
+    several = materialize(items.where(F.col("item_id").isNotNull()).groupBy("item_id").count().where("count > 1").select("item_id"), "several")
+    texts = items.select("item_id", X.spaced_words(F.coalesce("text", F.lit(""))).alias("spaced"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _spaced_pieces(batches, limit):
+            terms, code, row, tf = _counted(pc.split_pattern(batch["spaced"], " "), np.arange(batch.num_rows))
+            known = batch["item_id"].is_valid().to_numpy(zero_copy_only=False)
+            n, n_items = (pa.array(np.bincount(code, weights, len(terms)).astype(np.int64)) for weights in (tf, known[row]))
+            words = pc.and_(pc.greater(pc.utf8_length(terms), 1), pc.invert(pc.is_in(terms, stop.cast(terms.type))))
+            yield pa.RecordBatch.from_arrays([terms, n, n_items], ["term", "n", "n_items"]).filter(words)
+
+    counted = texts.mapInArrow(count, "term string, n long, n_items long")
+    if not several.isEmpty():
+        words = items.join(several, "item_id", "left_semi").select("item_id", F.explode(F.array_distinct(X.tokens(F.col("text"), stop_words))).alias("term"))
+        over = words.groupBy("item_id", "term").agg((1 - F.count("*")).alias("over")).where("over < 0")
+        counted = counted.unionByName(over.select("term", F.lit(0).cast("long").alias("n"), F.col("over").alias("n_items")))
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_items").alias("n_items"))
+
+
 def _alike(code: np.ndarray, row: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Order of the items of a block by their most common terms, then length: neighbours share terms, so bounds are close."""
     df = np.bincount(code, minlength=1)

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankflow.functions.text import STOP_WORDS
+from rankflow.functions.text import STOP_WORDS, tokens
 from rankflow.operators import dense, fusion, lexical, queries, ranking
 from rankflow.plans import retrieval
 from rankflow.session import scratch_path
+from tests.conftest import rows
 
 
 def brute_bm25(docs, query, k):
@@ -339,6 +340,19 @@ def test_dedupe_closes_gaps(spark):
         ("a", 1), ("b", 2), ("c", 3)]
 
 
+def test_term_counts_shuffle_no_pairs(spark, monkeypatch):
+    """Counts of pieces are added up; ids with several rows count once, rows without an id not at all."""
+    monkeypatch.setattr(lexical, "PIECE_BYTES", 16)
+    items = spark.createDataFrame([(1, "The Red red, a Café x"), (2, "red-52_b"), (2, "RED \u4e2d\u6587"), (2, "blue"), (None, "red blue"), (3, None), (4, " ")],
+                                  "item_id long, text string")
+    got = lexical.term_counts(items)
+    single = lexical.term_counts(items.where("item_id <> 2"))._jdf.queryExecution().executedPlan().toString()
+    assert single.count("Exchange hashpartitioning") == 1
+    plain = items.select("item_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(
+        F.count("*").alias("n"), F.count_distinct("item_id").alias("n_items"))
+    assert rows(got) == rows(plain) and ("red", 5, 2) in rows(got)
+
+
 def test_dedupe_shuffles_lists_once(spark):
     plan = ranking.dedupe(ranked(spark, "a", "b"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
