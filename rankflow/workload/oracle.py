@@ -7,6 +7,7 @@ takes those it names, directly or through others.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from rankflow.functions.text import STOP_WORDS
 
@@ -187,6 +188,15 @@ def _judge_reply(prompt: str) -> str:
             f"ELSE 'n=' || {n} END AS reasoning")
 
 
+def _lexdiv_whole(source: str, key: str) -> str:
+    return f"""
+    (WITH s AS (SELECT {key}::VARCHAR AS id, list_distinct(regexp_extract_all(lower(predicted_response), '\\S+')) AS w
+                FROM {source} WHERE predicted_response <> ''),
+          p AS (SELECT a.w AS x, b.w AS y FROM s a JOIN s b ON a.id < b.id)
+     SELECT coalesce(avg(CASE WHEN len(list_distinct(x || y)) > 0
+                         THEN 1 - len(list_intersect(x, y)) / len(list_distinct(x || y)) END), 0) FROM p)"""
+
+
 def _lexdiv(source: str, key: str) -> str:
     return f"""
     (WITH t AS (SELECT {key}::VARCHAR AS id, predicted_response AS v FROM {source} WHERE predicted_response <> ''),
@@ -198,10 +208,10 @@ def _lexdiv(source: str, key: str) -> str:
                          THEN 1 - len(list_intersect(x, y)) / len(list_distinct(x || y)) END), 0) FROM p)"""
 
 
-def _evaluated(source: str, mode: str) -> str:
+def _evaluated(source: str, mode: str, diversity: Callable[[str, str], str] = _lexdiv) -> str:
     return f"""
     SELECT '{mode}' AS mode, round(coalesce(avg(ndcg), 0), 6) AS ndcg20,
-           round((SELECT * FROM {_lexdiv(f"(SELECT * FROM {source} WHERE ndcg IS NOT NULL)",
+           round((SELECT * FROM {diversity(f"(SELECT * FROM {source} WHERE ndcg IS NOT NULL)",
                                          "session_id || '/' || turn_number")}), 6) AS lexdiv,
            count(ndcg) AS n
     FROM {source}"""
@@ -718,7 +728,7 @@ _FINAL: dict[str, str] = {
     "last_turn_filter": "SELECT session_id, turn_number, predicted_response FROM last_per_turn",
     "lexical_diversity": f"SELECT round((SELECT * FROM {_lexdiv('predictions', 'session_id')}), 6) AS lexdiv",
     "evaluate_last_turn": _evaluated("scored_last", "last-turn-only"),
-    "evaluate_all_turns": _evaluated("scored_all", "all-turns"),
+    "evaluate_all_turns": _evaluated("scored_all", "all-turns", _lexdiv_whole),
     "judge_means": """
     SELECT round(avg(personalization), 6) AS mean_p, round(avg(explanation), 6) AS mean_e,
            round((avg(personalization) + avg(explanation)) / 2, 6) AS mean_combined,

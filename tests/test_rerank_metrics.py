@@ -96,6 +96,19 @@ def test_lexical_diversity_uses_every_text(spark):
     assert all(value(i) != whole for i in (0, 1, 499, 500, 998, 999))
 
 
+def test_lexical_diversity_compares_all_pairs(spark, monkeypatch):
+    """More texts than a bucket has, some of one key, some equal, some without a word: every pair of different keys counts."""
+    rows = [(i // 2 if i < 20 else i, f"c w{i % 9} x{i % 7} y{i * i % 11}" if i % 10 else "  ") for i in range(300)]
+    bags = [(str(k), set(t.split())) for k, t in rows]
+    pairs = [1 - len(a & b) / len(a | b) for i, (j, a) in enumerate(bags) for k, b in bags[i + 1:] if j != k and a | b]
+    texts = spark.createDataFrame(rows, "k long, t string")
+    for sets, cells in ((2048, 1 << 18), (70, 500), (100, 500)):
+        monkeypatch.setattr(metrics, "BLOCK_SETS", sets)
+        monkeypatch.setattr(metrics, "CELLS", cells)
+        assert metrics.lexical_diversity(texts, "k", "t").first()[0] == pytest.approx(sum(pairs) / len(pairs), abs=1e-9)
+    assert metrics.lexical_diversity(texts, "k", "t", 64).first()[0] != pytest.approx(sum(pairs) / len(pairs), abs=1e-9)
+
+
 def test_lexical_diversity_makes_texts_once(spark):
     made = spark.sparkContext.accumulator(0)
 
