@@ -847,7 +847,7 @@ _FINAL: dict[str, str] = {
     "short_ids": "SELECT session_id, substr(md5(session_id::VARCHAR), 1, 8) AS short FROM shop_targets",
     "tasks_without_result": "SELECT session_id FROM scores_a WHERE personalization IS NULL",
     "empty_replies": "SELECT session_id, turn_number, '' AS reply FROM turns",
-    "metrics_roundtrip": _evaluated("scored_last", "last-turn-only"),
+    "metrics_roundtrip": _evaluated("scored_last", "last-turn-only", _lexdiv_whole),
     "nested_sessions": "SELECT session_id::VARCHAR AS session_id, turn_number, query FROM shop_targets",
 }
 

@@ -109,6 +109,16 @@ def test_lexical_diversity_compares_all_pairs(spark, monkeypatch):
     assert metrics.lexical_diversity(texts, "k", "t", 64).first()[0] != pytest.approx(sum(pairs) / len(pairs), abs=1e-9)
 
 
+def test_evaluate_compares_all_responses_of_last_turns(spark):
+    said = [f"c w{i % 9} x{i % 7} y{i * i % 11}" for i in range(200)]
+    bags = [set(t.split()) for t in said]
+    pairs = [1 - len(a & b) / len(a | b) for i, a in enumerate(bags) for b in bags[i + 1:]]
+    rows = [(i, turn, ["a"], t if turn == 2 else "never last") for i, t in enumerate(said) for turn in (1, 2)]
+    made = spark.createDataFrame(rows, "session_id long, turn_number int, predicted_track_ids array<string>, predicted_response string")
+    truth = spark.createDataFrame([(i, 2, "a") for i in range(200)], "session_id long, turn_number int, truth string")
+    assert evaluate.evaluate(made, truth).first()["lexdiv"] == pytest.approx(sum(pairs) / len(pairs), abs=1e-9)
+
+
 def test_lexical_diversity_makes_texts_once(spark):
     made = spark.sparkContext.accumulator(0)
 
