@@ -137,6 +137,32 @@ def test_both_ways_give_the_same_digits(monkeypatch, share):
     assert all(i % 7 for rows in want.values() for i, _ in rows)
 
 
+def test_whole_scoring_in_pieces(monkeypatch):
+    """Rows of a product, postings in pieces and candidates in pieces give the same lists; no array grows with the postings of a batch."""
+    block, batch, _, _ = zipf_block(2000, seed=5)
+    block.alive[::7] = False
+    monkeypatch.setattr(lexical, "WHOLE", 1e9)
+    want = listed(block, batch, 12)
+    monkeypatch.setattr(lexical, "WHOLE", 0.0)
+    spans, longest = lexical._spans, []
+    monkeypatch.setattr(lexical, "_spans", lambda starts, lengths: longest.append(int(lengths.sum())) or spans(starts, lengths))
+    for dense, rows, piece, work in ((0.0, 10_000, 1 << 16, 1 << 20), (0.01, 8, 2500, 500), (2.0, 8, 2500, 500)):
+        for name, value in (("DENSE", dense), ("ROWS", rows), ("PIECE", piece), ("WORK", work)):
+            monkeypatch.setattr(lexical, name, value)
+        longest.clear()
+        assert listed(block, batch, 12) == want
+        # rows of a product are bounded by their number
+        assert max(longest) <= max(piece, work, min(rows, len(block.df)) * block.n)
+    assert max(longest) < 0.1 * sum(block.df[block.terms.index(t).as_py()] for terms in batch["terms"].to_pylist() for t in terms if block.terms.index(t).as_py() >= 0)
+
+
+def test_reached_is_a_bound_close_to_the_kth():
+    scores = np.random.default_rng(2).random((50, 1003)).astype(np.float32)
+    for k in (1, 5, 40):
+        got, kth = ranking.reached(scores, k), np.sort(scores, axis=1)[:, -k]
+        assert (got <= kth).all() and ((scores >= got[:, None]).sum(axis=1) <= 3 * k + 5).all()
+
+
 def test_few_terms_are_named_in_the_filter(spark, corpus):
     docs, _ = corpus
     index = lexical.build_index(spark.createDataFrame(docs, "item_id long, text string"))
