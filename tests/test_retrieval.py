@@ -163,6 +163,28 @@ def test_reached_is_a_bound_close_to_the_kth():
         assert (got <= kth).all() and ((scores >= got[:, None]).sum(axis=1) <= 3 * k + 5).all()
 
 
+def test_vectors_are_not_selected_cell_by_cell(monkeypatch):
+    """The k-th product is bounded by maxima of columns; lists are those of all products in doubles, ties by item."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16)).round(1)
+    asked = rng.standard_normal((40, 16)).round(1)
+    wide, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **more: wide.append(a.shape[1]) or partition(a, *rest, **more))
+    q, i, score = dense.Scorer(x).best(asked, 9)
+    steps = np.floor(np.einsum("qd,nd->qn", asked, x) * 1e6 + 0.5)
+    want = [np.lexsort((np.arange(3000), -row))[:9].tolist() for row in steps]
+    assert [i[q == n].tolist() for n in range(40)] == want and max(wide) <= 16 * 9
+
+
+def test_copies_are_listed_as_far_as_needed():
+    """Of vectors with many items only as many are written out as give k items; equal scores all stay."""
+    row, col = np.array([0, 0, 0, 0, 1, 1]), np.array([0, 1, 2, 3, 2, 0])
+    score, sizes = np.array([0.9, 0.8, 0.8, 0.1, 0.5, 0.4]), np.array([3, 5, 5, 1])
+    got = dense._needed(row, col, score, sizes, 5)
+    assert [x.tolist() for x in got] == [[0, 0, 0, 1], [0, 1, 2, 2], [0.9, 0.8, 0.8, 0.5]]
+    assert [len(x) for x in dense._needed(row[:0], col[:0], score[:0], sizes, 5)] == [0, 0, 0]
+
+
 def test_few_terms_are_named_in_the_filter(spark, corpus):
     docs, _ = corpus
     index = lexical.build_index(spark.createDataFrame(docs, "item_id long, text string"))
