@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow.functions.text import STOP_WORDS, tokens
-from rankflow.operators import dense, fusion, lexical, queries, ranking
+from rankflow.operators import dense, fusion, lexical, queries, ranking, vectors
 from rankflow.plans import retrieval
 from rankflow.session import scratch_path
 from tests.conftest import rows
@@ -185,6 +185,28 @@ def test_copies_are_listed_as_far_as_needed():
     assert [len(x) for x in dense._needed(row[:0], col[:0], score[:0], sizes, 5)] == [0, 0, 0]
 
 
+def test_sums_by_key_shuffle_no_vector(spark, monkeypatch):
+    """Sums of several passes and blocks of vectors; ids without a vector do not count, and only keys and ids are shuffled."""
+    rng = np.random.default_rng(7)
+    held = {i: rng.standard_normal(3).tolist() for i in range(50)}
+    bought = [(int(k), int(i)) for k, i in zip(rng.integers(0, 40, 900), rng.integers(0, 60, 900))] + [(99, 55), (-1, 3)]
+    want = {}
+    for k, i in bought:
+        if i in held:
+            want[k] = np.add(want.get(k, np.zeros(3)), held[i])
+    frames = [spark.createDataFrame(bought, "user_id long, vec_id long"), spark.createDataFrame(sorted(held.items()), "vec_id long, vector array<double>")]
+    for passed, read in ((1 << 20, 1 << 15), (37, 7), (1, 1)):
+        monkeypatch.setattr(vectors, "PASS_ROWS", passed)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(passed, 10_000))
+        sums = vectors.sums_by_key(*frames, "user_id", "vec_id", 3)
+        got = dict(sums.collect())
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k].tolist()) for k in want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sums = vectors.sums_by_key(*frames, "user_id", "vec_id", 3)
+    exchange = [line for line in sums._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert len(exchange) == 1 and "vector" not in exchange[0]
+
+
 def test_few_terms_are_named_in_the_filter(spark, corpus):
     docs, _ = corpus
     index = lexical.build_index(spark.createDataFrame(docs, "item_id long, text string"))
